@@ -443,7 +443,7 @@ def _js_slow(text: str, g: Grammar) -> list | None:
 # ---------------------------------------------------------------- Go
 
 GO_GRAMMAR = """
-start_file : 'package' (NAME | KEYWORDS) ';' ('import' (ispec | '(' (ispec ';')* ispec? ')') ';')* (top ';')* ;
+start_file : 'package' (NAME ';' | KEYWORDS ';'?) ('import' (ispec | '(' (ispec ';')* ispec? ')') ';')* (top ';')* ;
 ispec : ('.' | NAME)? STR ;
 top : decl | 'func' NAME tparams? sig block? | 'func' params NAME sig block? ;
 decl : 'var' (vspec | '(' (vspec ';')* vspec? ')') | 'const' (cspec | '(' (cspec ';')* cspec? ')') | 'type' (tspec | '(' (tspec ';')* tspec? ')') ;
