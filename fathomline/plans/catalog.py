@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.plans import hierarchies
+from fathomline.plans import hierarchies, retrieval, structure
 
-MODULES = (hierarchies,)
+MODULES = (retrieval, structure, hierarchies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
