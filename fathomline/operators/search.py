@@ -29,7 +29,8 @@ def chunk_filter(file_pattern: list[str] | str | None = None, chunk_type: str |
 def vector_topk(vectors: DataFrame, query: Column, k: int, extra: Column | None = None) -> DataFrame:
     """The k chunks most similar to one query vector: (chunk_id, similarity). Exact; a filter goes below the limit."""
     rows = vectors if extra is None else vectors.where(extra)
-    scored = rows.select("chunk_id", F.round(cosine_similarity(F.col("embedding"), query), 6).alias("similarity")).where("similarity IS NOT NULL")
+    rows = rows.withColumn("_q", query)  # a scalar subquery may not stand inside the vector functions
+    scored = rows.select("chunk_id", F.round(cosine_similarity(F.col("embedding"), F.col("_q")), 6).alias("similarity")).where("similarity IS NOT NULL")
     return scored.orderBy(F.desc("similarity"), "chunk_id").limit(k)
 
 
