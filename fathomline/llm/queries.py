@@ -20,15 +20,20 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors.clean_vectors(table(spark, d, "chunk_vectors"), MODEL, WIDTH)
 
 
+def _raw_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Rows to fit split planes on: stale ones among them do no harm."""
+    return table(spark, d, "chunk_vectors").where((F.col("model_name") == MODEL) & similar_vectors.fit_vector(WIDTH)).select("embedding")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks whose vectors have a cosine of 0.95 or more."""
-    pairs = similar_vectors.similar_pairs(_vectors(spark, d), 0.95, k=8, trees=2, probes=16)
+    pairs = similar_vectors.similar_pairs(_vectors(spark, d), 0.95, k=8, trees=2, probes=14, basis=_raw_vectors(spark, d))
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
 def p1_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest of every vector whose id hash is divisible by 50, among all vectors."""
-    near = similar_vectors.knn(_vectors(spark, d), 10, queries=F.crc32("id") % 50 == 0, trees=4, probes=320)
+    near = similar_vectors.knn(_vectors(spark, d), 10, queries=F.crc32("id") % 50 == 0, trees=4, probes=320, basis=_raw_vectors(spark, d))
     return near.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), F.col("rank").cast("int").alias("rank"))
 
 

@@ -14,14 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.session import cut
-
 #: Error allowance of a coded score: two codes of 64 components off by at most half a step each.
 CODE_SLACK = 0.02
-SUBTREE_LEVELS = 5
+SUBTREE_LEVELS = 6
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -30,22 +28,21 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
 
 
+def fit_vector(width: int) -> Column:
+    """Whether `embedding` has the width, no null, NaN or infinite component, and is not all zero."""
+    e = F.col("embedding")
+    return (F.size(e) == width) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
+
+
 def clean_vectors(rows: DataFrame, model: str | None, width: int) -> DataFrame:
     """(id string, embedding) of the current rows fit for cosine: right model and width, no null or NaN, not all zero.
 
-    `rows` holds chunk_id, embedding, model_name, indexed_at; a chunk's latest row decides whether it takes part.
-    The current row is found on narrow columns (time and a hash of the vector), so that a vector moves only once.
+    `rows` holds chunk_id, embedding, model_name, indexed_at; a chunk's latest row decides whether it takes part (ties on
+    the time: the greatest model name and vector). An unfit row counts in that choice without its vector.
     """
-    e = F.col("embedding")
-    key = F.xxhash64(F.coalesce("model_name", F.lit("")), e)
-    narrow = rows.where("chunk_id IS NOT NULL").select("chunk_id", "indexed_at", key.alias("_v"))
-    last = narrow.groupBy("chunk_id").agg(F.max(F.struct("indexed_at", "_v")).alias("_c"))
-    sound = (F.size(e) == width) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    fit = rows.where(sound if model is None else (F.col("model_name") == model) & sound)
-    fit = fit.select("chunk_id", "indexed_at", key.alias("_v"), "embedding")
-    # exact copies of a row are one row
-    fit = fit.join(last.select("chunk_id", F.col("_c.indexed_at").alias("indexed_at"), F.col("_c._v").alias("_v")), ["chunk_id", "indexed_at", "_v"], "left_semi")
-    return fit.groupBy("chunk_id").agg(F.first("embedding").alias("embedding")).withColumnRenamed("chunk_id", "id")
+    fit = fit_vector(width) if model is None else (F.col("model_name") == model) & fit_vector(width)
+    row = F.struct("indexed_at", "model_name", F.when(fit, F.col("embedding")).alias("embedding"))
+    return rows.where("chunk_id IS NOT NULL").groupBy(F.col("chunk_id").alias("id")).agg(F.max(row).alias("r")).select("id", F.col("r.embedding").alias("embedding")).where("embedding IS NOT NULL")
 
 
 class Forest:
@@ -94,47 +91,38 @@ class Forest:
         return tree, node
 
 
-def knn(
-    vectors: DataFrame, k: int, queries: Column | None = None, min_cosine: float | None = None, trees: int = 3, probes: int = 24,
-    leaf_rows: int = 256, sample_rows: int = 32768, seed: int = 7,
-) -> DataFrame:
-    """(id, neighbour, cosine, rank): for each distinct vector that `queries` selects, its k nearest among all.
-
-    `vectors` is (id string, embedding array<float>) without unfit vectors (see clean_vectors). Rows with the very same
-    vector are one node, named by its smallest id: see `copies` for the others. `min_cosine` drops
-    weaker neighbours early. Ties rank by neighbour id. The split planes are fitted on the `sample_rows` rows of
-    smallest id hash (a fixed bound: 32,768 rows of 64 floats are 8 MB); every row is indexed. Above
-    sample_rows * leaf_rows / 8 rows leaves grow with the data: raise sample_rows then.
-    """
-    ids = vectors.select(F.xxhash64("id").alias("key"), "id", "embedding", (F.lit(True) if queries is None else queries).alias("ask"))
-    one = cut(ids.groupBy(F.xxhash64("embedding").alias("_h")).agg(F.min(F.struct("id", "key", "embedding")).alias("m"), F.max("ask").alias("ask")).select("m.*", "ask"))
-    rows = one.count()
-    if not rows:
-        return one.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank"))
-    sample = np.array([r[0] for r in one.select("embedding", "key").orderBy("key").limit(sample_rows).select("embedding").collect()], np.float32)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    levels = int(max(0, min(np.ceil(np.log2(rows / leaf_rows)), np.log2(max(len(sample), 8) / 8))))
+def _near(
+    vectors: DataFrame, k: int, queries: Column | None, min_cosine: float | None, trees: int, probes: int, leaf_rows: int, sample_rows: int, seed: int, basis: DataFrame | None,
+) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b, cosine) of vector hashes, nodes (key, id, embedding) of the hashes in them)."""
+    basis = vectors if basis is None else basis
+    rows = vectors.select(F.xxhash64("embedding").alias("key"), "id", "embedding", (F.lit(True) if queries is None else queries).alias("ask"))
+    n = basis.count()
+    first = basis.select("embedding", F.xxhash64("embedding").alias("_h")).orderBy("_h").limit(sample_rows).select("embedding").collect()
+    sample = np.array([r[0] for r in first], np.float32) if first else np.zeros((0, 1), np.float32)
+    sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-30)
+    levels = int(max(0, min(np.ceil(np.log2(max(n, 1) / leaf_rows)), np.log2(max(len(sample), 8) / 8))))
     forest = Forest(sample, trees, levels, seed)
     low = min(levels, SUBTREE_LEVELS)
-    probes_, all_ask = probes, queries is None
+    all_ask = queries is None
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf.sort_values("ask", ascending=False).drop_duplicates("key")  # copies are one node; one that asks stands for them
             for at in range(0, len(pdf), 8192):
                 part = pdf.iloc[at : at + 8192]
                 x = np.array(part["embedding"].tolist(), np.float32)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 shown = np.stack([x @ d.T for d in forest.directions], 1)
                 home = forest.homes(shown)
-                scale = np.abs(x).max(1) / 127
-                code = np.rint(x / scale[:, None]).astype(np.int8)
+                code = np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
                 key, n = part["key"].to_numpy(), len(part)
-                asks = np.flatnonzero(part["ask"].to_numpy()) if not all_ask else np.arange(n)
+                asks = np.arange(n) if all_ask else np.flatnonzero(part["ask"].to_numpy())
                 row = np.repeat(np.arange(n), trees)
                 group = (np.arange(trees)[None, :] << 32) + (home >> low)
                 mark = [(row, group.ravel(), (home & ((1 << low) - 1)).ravel(), np.zeros(n * trees, np.uint64))]
                 if len(asks):
-                    tree, leaf = forest.search(shown[asks], probes_)
+                    tree, leaf = forest.search(shown[asks], probes)
                     width = tree.shape[1]
                     mark.append((np.repeat(asks, width), ((tree << 32) + (leaf >> low)).ravel(), np.full(len(asks) * width, -1), np.uint64(1) << (leaf & ((1 << low) - 1)).ravel().astype(np.uint64)))
                 r, g, h, m = (np.concatenate(c) for c in zip(*mark))
@@ -143,14 +131,15 @@ def knn(
                 first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])])
                 mask, spot = np.bitwise_or.reduceat(m, first), np.maximum.reduceat(h, first)
                 r, g = r[first], g[first]
-                yield pd.DataFrame({"grp": g, "key": key[r], "code": [c.tobytes() for c in code[r]], "scale": scale[r].astype(np.float32), "home": spot.astype(np.int16), "mask": mask.astype(np.int64)})
+                yield pd.DataFrame({"grp": g, "key": key[r], "code": [c.tobytes() for c in code[r]], "home": spot.astype(np.int16), "mask": mask.view(np.int64)})
 
     take, floor = k + 4, None if min_cosine is None else min_cosine - CODE_SLACK
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("mask").drop_duplicates("key", keep="last") if not all_ask else pdf.drop_duplicates("key")
         x = np.frombuffer(b"".join(pdf["code"]), np.int8).reshape(len(pdf), -1).astype(np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        key, home, mask = pdf["key"].to_numpy(), pdf["home"].to_numpy(), pdf["mask"].to_numpy().astype(np.uint64)
+        key, home, mask = pdf["key"].to_numpy(), pdf["home"].to_numpy(), pdf["mask"].to_numpy().view(np.uint64)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for leaf in np.unique(home[home >= 0]):
             data = np.flatnonzero(home == leaf)
@@ -171,39 +160,56 @@ def knn(
         a, b, s = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         ok = a != b
         got = pd.DataFrame({"a": a[ok], "b": b[ok], "s": s[ok]})
-        if floor is None and len(got):
+        if len(got):
             got = got.sort_values(["a", "s", "b"], ascending=[True, False, True]).groupby("a").head(take)
         return got
 
-    spread_rows = one.select("key", "embedding", "ask").mapInPandas(spread, "grp long, key long, code binary, scale float, home short, mask long")
+    spread_rows = rows.select("key", "embedding", "ask").mapInPandas(spread, "grp long, key long, code binary, home short, mask long")
     near = spread_rows.groupBy("grp").applyInPandas(score, "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
-    left = one.select(F.col("key").alias("a"), F.col("id"), F.col("embedding").alias("_ea"))
-    right = one.select(F.col("key").alias("b"), F.col("id").alias("neighbour"), F.col("embedding").alias("_eb"))
-    exact = near.join(left, "a").join(right, "b").select("id", "neighbour", cosine("_ea", "_eb").alias("cosine"))
+    best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
+    near = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= take).select("a", "b")
+    wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
+    nodes = rows.select("key", "id", "embedding").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"), F.first("embedding").alias("embedding"))
+    left = nodes.select(F.col("key").alias("a"), F.col("embedding").alias("_ea"))
+    right = nodes.select(F.col("key").alias("b"), F.col("embedding").alias("_eb"))
+    exact = near.join(left, "a").join(right, "b").select("a", "b", cosine("_ea", "_eb").alias("cosine"))
     if min_cosine is not None:
         exact = exact.where(F.col("cosine") >= min_cosine)
-    from pyspark.sql import Window
+    return exact, nodes
 
-    order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+def knn(
+    vectors: DataFrame, k: int, queries: Column | None = None, min_cosine: float | None = None, trees: int = 3, probes: int = 24,
+    leaf_rows: int = 256, sample_rows: int = 32768, seed: int = 7, basis: DataFrame | None = None,
+) -> DataFrame:
+    """(id, neighbour, cosine, rank): for each distinct vector that `queries` selects, its k nearest among all.
 
-def copies(vectors: DataFrame) -> DataFrame:
-    """(id, node): for every vector the smallest id that holds the very same vector."""
-    small = vectors.select("id", F.xxhash64("embedding").alias("_h"))
-    return small.join(small.groupBy("_h").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("n > 1"), "_h").select("id", "node")
+    `vectors` is (id string, embedding array<float>) without unfit vectors (see clean_vectors). Rows with the very same
+    vector are one node, named by its smallest id; it asks if one of them does. `min_cosine` drops weaker neighbours
+    early. Ties rank by neighbour id. An empty table gives an empty result. The split planes are fitted on the
+    `sample_rows` vectors of smallest hash in `basis` (default: `vectors`; raw rows spare a shuffle), a fixed bound:
+    32,768 rows of 64 floats are 8 MB. Every row is indexed. Above sample_rows * leaf_rows / 8 rows leaves grow with
+    the data: raise sample_rows then.
+    """
+    pairs, nodes = _near(vectors, k, queries, min_cosine, trees, probes, leaf_rows, sample_rows, seed, basis)
+    names = nodes.select("key", "id")
+    out = pairs.join(names.withColumnRenamed("key", "a"), "a").join(names.select(F.col("key").alias("b"), F.col("id").alias("neighbour")), "b")
+    order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
+    return out.select("id", "neighbour", "cosine").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, min_cosine: float, k: int, **search: int) -> DataFrame:
-    """(a, b, cosine), a < b: pairs of ids at `min_cosine` or more, found through knn with k neighbours per vector.
+def similar_pairs(
+    vectors: DataFrame, min_cosine: float, k: int, trees: int = 3, probes: int = 24, leaf_rows: int = 256, sample_rows: int = 32768, seed: int = 7, basis: DataFrame | None = None,
+) -> DataFrame:
+    """(a, b), a < b: pairs of ids at `min_cosine` or more, found through the k nearest of every distinct vector.
 
-    Members of groups with the very same vector are paired through their node.
+    Ids with the very same vector are paired with each other and share their node's partners.
     """
-    near = knn(vectors, k, min_cosine=min_cosine, **search).select("id", "neighbour", "cosine")
-    same = copies(vectors)
-    other = same.where("id <> node")
-    a = near.join(same.select(F.col("node").alias("id"), F.col("id").alias("x")), "id", "left").select(F.coalesce("x", "id").alias("id"), "neighbour", "cosine")
-    b = a.join(same.select(F.col("node").alias("neighbour"), F.col("id").alias("y")), "neighbour", "left").select("id", F.coalesce("y", "neighbour").alias("neighbour"), "cosine")
-    within = other.select(F.col("node"), "id").join(same.select(F.col("node"), F.col("id").alias("neighbour")), "node").where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("cosine"))
-    both = b.unionByName(within)
-    return both.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    pairs, _ = _near(vectors, k, None, min_cosine, trees, probes, leaf_rows, sample_rows, seed, basis)
+    members = vectors.select(F.xxhash64("embedding").alias("key"), "id")
+    across = pairs.select("a", "b").join(members.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("key").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    same = members.join(several, "key", "left_semi")
+    within = same.withColumnRenamed("id", "x").join(same.withColumnRenamed("id", "y"), "key").where("x < y").select("x", "y")
+    both = across.unionByName(within)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
