@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.plans import hierarchies, retrieval, structure
+from fathomline.plans import hierarchies, retrieval, sources, structure
 
-MODULES = (retrieval, structure, hierarchies)
+MODULES = (retrieval, structure, sources, hierarchies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
