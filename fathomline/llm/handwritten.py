@@ -111,8 +111,8 @@ def file_features(files: DataFrame) -> DataFrame:
 def not_handwritten(files: DataFrame, max_training_rows: int = 20_000, trees: int = 40, label_weight: float = 4.0, threshold: float = 0.5, seed: int = 11) -> DataFrame:
     """(file_path, notice, probability double, flagged boolean) of each current code file.
 
-    The forest is fitted on at most `max_training_rows` labelled files (those of smallest path hash, a documented
-    bound; third-party paths do not train it, since their text looks like any other) and applied to all. A labelled file weighs `label_weight`
+    The forest is fitted on at most `max_training_rows` labelled files (those of smallest path hash, on
+    average exactly so many, a documented bound; third-party paths do not train it, since their text looks like any other) and applied to all. A labelled file weighs `label_weight`
     times an unlabelled one, because some of those are generated, too. Without both
     kinds of label the forest is left out and notices decide alone (probability 0 or 1).
     """
@@ -123,7 +123,10 @@ def not_handwritten(files: DataFrame, max_training_rows: int = 20_000, trees: in
     table = cut(file_features(files))
     vendored = F.regexp_replace("file_path", r"\\", "/").rlike(r"(?:^|/)(?:" + "|".join(d.replace("-", r"\-") for d in VENDOR_DIRS) + ")/")
     label = F.when(F.col("notice").isNotNull(), 1.0).otherwise(0.0)
-    train = table.where(~((F.col("notice") == "path") & vendored)).withColumn("label", label).orderBy(F.xxhash64("file_path"), "file_path").limit(max_training_rows)
+    train = table.where(~((F.col("notice") == "path") & vendored)).withColumn("label", label).withColumn("_h", F.xxhash64("file_path"))
+    n = train.count()
+    if n > max_training_rows:  # a hash range rather than a sorted limit: no task or driver gathers more than the bound
+        train = train.where(F.col("_h") < int(-(2**63) + 2**64 * max_training_rows / n))
     kinds = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     notice = F.col("notice").isNotNull()
     if len(kinds) < 2:

@@ -98,7 +98,10 @@ def _near(
     basis = vectors if basis is None else basis
     rows = vectors.select(F.xxhash64("embedding").alias("key"), "id", "embedding", (F.lit(True) if queries is None else queries).alias("ask"))
     n = basis.count()
-    first = basis.select("embedding", F.xxhash64("embedding").alias("_h")).orderBy("_h").limit(sample_rows).select("embedding").collect()
+    hashed = basis.select("embedding", F.xxhash64("embedding").alias("_h"))
+    if n > sample_rows:  # only about as many rows as are wanted reach the driver, whatever the number of tasks
+        hashed = hashed.where(F.col("_h") < int(-(2**63) + 2**64 * min(1.0, 1.05 * sample_rows / n)))
+    first = hashed.orderBy("_h").limit(sample_rows).select("embedding").collect()
     sample = np.array([r[0] for r in first], np.float32) if first else np.zeros((0, 1), np.float32)
     sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-30)
     levels = int(max(0, min(np.ceil(np.log2(max(n, 1) / leaf_rows)), np.log2(max(len(sample), 8) / 8))))
