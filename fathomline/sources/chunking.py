@@ -129,7 +129,7 @@ def brace_chunks(text: str, lang: str) -> list[dict]:
                     kind = "method" if kind == "function" and parent else kind
                     out.append(_row(lines, kind, name, owner, None, line_at(begin_at), line_at(min(close, len(text) - 1)), not holds))
                     if holds:
-                        visit(at + 1, close, name, spec.members + spec.rules)
+                        visit(at + 1, close, name, spec.rules + spec.members)
                 at = item = close + 1
                 continue
             elif c == "\n" and lang in ("go", "javascript", "typescript", "swift", "kotlin", "scala", "bash") and depth == 0 and re.match(r"[^\n]*(?:import|package)\b[^\n{]*\Z", masked[item:at].lstrip("\n")):

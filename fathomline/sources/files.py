@@ -24,4 +24,4 @@ def scan(spark: SparkSession, root: str, project: str, rules: list[str] = (), ne
     files = verdicts(files, "relative_path", list(rules), nested, list(extra)).where("ignored_by IS NULL").drop("ignored_by")
     if include:
         files = files.where(glob_match(F.col("relative_path"), include))
-    return files.select("file_path", "relative_path", F.lit(project).alias("project_name"), F.decode("content", F.lit("UTF-8")).alias("content"), "size_bytes", "modified_at")
+    return files.select("file_path", "relative_path", F.lit(project).alias("project_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "size_bytes", "modified_at")

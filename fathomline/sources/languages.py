@@ -48,8 +48,8 @@ SPECS: dict[str, Spec] = {
     "csharp": Spec([_r(r"namespace\s+(?P<n>[\w.]+)", "namespace", True), _r(r"(?:class|record|struct)\s+(?P<n>\w+)", "class", True), *_JAVA_TYPES[1:]], _mask(r"@\"(?:[^\"]|\"\")*\""), [_r(_CALLABLE, "method"), _r(r"(?:[\w<>\[\]?,.]+\s+)(?P<n>\w+)\s*$", "property")]),
     "kotlin": Spec([_r(r"(?:class|object|interface)\s+(?P<n>\w+)", "class", True), _r(r"companion\s+object(?P<n>)", "class", True), _r(r"fun\s+(?:<[^>]*>\s*)?(?:[\w<>]+\.)?(?P<n>\w+)", "function")], _mask(r"\"\"\"[\s\S]*?\"\"\"")),
     "rust": Spec([_r(r"fn\s+(?P<n>\w+)", "function"), _r(r"impl(?:<[^{]*?>)?\s+(?:[\w:<>, ']+\s+for\s+)?(?P<n>\w+)", "impl", True), _r(r"struct\s+(?P<n>\w+)", "struct"), _r(r"enum\s+(?P<n>\w+)", "enum"), _r(r"trait\s+(?P<n>\w+)", "trait", True), _r(r"mod\s+(?P<n>\w+)", "module", True), _r(r"macro_rules!\s*(?P<n>\w+)", "macro")], re.compile(_C_COMMENT + r"|r#\"[\s\S]*?\"#|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\\n]|\\.)'")),
-    "c": Spec([_r(r"(?:typedef\s+)?struct\s+(?P<n>\w*)\s*$", "struct"), _r(r"(?:typedef\s+)?union\s+(?P<n>\w*)\s*$", "union"), _r(r"(?:typedef\s+)?enum\s+(?P<n>\w*)\s*$", "enum"), _r(_CALLABLE, "function")], _mask()),
-    "cpp": Spec([_r(r"namespace\s*(?P<n>[\w:]*)", "namespace", True), _r(r"(?:template\s*<[^{]*>\s*)?(?:class|struct)\s+(?P<n>\w+)", "class", True), _r(r"union\s+(?P<n>\w*)", "union"), _r(r"enum\s+(?:class\s+)?(?P<n>\w*)", "enum"), _r(_CALLABLE, "function")], _mask(r"R\"\([\s\S]*?\)\"")),
+    "c": Spec([_r(r"(?:typedef\s+)?struct\s+(?P<n>\w*)\s*$", "struct"), _r(r"(?:typedef\s+)?union\s+(?P<n>\w*)\s*$", "union"), _r(r"(?:typedef\s+)?enum\s+(?P<n>\w*)\s*$", "enum"), _r(_CALLABLE, "function")], _mask(r"(?m:^[ \t]*#[^\n]*)")),
+    "cpp": Spec([_r(r"namespace\s*(?P<n>[\w:]*)", "namespace", True), _r(r"(?:template\s*<[^{]*>\s*)?(?:class|struct)\s+(?P<n>\w+)", "class", True), _r(r"union\s+(?P<n>\w*)", "union"), _r(r"enum\s+(?:class\s+)?(?P<n>\w*)", "enum"), _r(_CALLABLE, "function")], _mask(r"(?m:^[ \t]*#[^\n]*)|R\"\([\s\S]*?\)\"")),
     "php": Spec([_r(r"(?:namespace)\s+(?P<n>[\w\\]+)", "namespace", True), _r(r"class\s+(?P<n>\w+)", "class", True), _r(r"interface\s+(?P<n>\w+)", "interface", True), _r(r"trait\s+(?P<n>\w+)", "trait", True), _r(r"enum\s+(?P<n>\w+)", "enum", True), _r(r"function\s+&?(?P<n>\w+)", "function")], _mask("", _C_COMMENT + r"|#[^\[\n][^\n]*")),
     "swift": Spec([_r(r"(?:class|struct|enum|extension|actor)\s+(?P<n>\w+)", "class", True), _r(r"protocol\s+(?P<n>\w+)", "interface", True), _r(r"func\s+(?P<n>\w+)", "function"), _r(r"(?P<n>init)\b", "constructor"), _r(r"var\s+(?P<n>\w+)\s*:", "property")], _mask(r"\"\"\"[\s\S]*?\"\"\"")),
     "scala": Spec([_r(r"(?:class|object)\s+(?P<n>\w+)", "class", True), _r(r"trait\s+(?P<n>\w+)", "trait", True), _r(r"def\s+(?P<n>[\w$]+)", "function")], _mask(r"\"\"\"[\s\S]*?\"\"\"")),
