@@ -43,7 +43,8 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def parse(x: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(names, starts, names of long runs, their starts) of the last round over `x`; barriers are left out.
 
-    A run longer than `cap` characters stays in single symbols; it is reported apart, named by its symbol alone.
+    A run longer than `cap` characters stays in single symbols; it is reported apart, named by its symbol alone, at its
+    first and last symbol and about every `cap` characters between, since no place inside it is like another text's.
     """
     sym = np.take(_CHARS, x) if x.max(initial=0) < len(_CHARS) else mix(x.astype(np.uint64) + _A)
     sym[x == 0] = BARRIER
@@ -59,9 +60,15 @@ def parse(x: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
                 name = sym[head]
                 total = np.append(start, end)[tail + 1] - start[head]
                 real = name != BARRIER
-                big = real & (total >= 2 * cap)
-                runs.append(mix(name[big] ^ _C))
-                run_starts.append(start[head[big]])
+                big = real & (total > cap)
+                if big.any():
+                    length = total[big] // (tail - head + 1)[big]
+                    marks = total[big] // cap + 1
+                    at = np.arange(marks.sum()) - np.repeat(np.cumsum(marks) - marks, marks)
+                    inside = np.minimum(at * cap // np.repeat(length, marks), np.repeat((tail - head)[big], marks)) * np.repeat(length, marks)
+                    key = mix(name[big] ^ _C)
+                    runs += [np.repeat(key, marks), key]
+                    run_starts += [(np.repeat(start[head[big]], marks) + inside).astype(np.int32), start[tail[big]]]
                 join = real & (total <= cap)
                 head, tail = head[join], tail[join]
                 if len(head):
@@ -86,8 +93,13 @@ def parse(x: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             sym, start = sym[keep], start[keep]
     size = np.diff(np.append(start, end))
     real = (sym != BARRIER) & (size * 3 >= cap)
-    empty = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    return sym[real], start[real], np.concatenate(runs) if runs else empty[0], np.concatenate(run_starts) if runs else empty[1]
+    if runs:  # a run is met again in later rounds
+        names, places = np.concatenate(runs), np.concatenate(run_starts)
+        once = np.unique(np.stack([names, places.astype(np.uint64)]), axis=1)
+        names, places = once[0], once[1].astype(np.int32)
+    else:
+        names, places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return sym[real], start[real], names, places
 
 
 class Windows:

@@ -65,7 +65,7 @@ exprs : star (',' star)* ','? ;
 star : '*' expr | named ;
 named : expr (':=' expr)? ;
 expr : 'lambda' lparams? ':' expr | disj ('if' disj 'else' expr)? ;
-disj : unary ((OP | OPU | '*' | '**' | '/' | '@' | '-' | 'or' | 'and' | 'in' | 'is' 'not'? | 'not' 'in') unary)* ;
+disj : unary ((OP | OPU | '|' | '*' | '**' | '/' | '@' | '-' | 'or' | 'and' | 'in' | 'is' 'not'? | 'not' 'in') unary)* ;
 unary : ('not' | '-' | '~' | OPU | 'await')* primary ;
 primary : atom ('.' NAME | '(' args? ')' | '[' subs ']')* ;
 atom : NAME | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' (yieldx | exprs | star comp)? ')' | '[' (exprs | star comp)? ']' | '{' dictset? '}' ;
@@ -88,17 +88,19 @@ pkey : (('-'? NUM | STR+ | 'None' | 'True' | 'False' | dotted) ':' pat) | '**' N
 """
 PY_HARD = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
 _PY_STR = r"(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
+_PY_FIELD_BODY = r"\{(?=\s*[^\s}!:=])(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
+#: f-strings whose fields pair up; a field may hold the string's own quotes.
+_PY_FSTR = "(?:[fF][rR]?|[rR][fF])(?:" + "|".join(rf"{q}(?:[^{q[0]}\\{{}}{nl}]|\\[\s\S]|\{{\{{|\}}\}}|{more}{_PY_FIELD_BODY})*{q}" for q, nl, more in (('"""', "", '"(?!"")|'), ("'''", "", "'(?!'')|"), ('"', r"\n", ""), ("'", r"\n", ""))) + ")"
 _PY_NUM = r"0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?"
 _PY_OPS = r"\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\*\*|//|>>|<<|<=|>=|==|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:.;=]"
-PY_TOKENS = re.compile(rf"\#[^\n]*|\\\n|\n[ \t\f]*|[ \t\f]+|{_PY_STR}|(?:{_PY_NUM})(?!\w)|{NAME_RE}|{_PY_OPS}|[\s\S]")
-_PY_FIELD = re.compile(r"\{\{|\}\}|\{|\}")
+PY_TOKENS = re.compile(rf"\#[^\n]*|\\\n|\n[ \t\f]*|[ \t\f]+|{_PY_FSTR}|{_PY_STR}|(?:{_PY_NUM})(?!\w)|{NAME_RE}|{_PY_OPS}|[\s\S]")
 
 
 def _py_kind(t: str, g: Grammar) -> int:
     k = g.kinds
     if re.fullmatch(NAME_RE, t):
         return k[t] if t in PY_HARD or t in g.soft else k["NAME"]
-    if re.fullmatch(_PY_STR, t):
+    if re.fullmatch(_PY_STR, t) or re.fullmatch(_PY_FSTR, t):
         return k["STR"]
     if re.fullmatch(_PY_NUM, t):
         return k["NUM"]
@@ -113,26 +115,10 @@ def _py_kind(t: str, g: Grammar) -> int:
     return -1
 
 
-def _py_fields_ok(t: str) -> bool:
-    """Whether the braces of an f-string pair up and no field is empty."""
-    quote = min((i for i in (t.find('"'), t.find("'")) if i >= 0))
-    if "f" not in t[:quote].lower():
-        return True
-    depth, at = 0, 0
-    body = t[quote + 3 : -3] if t[quote : quote + 3] in ('"""', "'''") else t[quote + 1 : -1]
-    for m in _PY_FIELD.finditer(body):
-        s = m.group()
-        if depth == 0 and s in ("{{", "}}"):
-            continue
-        for c in s:
-            if c == "{":
-                depth += 1
-                at = m.end()
-            else:
-                depth -= 1
-                if depth < 0 or (depth == 0 and not body[at : m.start()].strip()):
-                    return False
-    return depth == 0
+def _py_string_ok(t: str) -> bool:
+    """False for an f-string that no field pattern fits."""
+    quote = min(i for i in (t.find('"'), t.find("'")) if i >= 0)
+    return "f" not in t[:quote].lower() or re.fullmatch(_PY_FSTR, t) is not None
 
 
 def scan_python(text: str, g: Grammar) -> Scanned | None:
@@ -164,7 +150,7 @@ def scan_python(text: str, g: Grammar) -> Scanned | None:
         kind = cache.get(t)
         if kind is None:
             kind = _py_kind(t, g)
-            if kind == k["STR"] and not _py_fields_ok(t):
+            if kind == k["STR"] and not _py_string_ok(t):
                 kind = -1
             if len(cache) < 500_000 and len(t) < 60:
                 cache[t] = kind
