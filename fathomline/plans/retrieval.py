@@ -266,17 +266,17 @@ def oracle_sql() -> dict[str, str]:
     return {
         "vector_topk": f"WITH {_VECTORS}, {seed} {top} ORDER BY similarity DESC, v.chunk_id LIMIT {K}",
         "vector_topk_filtered": f"WITH {CHUNKS}, {_VECTORS}, {seed} {top} WHERE v.chunk_id IN (SELECT chunk_id FROM c WHERE chunk_type = 'method' AND {_like('relative_path', ['src/**', 'lib/*.ts'])}) ORDER BY similarity DESC, v.chunk_id LIMIT {K}",
-        "similar_to": f"WITH {_VECTORS}, s AS (SELECT * FROM v ORDER BY chunk_id LIMIT 5), p AS (SELECT s.chunk_id seed_id, v.chunk_id, {_SIM} similarity FROM v JOIN s ON v.chunk_id <> s.chunk_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY similarity DESC, chunk_id) rank FROM p) WHERE rank <= 5",
+        "similar_to": f"WITH {_VECTORS}, s AS (SELECT * FROM v ORDER BY chunk_id LIMIT 5), p AS (SELECT s.chunk_id seed_id, v.chunk_id, {_SIM} similarity FROM v JOIN s ON v.chunk_id <> s.chunk_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY similarity DESC, chunk_id)::INT rank FROM p) WHERE rank <= 5",
         "bm25_topk": f"WITH {CHUNKS}, {_ASKED}, qq AS (SELECT query_id, query FROM q), {_BM25} SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT rank FROM b) WHERE rank <= 10",
         "hybrid_rrf": f"""WITH {CHUNKS}, {_VECTORS}, {seed}, qq AS (SELECT 1 query_id, coalesce(name, '') query FROM c WHERE chunk_id = (SELECT chunk_id FROM s)), {_BM25},
  x AS (SELECT chunk_id, row_number() OVER (ORDER BY similarity DESC, chunk_id) r FROM ({top}) QUALIFY r <= 50), y AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) r FROM b QUALIFY r <= 50),
  f AS (SELECT chunk_id, round(sum(1.0 / (60 + r)), 9) score FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY 1) SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id)::INT rank FROM f QUALIFY rank <= {K}""",
         "rank_boosted": f"""WITH {CHUNKS}, {_HITS}, {_ASKED}, x AS (SELECT h.query_id, h.chunk_id, similarity_score, query, chunk_type, name, relative_path, tags, docstring, {_TOKENS.format('query')} qt, {_TOKENS.format("coalesce(name, '')")} nt, {_TOKENS.format(flat)} pt
- FROM h JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE {_SOUND}), y AS (SELECT query_id, chunk_id, round(similarity_score, 6) similarity, round({boosted}, 6) rank_score FROM x) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, chunk_id) rank FROM y""",
+ FROM h JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE {_SOUND}), y AS (SELECT query_id, chunk_id, round(similarity_score, 6) similarity, round({boosted}, 6) rank_score FROM x) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, chunk_id)::INT rank FROM y""",
         "dedup_best": f"SELECT query_id, chunk_id, hit_id, similarity_score FROM search_hits WHERE {_SOUND} QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY similarity_score DESC, hit_id) = 1",
-        "per_file_cap": f"WITH {CHUNKS}, {_HITS}, x AS (SELECT query_id, h.chunk_id, c.relative_path, similarity_score s, row_number() OVER (PARTITION BY query_id, c.relative_path ORDER BY similarity_score DESC, h.chunk_id) > 2 o FROM h JOIN c USING (chunk_id) WHERE {_SOUND}) SELECT query_id, chunk_id, relative_path, row_number() OVER (PARTITION BY query_id ORDER BY o, s DESC, chunk_id) AS position FROM x QUALIFY position <= 10",
+        "per_file_cap": f"WITH {CHUNKS}, {_HITS}, x AS (SELECT query_id, h.chunk_id, c.relative_path, similarity_score s, row_number() OVER (PARTITION BY query_id, c.relative_path ORDER BY similarity_score DESC, h.chunk_id) > 2 o FROM h JOIN c USING (chunk_id) WHERE {_SOUND}) SELECT query_id, chunk_id, relative_path, row_number() OVER (PARTITION BY query_id ORDER BY o, s DESC, chunk_id)::INT AS position FROM x QUALIFY position <= 10",
         "rerank_minscore": f"""WITH {_HITS}, {_ASKED}, x AS (SELECT h.*, greatest(0, least(1, coalesce(min_reranker_score, 0))) f FROM h JOIN q USING (query_id) WHERE {_SOUND} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, chunk_id) <= 50)
- SELECT query_id, chunk_id, round(reranker_score, 6) reranker_score, round(similarity_score, 6) vector_similarity, row_number() OVER (PARTITION BY query_id ORDER BY x.reranker_score DESC, chunk_id) rank FROM x WHERE reranker_score IS NOT NULL AND NOT isnan(reranker_score) AND (f = 0 OR reranker_score >= f) QUALIFY rank <= 5""",
+ SELECT query_id, chunk_id, round(reranker_score, 6) reranker_score, round(similarity_score, 6) vector_similarity, row_number() OVER (PARTITION BY query_id ORDER BY x.reranker_score DESC, chunk_id)::INT rank FROM x WHERE reranker_score IS NOT NULL AND NOT isnan(reranker_score) AND (f = 0 OR reranker_score >= f) QUALIFY rank <= 5""",
         "glob_filter": f"WITH {CHUNKS} SELECT chunk_id FROM c WHERE {_like('relative_path', glob)}",
         "chunk_type_filter": f"WITH {CHUNKS} SELECT chunk_id FROM c WHERE chunk_type = 'class'",
         "folder_filter": f"WITH {CHUNKS} SELECT chunk_id FROM c WHERE list_has_any(folder_structure, ['kettle', 'lib'])",

@@ -44,7 +44,7 @@ def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """The streaming aggregate over the stored events."""
-    return windowed_counts(table(spark, d, "events"))
+    return windowed_counts(table(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 QUERIES = (code_chunks, config_entries, md_sections, embedded_chunks, event_windows)

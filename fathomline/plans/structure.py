@@ -189,7 +189,7 @@ def _snap(name: str, before: str | None = None) -> str:
 
 def _dirs(name: str, files: str, deepest: int = 9) -> str:
     """Directory hashes level by level, as unrolled CTEs."""
-    parts = [f"{name}_{deepest + 1} AS (SELECT path, hash, size, 1::BIGINT n, len(string_split(path, '/')) d, true leaf FROM {files})"]
+    parts = [f"{name}_{deepest + 1} AS (SELECT path, hash, size, 1::BIGINT n, len(string_split(path, '/'))::INT d, true leaf FROM {files})"]
     for lv in range(deepest, -1, -1):
         parts.append(f"""{name}_{lv} AS (SELECT * FROM {name}_{lv + 1} UNION ALL SELECT dir, sha256(regexp_extract(dir, '[^/]*$') || string_agg(hash, '' ORDER BY hash)), sum(size)::BIGINT, sum(n)::BIGINT, {lv}, false FROM (SELECT regexp_replace(path, '/?[^/]*$', '') dir, hash, size, n FROM {name}_{lv + 1} WHERE d = {lv + 1}) GROUP BY dir)""")
     return ", ".join(parts) + f", {name} AS (SELECT path, hash, d AS depth, n AS n_files, size FROM {name}_0 WHERE NOT leaf)"
@@ -207,10 +207,10 @@ def oracle_sql() -> dict[str, str]:
         "callers": f"WITH {_S}, {_E}, {_HUB} SELECT DISTINCT b seed_id, a chunk_id, name, symbol_type, file_path FROM e JOIN hub ON x = b JOIN s ON s.chunk_id = a WHERE k = 'calls'",
         "callees": f"WITH {_S}, {_E} SELECT DISTINCT a seed_id, b chunk_id, s.name, s.symbol_type, s.file_path FROM e JOIN s z ON z.chunk_id = a AND z.symbol_type IN ('class', 'interface', 'trait') JOIN s ON s.chunk_id = b WHERE k = 'calls'",
         "bfs_2hop": f"WITH {_S}, {_E}, {_HUB}, {_U}, r AS (SELECT x seed_id, x chunk_id, 0 hop FROM hub UNION ALL SELECT x, t, 1 FROM hub JOIN u ON f = x UNION ALL SELECT x, v.t, 2 FROM hub JOIN u ON u.f = x JOIN u v ON v.f = u.t) SELECT seed_id, chunk_id, min(hop) hop FROM r GROUP BY 1, 2",
-        "subgraph_priority": f"WITH {sub} SELECT seed seed_id, a source_chunk_id, b target_chunk_id, k edge_type, hop, p AS position FROM ps WHERE p <= 100",
+        "subgraph_priority": f"WITH {sub} SELECT seed seed_id, a source_chunk_id, b target_chunk_id, k edge_type, hop, p::INT AS position FROM ps WHERE p <= 100",
         "subgraph_omitted": f"WITH {sub} SELECT k edge_type, count(*) n_omitted FROM ps WHERE seed = (SELECT min(x) FROM hub) AND p > 50 AND p <= 200 GROUP BY 1",
         "graph_stats": f"WITH {_S}, {_E} SELECT 'symbol' kind, symbol_type AS value, count(*) n FROM s GROUP BY 2 UNION ALL SELECT 'edge', k, count(*) FROM e GROUP BY 2",
-        "enrich_hints": f"WITH {_E}, h AS (SELECT DISTINCT chunk_id FROM search_hits), x AS (SELECT a chunk_id, b other_id, k, 'outgoing' direction FROM e UNION ALL SELECT b, a, k, 'incoming' FROM e) SELECT chunk_id, other_id, k edge_type, direction, row_number() OVER (PARTITION BY chunk_id ORDER BY {_PRIO}, other_id, direction, k) AS position FROM x WHERE chunk_id IN (SELECT chunk_id FROM h) QUALIFY position <= 10",
+        "enrich_hints": f"WITH {_E}, h AS (SELECT DISTINCT chunk_id FROM search_hits), x AS (SELECT a chunk_id, b other_id, k, 'outgoing' direction FROM e UNION ALL SELECT b, a, k, 'incoming' FROM e) SELECT chunk_id, other_id, k edge_type, direction, row_number() OVER (PARTITION BY chunk_id ORDER BY {_PRIO}, other_id, direction, k)::INT AS position FROM x WHERE chunk_id IN (SELECT chunk_id FROM h) QUALIFY position <= 10",
         "delete_by_file": f"WITH {_S}, {_E}, g AS (SELECT chunk_id FROM s WHERE file_path = (SELECT min(file_path) FROM s)) SELECT a source_chunk_id, b target_chunk_id, k edge_type FROM e WHERE a NOT IN (SELECT chunk_id FROM g) AND b NOT IN (SELECT chunk_id FROM g)",
         "upsert_symbols": f"WITH {_S} SELECT chunk_id, CASE WHEN symbol_type = 'class' THEN upper(name) ELSE name END AS name, symbol_type, file_path FROM s",
         "insert_edges": f"WITH {_S}, {_E}, {_CONT} SELECT a source_chunk_id, b target_chunk_id, k edge_type FROM e UNION SELECT * FROM co",
