@@ -4,8 +4,7 @@ Every node has at most one parent. Roots and a deterministic hash sample of the
 walks up to its next splitter (expected `every` steps, a fixed number of rounds); splitters then form a reduced
 graph of about n/`every` pointers, which pointer doubling solves in log2(depth) rounds. Walks that meet no splitter
 inside the fixed rounds are finished by doubling among themselves; what never meets one hangs on a loop
-without a splitter. A loop that holds splitters shows up as reduced pointers that reach no root after as many
-doublings as the reduced graph can need.
+without a splitter. A loop that holds splitters shows up as reduced pointers that reach no root.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 
 from fathomline.session import cut
 
-WALK_ROUNDS = 6
+#: Steps of the walk that one plan joins in a row.
+WALK_STEPS = 4
 
 
 def resolve_forest(links: DataFrame, every: int = 3, paths: bool = False) -> DataFrame:
@@ -25,119 +25,79 @@ def resolve_forest(links: DataFrame, every: int = 3, paths: bool = False) -> Dat
     must occur once; a parent that is no node counts as missing and makes the child a root. Null nodes are dropped.
     Result: kind, node, root, depth int, looped boolean [, path array<string> from root to node]. A node on a loop
     or below one has looped true, root null, depth -1 and a null path. An empty input gives an empty result.
+
+    Inside, nodes are 64-bit hashes of (kind, node); names are joined back once at the end. A doubling round that
+    finishes no node proves that the rest hangs on loops: were a node k steps from its end left, nodes at all smaller
+    distances would have been, too.
     """
-    links = links.where(F.col("node").isNotNull() & F.col("kind").isNotNull()).select("kind", "node", "parent")
-    known = links.select("kind", F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    base = (
-        links.join(known, ["kind", "parent"], "left")
-        .select("kind", "node", F.when(F.col("_known"), F.col("parent")).alias("parent"))
-        .withColumn("splitter", F.col("parent").isNull() | (F.pmod(F.xxhash64("kind", "node"), F.lit(every)) == 0))
-    )
-    base = cut(base)
-    # walk: cur is the node reached, steps the links walked, trail (nearest first) the nodes passed before cur
-    trail = [F.array("node").alias("trail")] if paths else []
-    up = base.select("kind", F.col("node").alias("cur"), F.col("parent").alias("_up"), F.col("splitter").alias("_stop"))
-    start = base.where(F.col("parent").isNotNull()).select("kind", "node", F.col("parent").alias("cur"), F.lit(1).alias("steps"), *trail)
-    done, active = [], start
-    grow = [F.when(F.col("_stop"), F.col("trail")).otherwise(F.concat("trail", F.array("cur"))).alias("trail")] if paths else []
-    for _ in range(WALK_ROUNDS):
-        step = active.join(up, ["kind", "cur"]).select(
-            "kind", "node", F.when(F.col("_stop"), F.col("cur")).otherwise(F.col("_up")).alias("cur"),
-            F.when(F.col("_stop"), F.col("steps")).otherwise(F.col("steps") + 1).alias("steps"), F.col("_stop").alias("stop"), *grow,
-        )
-        step = cut(step)
-        done.append(step.where("stop").drop("stop"))
-        active = step.where("NOT stop").drop("stop")
-        if active.isEmpty():
-            active = None
-            break
-    if active is not None:
-        seen = cut(active.join(up.drop("_up"), ["kind", "cur"]))  # the last node reached was not looked at yet
-        done.append(seen.where("_stop").drop("_stop"))
-        active = seen.where("NOT _stop").drop("_stop")
-        more, stuck = _double_walks(active, done, paths)
-        done.append(more)
-    else:
-        stuck = None
-    walked = done[0]
-    for d in done[1:]:
-        walked = walked.unionByName(d)
-    solved = _solve_reduced(base, walked, paths)
-    path = {"_p": F.col("path")} if paths else {}
-    at = solved.select("kind", F.col("node").alias("cur"), "root", F.col("depth").alias("_d"), *[c.alias(n) for n, c in path.items()])
-    rest = walked.join(base.where("NOT splitter").select("kind", "node"), ["kind", "node"], "left_semi")
-    tail = [F.concat("_p", F.reverse("trail")).alias("path")] if paths else []
-    inner = rest.join(at, ["kind", "cur"], "left").select("kind", "node", "root", (F.col("_d") + F.col("steps")).alias("depth"), *tail)
-    out = solved.select("kind", "node", "root", "depth", *(["path"] if paths else [])).unionByName(inner)
-    if stuck is not None:
-        none = [F.lit(None).cast("array<string>").alias("path")] if paths else []
-        loops = stuck.join(base.where("splitter").select("kind", "node"), ["kind", "node"], "left_anti")
-        out = out.unionByName(loops.select("kind", "node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"), *none))
-    looped = F.col("root").isNull()
-    return out.select("kind", "node", "root", F.when(looped, -1).otherwise(F.col("depth")).cast("int").alias("depth"), looped.alias("looped"), *(["path"] if paths else []))
-
-
-def _double_walks(active: DataFrame, done: list[DataFrame], paths: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Finish walks longer than the fixed rounds: each takes over what the walk of the node it stands at has reached.
-
-    Returns (walks that reached a splitter, walks that never will). A walk doubles its reach each round, so once the
-    reach exceeds the number of open walks what is left circles on a loop without splitters, or below one.
+    name = links.where(F.col("node").isNotNull() & F.col("kind").isNotNull()).select("kind", "node", F.xxhash64("kind", "node").alias("n"), F.when(F.col("parent").isNotNull(), F.xxhash64("kind", "parent")).alias("p"))
+    known = name.select(F.col("n").alias("p"), F.lit(True).alias("_known"))
+    base = name.join(known, "p", "left").select("kind", "node", "n", F.when(F.col("_known"), F.col("p")).alias("p"))
+    base = cut(base.withColumn("splitter", F.col("p").isNull() | (F.pmod(F.xxhash64("n"), F.lit(every)) == 0)))
+    step = _walk(base, paths)
+    solved = _solve_reduced(base, step, paths)
+    extra = ["path"] if paths else []
+    at = solved.select(F.col("n").alias("cur"), "root", F.col("depth").alias("_d"), *[F.col("path").alias("_p")] * paths)
+    inner = step.where("NOT splitter").join(at, "cur").select("n", "root", (F.col("_d") + F.col("steps")).alias("depth"), *[F.concat("_p", F.reverse("trail")).alias("path")] * paths)
+    found = solved.unionByName(inner)
+    top = base.where("p IS NULL").select(F.col("n").alias("root"), F.col("node").alias("_root"))
+    named = found.join(top, "root").select("n", "_root", "depth", *extra)
+    out = base.select("kind", "node", "n").join(named, "n", "left")
+    return out.select("kind", "node", F.col("_root").alias("root"), F.coalesce("depth", F.lit(-1)).cast("int").alias("depth"), F.col("_root").isNull().alias("looped"), *extra)
+
+
+def _walk(base: DataFrame, paths: bool) -> DataFrame:
+    """(n, splitter, cur, steps[, trail]): every node that has a parent with the next splitter above it.
+
+    trail holds the names passed, the node's own first. Nodes whose walk meets no splitter are left out.
     """
-    ended = done[0]
-    for d in done[1:]:
-        ended = ended.unionByName(d)
-    finished = active.where("false")
-    reach, left = 1, active.count()
-    extra = ["trail"] if paths else []
+    up = base.select(F.col("n").alias("cur"), F.col("p").alias("_up"), F.col("splitter").alias("_stop"), *[F.col("node").alias("_name")] * paths)
+    walk = base.where("p IS NOT NULL").select("n", "splitter", F.col("p").alias("cur"), F.lit(1).alias("steps"), *[F.array("node").alias("trail")] * paths)
+    for i in range(WALK_STEPS):
+        met = walk.join(up, "cur")
+        last = i == WALK_STEPS - 1  # the last join only looks at the node reached
+        go = ~F.col("_stop") if not last else F.lit(False)
+        walk = met.select(
+            "n", "splitter", F.when(go, F.col("_up")).otherwise(F.col("cur")).alias("cur"), (F.col("steps") + go.cast("int")).alias("steps"), F.col("_stop").alias("stop"),
+            *[F.when(go, F.concat("trail", F.array("_name"))).otherwise(F.col("trail")).alias("trail")] * paths,
+        )
+    walk = cut(walk)
+    ended, active = walk.where("stop").drop("stop"), walk.where("NOT stop").drop("stop")
+    left = active.count()
     while left:
+        # an open walk stands at a node that is no splitter; it takes over what that node's own walk has reached
         def ahead(df: DataFrame, stop: bool) -> DataFrame:
-            return df.select("kind", F.col("node").alias("cur"), F.col("cur").alias("_c"), F.col("steps").alias("_s"), F.lit(stop).alias("stop"), *[F.col("trail").alias("_t")] * paths)
-
-        nxt = ahead(active, False).unionByName(ahead(ended, True))
-        # an open walk stands at a node that is no splitter and no root (else it had stopped), so that node's own walk is ended or open
-        join = [F.concat("trail", "_t").alias("trail")] if paths else []
-        step = cut(active.join(nxt, ["kind", "cur"]).select("kind", "node", F.col("_c").alias("cur"), (F.col("steps") + F.col("_s")).alias("steps"), "stop", *join))
-        won = step.where("stop").select("kind", "node", "cur", "steps", *extra)
-        finished = finished.unionByName(won)
-        ended = ended.unionByName(won)
-        active = step.where("NOT stop").select("kind", "node", "cur", "steps", *extra)
-        reach *= 2
-        if reach > left:
+            return df.where("NOT splitter").select(F.col("n").alias("cur"), F.col("cur").alias("_c"), F.col("steps").alias("_s"), F.lit(stop).alias("stop"), *[F.col("trail").alias("_t")] * paths)
+
+        jump = active.join(ahead(active, False).unionByName(ahead(ended, True)), "cur")
+        jump = cut(jump.select("n", "splitter", F.col("_c").alias("cur"), (F.col("steps") + F.col("_s")).alias("steps"), "stop", *[F.concat("trail", "_t").alias("trail")] * paths))
+        ended, active = ended.unionByName(jump.where("stop").drop("stop")), jump.where("NOT stop").drop("stop")
+        now = active.count()
+        if now == left:
             break
-        left = active.count()
-    return finished, active.select("kind", "node")
+        left = now
+    return ended
 
 
 def _solve_reduced(base: DataFrame, walked: DataFrame, paths: bool) -> DataFrame:
-    """Root, depth and path of every splitter, by pointer doubling over splitters only."""
-    marks = base.where("splitter")
-    roots = marks.where(F.col("parent").isNull()).select("kind", "node", F.col("node").alias("root"), F.lit(0).alias("depth"), *[F.array("node").alias("path")] * paths)
-    extra = ["trail"] if paths else []
-    open_ = cut(marks.where(F.col("parent").isNotNull()).select("kind", "node").join(walked, ["kind", "node"], "left").select("kind", "node", "cur", "steps", *extra))
-    solved = cut(roots)
-    lost = open_.where(F.col("cur").isNull()).select("kind", "node")  # walks that end on a splitterless loop
-    open_ = open_.where(F.col("cur").isNotNull())
-    left, reach = open_.count(), 1
+    """(n, root, depth[, path]) of every splitter that reaches a root, by pointer doubling over splitters only."""
+    extra = ["path"] if paths else []
+    solved = base.where("p IS NULL").select("n", F.col("n").alias("root"), F.lit(0).alias("depth"), *[F.array("node").alias("path")] * paths)
+    open_ = walked.where("splitter").drop("splitter")
+    left = open_.count()
     while left:
-        ends = solved.select("kind", F.col("node").alias("cur"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.lit(None).cast("string").alias("_c"), F.lit(None).cast("int").alias("_s"), *[F.col("path").alias("_t")] * paths)
-        hops = open_.select("kind", F.col("node").alias("cur"), F.lit(None).cast("string").alias("_r"), F.lit(None).cast("int").alias("_d"), F.col("cur").alias("_c"), F.col("steps").alias("_s"), *[F.col("trail").alias("_t")] * paths)
-        step = open_.join(ends.unionByName(hops), ["kind", "cur"], "left")
+        ends = solved.select(F.col("n").alias("cur"), F.col("root").alias("_r"), F.col("depth").alias("_s"), F.lit(None).cast("long").alias("_c"), *[F.col("path").alias("_t")] * paths)
+        hops = open_.select(F.col("n").alias("cur"), F.lit(None).cast("long").alias("_r"), F.col("steps").alias("_s"), F.col("cur").alias("_c"), *[F.col("trail").alias("_t")] * paths)
         hit = F.col("_r").isNotNull()
-        step = cut(step.select(
-            "kind", "node", F.col("_r").alias("root"), (F.col("_d") + F.col("steps")).alias("depth"), F.col("_c").alias("cur"), (F.col("steps") + F.col("_s")).alias("steps"),
-            *[F.when(hit, F.concat("_t", F.reverse("trail"))).otherwise(F.concat("trail", "_t")).alias("trail")] * paths,
-        ))
-        won = step.where("root IS NOT NULL").select("kind", "node", "root", "depth", *[F.col("trail").alias("path")] * paths)
-        solved = solved.unionByName(won)
-        lost = lost.unionByName(step.where("root IS NULL AND cur IS NULL").select("kind", "node"))
-        open_ = step.where("root IS NULL AND cur IS NOT NULL").select("kind", "node", "cur", "steps", *extra)
-        reach *= 2
-        if reach > left:
+        step = open_.join(ends.unionByName(hops), "cur")  # a pointer into a walk without end drops out: its node is looped
+        step = cut(step.select("n", F.col("_r").alias("root"), (F.col("steps") + F.col("_s")).alias("steps"), F.col("_c").alias("cur"), *[F.when(hit, F.concat("_t", F.reverse("trail"))).otherwise(F.concat("trail", "_t")).alias("trail")] * paths))
+        solved = solved.unionByName(step.where("root IS NOT NULL").select("n", "root", F.col("steps").alias("depth"), *[F.col("trail").alias("path")] * paths))
+        open_ = step.where("root IS NULL").select("n", "cur", "steps", *(["trail"] if paths else []))
+        now = open_.count()
+        if now == left:
             break
-        left = open_.count()
-    for rest in (lost, open_.select("kind", "node")):
-        solved = solved.unionByName(rest.select("kind", "node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"), *[F.lit(None).cast("array<string>").alias("path")] * paths))
-    return solved
+        left = now
+    return solved.select("n", "root", "depth", *extra)
 
 
 def descendants(forest: DataFrame) -> DataFrame:
