@@ -3,7 +3,7 @@
 Only the order within each score matters, so no score dominates by its range. A group (a query) may hold any share of
 the rows: values are counted first (ties and copies collapse on the map side), groups beyond `hot_rows` distinct
 values are cut into value ranges at their own quantiles, and ranks are running counts within a range plus the counts of
-the ranges above.
+the ranges above. Where no group is hot, the same ranks come from windows within one shuffle by group.
 """
 
 from __future__ import annotations
@@ -41,6 +41,22 @@ def value_ranks(values: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) ->
     return inside.join(per, [*keys, "_range"]).select(*keys, "v", "n", (F.col("_run") + F.col("_before")).alias("above"), "total")
 
 
+def _borda_by_group(rows: DataFrame, group: str, item: str, scores: list[str], weights: list[float]) -> DataFrame:
+    """borda where every group fits one task: one shuffle by group, windows within it. Same result as by value ranges."""
+    whole = Window.partitionBy("_g")
+    share, cols = F.lit(0.0), {}
+    for k, (s, weight) in enumerate(zip(scores, weights)):
+        v = F.col(f"_s{k}")
+        place = F.rank().over(whole.orderBy(F.desc_nulls_last(f"_s{k}")))
+        ties, m = F.count("*").over(Window.partitionBy("_g", f"_s{k}")), F.count(v).over(whole)
+        cols[f"place_{s}"] = F.when(v.isNotNull(), place).cast("long")
+        share = share + F.lit(float(weight)) * F.coalesce(F.when(v.isNotNull(), 1 - (place - 1 + ties / 2) / m), F.lit(0.5))
+    present = sum((F.col(f"_s{k}").isNotNull().cast("int") for k in range(len(scores))), F.lit(0))
+    out = rows.select("_g", "_i", present.cast("int").alias("present"), F.round(share * F.count("*").over(whole), 9).alias("points"), F.count("*").over(whole).alias("n_items"), *[c.alias(n) for n, c in cols.items()])
+    out = out.withColumn("position", F.row_number().over(whole.orderBy(F.desc("points"), "_i")).cast("long"))
+    return out.select(F.col("_g").alias(group), F.col("_i").alias(item), "present", "points", "position", *cols, "n_items")
+
+
 def borda(hits: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(group, item, present, points, position, place_<score>...): one order per group.
 
@@ -54,6 +70,8 @@ def borda(hits: DataFrame, group: str, item: str, scores: list[str], weights: li
     g, i = F.col(f"`{group}`").alias("_g"), F.col(f"`{item}`").alias("_i")
     sound = lambda s: F.when(~F.isnan(F.col(f"`{s}`").cast("double")), F.col(f"`{s}`").cast("double"))
     base = hits.where(F.col(f"`{group}`").isNotNull() & F.col(f"`{item}`").isNotNull())
+    if base.groupBy(g).count().where(F.col("count") > hot_rows).isEmpty():
+        return _borda_by_group(base.select(g, i, *[sound(s).alias(f"_s{k}") for k, s in enumerate(scores)]), group, item, scores, weights)
     sizes = base.groupBy(g).agg(F.count("*").alias("_size"))
     long = base.select(g, i, F.explode(F.array(*[F.struct(F.lit(k).alias("s"), sound(s).alias("v")) for k, s in enumerate(scores)])).alias("x")).select("_g", "_i", "x.s", "x.v")
     ranks = value_ranks(long.where("v IS NOT NULL").select("_g", "s", "v"), ["_g", "s"], hot_rows)
