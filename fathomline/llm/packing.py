@@ -3,7 +3,7 @@
 Each shard of documents (a hash of the id, so any order of arrival gives the same result) is packed on its own: the
 level array holds how many open containers are filled to each level, and each item goes to the level that leaves the
 smallest sum of squared counts. Only the last, partly filled containers of a shard waste space, so waste falls with
-the items a shard holds; what shards leave open is packed again, whole containers as items, until one shard remains.
+the items a shard holds.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.session import cut
+
 TOKENIZERS = "/opt/tokenizers"
 SHARD_ITEMS = 20_000
 
@@ -87,7 +89,7 @@ def pack(items: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> Dat
     size 0 or null take no space and are left out; repeated ids are packed once for each row. The container id is
     "shard-number"; fill is the container's total. An empty input gives an empty result.
     """
-    whole = items.where("size > 0").select("item", "size")
+    whole = cut(items.where("size > 0").select("item", "size"))  # two numbers a row; the sizes are not measured again
     parts = whole.select("item", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / capacity).cast("int") - 1)).alias("part"), F.col("size"))
     parts = parts.select("item", "part", F.least(F.lit(capacity), F.col("size") - F.col("part") * capacity).cast("long").alias("size"))
     full = parts.where(F.col("size") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), F.col("item").cast("string"), F.col("part").cast("string")))
