@@ -29,7 +29,7 @@ GENERATED_DIRS = ("gen", "generated", "__generated__", "autogen")
 GENERATED_NAME = r"(?:\.(?:gen|generated|g|pb|pb\.gw|min|bundle|designer)\.[A-Za-z]+|_pb2(?:_grpc)?\.pyi?|_(?:gen|generated)\.[A-Za-z]+|(?:Grpc|OuterClass)\.java|\.pb\.(?:go|cc|h))$"
 #: Header notices (fixed values). They count only in the comments before the first code.
 NOTICE = re.compile(
-    r"code generated by\b.*do not edit|\bauto-?generated\b|<auto-generated|@generated\b|\bgenerated (?:on build|from|automatically|code)\b|^\W*generated by\b|do not (?:modify|edit)\b.*(?:output of|generated)|"
+    r"code generated by\b.*do not edit|\bauto-?generated\b(?! (?:method|function|constructor|getter|setter|stub))|<auto-generated|@generated\b|\bgenerated (?:on build|from|automatically|code)\b|^\W*generated by\b|do not (?:modify|edit)\b.*(?:output of|generated)|"
     r"(?:file|code|source) (?:was|is|has been) (?:\w+ )?(?:produced|generated|created|written) by (?:the |a )?\S+|upstream copy|bundled third-?party|vendored (?:from|copy)|copied (?:verbatim )?from upstream|sync with the (?:upstream|release)",
     re.I | re.M,
 )
