@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from fathomline.functions.ranking import RRF_K, bm25, cosine_similarity
 from fathomline.functions.text import expand_query, glob_match, index_tokens
 
+#: Seeds that are broadcast at once.
+SEED_BLOCK = 1000
+
 
 def chunk_filter(file_pattern: list[str] | str | None = None, chunk_type: str | None = None, folder_structure: list[str] | None = None, tags: list[str] | None = None, project_name: str | None = None, **_: object) -> Column:
     """Conjunction of the given filters; alternatives within one are OR-ed; unknown keys count for nothing."""
@@ -70,16 +73,21 @@ def rrf(lists: list[DataFrame], keys: list[str], k: int) -> DataFrame:
     return ranked(fused, "score", keys, k)
 
 
-def similar_to(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+def similar_to(vectors: DataFrame, seeds: DataFrame, k: int, block: int = SEED_BLOCK) -> DataFrame:
     """(seed_id, chunk_id, similarity, rank): the k chunks most similar to each stored seed vector, itself left out.
 
-    `seeds` (chunk_id, embedding) is a stated, short query list: it is held against all rows block by block, each task
-    keeping k per seed, so only (seeds x tasks x k) rows are shuffled.
+    `seeds` (chunk_id, embedding) are held against all rows in blocks of about `block` seeds, the only thing that is
+    broadcast; each task keeps k per seed, so (seeds x tasks x k) rows are shuffled. Exact.
     """
-    ask = F.broadcast(seeds.select(F.col("chunk_id").alias("seed_id"), F.col("embedding").alias("_q")))
-    pairs = vectors.join(ask, F.col("chunk_id") != F.col("seed_id")).select("seed_id", "chunk_id", F.round(cosine_similarity(F.col("embedding"), F.col("_q")), 6).alias("similarity"))
+    blocks = max(1, -(-seeds.count() // block))
+    ask = seeds.select(F.col("chunk_id").alias("seed_id"), F.col("embedding").alias("_q"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("_b"))
     order = Window.partitionBy("seed_id").orderBy(F.desc("similarity"), "chunk_id")
-    return pairs.where("similarity IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    parts = []
+    for b in range(blocks):
+        some = F.broadcast(ask.where(F.col("_b") == b).drop("_b"))
+        pairs = vectors.join(some, F.col("chunk_id") != F.col("seed_id")).select("seed_id", "chunk_id", F.round(cosine_similarity(F.col("embedding"), F.col("_q")), 6).alias("similarity"))
+        parts.append(pairs.where("similarity IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rerank(hits: DataFrame, keys: list[str], score: str, recall_k: int, top_k: int, min_score: Column | float = 0.0, recall_by: str = "similarity_score") -> DataFrame:
