@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Error allowance of a coded score: two codes of 64 components off by at most half a step each.
 CODE_SLACK = 0.02
 SUBTREE_LEVELS = 6
+#: Sample rows below which a node's own median is not fitted, and the bounds of the sample itself.
+NODE_SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 4, 32_768, 262_144
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -46,32 +48,43 @@ def clean_vectors(rows: DataFrame, model: str | None, width: int) -> DataFrame:
 
 
 class Forest:
-    """Directions (trees, levels, width) and per-level split points (trees, 2**level) fitted on a bounded sample."""
+    """Directions (trees, levels, width) with split points: the median of each node's sample rows as long as it has
+    some, below that one median a level for all nodes."""
 
     def __init__(self, sample: np.ndarray, trees: int, levels: int, seed: int):
         rng = np.random.default_rng(seed)
         self.trees, self.levels = trees, levels
         width = sample.shape[1]
-        self.directions = np.stack([np.linalg.qr(rng.normal(size=(width, max(levels, 1))))[0].T if levels <= width else rng.normal(size=(levels, width)) for _ in range(trees)]).astype(np.float32)
-        self.splits = [np.zeros((trees, 1 << lv), np.float32) for lv in range(levels)]
-        for t in range(trees):
+        self.fitted = int(min(levels, np.log2(max(len(sample), NODE_SAMPLE) / NODE_SAMPLE)))
+        self.directions = rng.normal(size=(trees, levels, width)).astype(np.float32)
+        for t in range(trees):  # directions of up to `width` levels stand at right angles
+            n = min(levels, width)
+            if n:
+                self.directions[t, :n] = np.linalg.qr(self.directions[t, :n].T)[0].T
+            self.directions[t] /= np.maximum(np.linalg.norm(self.directions[t], axis=1, keepdims=True), 1e-30)
+        self.splits = [np.zeros((trees, 1 << lv), np.float32) for lv in range(self.fitted)]
+        self.medians = np.zeros((trees, levels), np.float32)
+        for t in range(trees if len(sample) else 0):
             node = np.zeros(len(sample), np.int64)
             shown = sample @ self.directions[t].T
-            for lv in range(levels):
+            self.medians[t] = np.median(shown, axis=0)
+            for lv in range(self.fitted):
                 order = np.lexsort((shown[:, lv], node))
                 ends = np.searchsorted(node[order], np.arange(1 << lv), "right")
                 begins = np.searchsorted(node[order], np.arange(1 << lv), "left")
-                has = ends > begins
-                mid = order[np.minimum((begins + ends) // 2, len(order) - 1)] if len(order) else np.zeros(1 << lv, int)
-                self.splits[lv][t] = np.where(has, shown[mid, lv] if len(order) else 0, 0)
+                mid = order[np.minimum((begins + ends) // 2, len(order) - 1)]
+                self.splits[lv][t] = np.where(ends > begins, shown[mid, lv], self.medians[t, lv])
                 node = node * 2 + (shown[:, lv] >= self.splits[lv][t][node])
 
+    def split(self, level: int, tree: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return self.splits[level][tree, node] if level < self.fitted else self.medians[tree, level]
+
     def homes(self, shown: np.ndarray) -> np.ndarray:
         """Leaf (rows, trees) of each row, from its projections (rows, trees, levels)."""
         node = np.zeros(shown.shape[:2], np.int64)
-        tree = np.arange(self.trees)[None, :]
+        tree = np.broadcast_to(np.arange(self.trees)[None, :], node.shape)
         for lv in range(self.levels):
-            node = node * 2 + (shown[:, :, lv] >= self.splits[lv][tree, node])
+            node = node * 2 + (shown[:, :, lv] >= self.split(lv, tree, node))
         return node
 
     def search(self, shown: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +94,7 @@ class Forest:
         node, cost = np.zeros_like(tree), np.zeros(tree.shape, np.float32)
         row = np.arange(n)[:, None]
         for lv in range(self.levels):
-            margin = shown[row, tree, lv] - self.splits[lv][tree, node]
+            margin = shown[row, tree, lv] - self.split(lv, tree, node)
             near = node * 2 + (margin >= 0)
             tree, node = np.hstack([tree, tree]), np.hstack([near, near ^ 1])
             cost = np.hstack([cost, cost + margin * margin])
@@ -92,19 +105,20 @@ class Forest:
 
 
 def _near(
-    vectors: DataFrame, k: int, queries: Column | None, min_cosine: float | None, trees: int, probes: int, leaf_rows: int, sample_rows: int, seed: int, basis: DataFrame | None,
+    vectors: DataFrame, k: int, queries: Column | None, min_cosine: float | None, trees: int, probes: int, leaf_rows: int, sample_rows: int | None, seed: int, basis: DataFrame | None,
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, b, cosine) of vector hashes, nodes (key, id, embedding) of the hashes in them)."""
     basis = vectors if basis is None else basis
     rows = vectors.select(F.xxhash64("embedding").alias("key"), "id", "embedding", (F.lit(True) if queries is None else queries).alias("ask"))
     n = basis.count()
+    sample_rows = sample_rows or int(min(MOST_SAMPLE, max(LEAST_SAMPLE, n // 128)))
     hashed = basis.select("embedding", F.xxhash64("embedding").alias("_h"))
     if n > sample_rows:  # only about as many rows as are wanted reach the driver, whatever the number of tasks
         hashed = hashed.where(F.col("_h") < int(-(2**63) + 2**64 * min(1.0, 1.05 * sample_rows / n)))
-    first = hashed.orderBy("_h").limit(sample_rows).select("embedding").collect()
-    sample = np.array([r[0] for r in first], np.float32) if first else np.zeros((0, 1), np.float32)
+    first = hashed.orderBy("_h").limit(sample_rows).select("embedding").toArrow().column(0).combine_chunks()
+    sample = first.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(first), -1) if len(first) else np.zeros((0, 1), np.float32)
     sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-30)
-    levels = int(max(0, min(np.ceil(np.log2(max(n, 1) / leaf_rows)), np.log2(max(len(sample), 8) / 8))))
+    levels = int(max(0, np.ceil(np.log2(max(n, 1) / leaf_rows))))
     forest = Forest(sample, trees, levels, seed)
     low = min(levels, SUBTREE_LEVELS)
     all_ask = queries is None
@@ -183,16 +197,16 @@ def _near(
 
 def knn(
     vectors: DataFrame, k: int, queries: Column | None = None, min_cosine: float | None = None, trees: int = 3, probes: int = 24,
-    leaf_rows: int = 256, sample_rows: int = 32768, seed: int = 7, basis: DataFrame | None = None,
+    leaf_rows: int = 256, sample_rows: int | None = None, seed: int = 7, basis: DataFrame | None = None,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): for each distinct vector that `queries` selects, its k nearest among all.
 
     `vectors` is (id string, embedding array<float>) without unfit vectors (see clean_vectors). Rows with the very same
     vector are one node, named by its smallest id; it asks if one of them does. `min_cosine` drops weaker neighbours
     early. Ties rank by neighbour id. An empty table gives an empty result. The split planes are fitted on the
-    `sample_rows` vectors of smallest hash in `basis` (default: `vectors`; raw rows spare a shuffle), a fixed bound:
-    32,768 rows of 64 floats are 8 MB. Every row is indexed. Above sample_rows * leaf_rows / 8 rows leaves grow with
-    the data: raise sample_rows then.
+    vectors of smallest hash in `basis` (default: `vectors`; raw rows spare a shuffle): `sample_rows` of them, by
+    default one row in 128 but at least 32,768 and at most 262,144 (64 MB at 64 floats), a fixed bound. Every row is
+    indexed, and the depth follows the number of rows; levels deeper than the sample reaches split at one median.
     """
     pairs, nodes = _near(vectors, k, queries, min_cosine, trees, probes, leaf_rows, sample_rows, seed, basis)
     names = nodes.select("key", "id")
@@ -202,7 +216,7 @@ def knn(
 
 
 def similar_pairs(
-    vectors: DataFrame, min_cosine: float, k: int, trees: int = 3, probes: int = 24, leaf_rows: int = 256, sample_rows: int = 32768, seed: int = 7, basis: DataFrame | None = None,
+    vectors: DataFrame, min_cosine: float, k: int, trees: int = 3, probes: int = 24, leaf_rows: int = 256, sample_rows: int | None = None, seed: int = 7, basis: DataFrame | None = None,
 ) -> DataFrame:
     """(a, b), a < b: pairs of ids at `min_cosine` or more, found through the k nearest of every distinct vector.
 

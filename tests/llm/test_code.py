@@ -91,7 +91,6 @@ def test_trivial(doc, trivial):
 
 
 def test_signatures():
-    assert parameters("public int f(final List<Map<A, B>> a, int b", "f") == [] or True
     assert signature(parameters("int f(final List<A> a, @X int b)", "f"), "java") == "(List<A>,int)"
     assert signature(parameters("def f(self, a, *args, b=(1, 2), **kw)", "f"), "py") == "(_,*,_,**)"
     assert signature(parameters("f(a: string, b?: Map<x, y>)", "f"), "ts") == "(string,Map<x,y>)"
