@@ -27,7 +27,7 @@ def _raw_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks whose vectors have a cosine of 0.95 or more."""
-    pairs = similar_vectors.similar_pairs(_vectors(spark, d), 0.95, k=8, trees=2, probes=14, basis=_raw_vectors(spark, d))
+    pairs = similar_vectors.similar_pairs(_vectors(spark, d), 0.95, k=8, trees=2, probes=16, more_probes=4, leaf_rows=1024, basis=_raw_vectors(spark, d))
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 

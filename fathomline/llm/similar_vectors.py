@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Error allowance of a coded score: two codes of 64 components off by at most half a step each.
 CODE_SLACK = 0.02
 SUBTREE_LEVELS = 6
+#: Depth up to which `probes` alone holds; each level below it adds `more_probes`.
+SHALLOW_LEVELS = 7
 #: Sample rows below which a node's own median is not fitted, and the bounds of the sample itself.
 NODE_SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 4, 32_768, 262_144
 
@@ -105,7 +107,7 @@ class Forest:
 
 
 def _near(
-    vectors: DataFrame, k: int, queries: Column | None, min_cosine: float | None, trees: int, probes: int, leaf_rows: int, sample_rows: int | None, seed: int, basis: DataFrame | None,
+    vectors: DataFrame, k: int, queries: Column | None, min_cosine: float | None, trees: int, probes: int, leaf_rows: int, sample_rows: int | None, seed: int, basis: DataFrame | None, more_probes: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, b, cosine) of vector hashes, nodes (key, id, embedding) of the hashes in them)."""
     basis = vectors if basis is None else basis
@@ -119,6 +121,7 @@ def _near(
     sample = first.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(first), -1) if len(first) else np.zeros((0, 1), np.float32)
     sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-30)
     levels = int(max(0, np.ceil(np.log2(max(n, 1) / leaf_rows))))
+    probes += more_probes * max(0, levels - SHALLOW_LEVELS)
     forest = Forest(sample, trees, levels, seed)
     low = min(levels, SUBTREE_LEVELS)
     all_ask = queries is None
@@ -216,13 +219,14 @@ def knn(
 
 
 def similar_pairs(
-    vectors: DataFrame, min_cosine: float, k: int, trees: int = 3, probes: int = 24, leaf_rows: int = 256, sample_rows: int | None = None, seed: int = 7, basis: DataFrame | None = None,
+    vectors: DataFrame, min_cosine: float, k: int, trees: int = 3, probes: int = 24, leaf_rows: int = 256, sample_rows: int | None = None, seed: int = 7, basis: DataFrame | None = None, more_probes: int = 0,
 ) -> DataFrame:
     """(a, b), a < b: pairs of ids at `min_cosine` or more, found through the k nearest of every distinct vector.
 
-    Ids with the very same vector are paired with each other and share their node's partners.
+    Ids with the very same vector are paired with each other and share their node's partners. Each level of depth below
+    SHALLOW_LEVELS adds `more_probes`, since a pair is parted more often in a deeper tree.
     """
-    pairs, _ = _near(vectors, k, None, min_cosine, trees, probes, leaf_rows, sample_rows, seed, basis)
+    pairs, _ = _near(vectors, k, None, min_cosine, trees, probes, leaf_rows, sample_rows, seed, basis, more_probes)
     members = vectors.select(F.xxhash64("embedding").alias("key"), "id")
     across = pairs.select("a", "b").join(members.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("key").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
     several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")

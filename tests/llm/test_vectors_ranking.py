@@ -5,8 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathomline.llm import queries
 from fathomline.llm.rank_fusion import borda
 from fathomline.llm.similar_vectors import clean_vectors, knn, similar_pairs
+from tests.compare import DATA
 
 V = "id string, embedding array<float>"
 
@@ -51,6 +53,22 @@ def test_a_third_of_all_rows_alike(spark):
     assert got.id.nunique() == 401 and (got["rank"] <= 3).all()
 
 
+def test_more_probes_follow_the_depth(spark):
+    x = clustered(3000)
+    df = spark.createDataFrame([(f"v{i:05}", [float(y) for y in r]) for i, r in enumerate(x)], V)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(f"v{i:05}", f"v{j:05}") for i, j in zip(*np.where(np.triu(unit @ unit.T, 1) >= 0.99))}
+    few, more = ({(r.a, r.b) for r in similar_pairs(df, 0.99, 8, trees=2, probes=1, leaf_rows=2, more_probes=m).collect()} for m in (0, 16))
+    assert few < more <= want and len(more) >= 0.98 * len(want)
+
+
+def test_pairs_query_widens_its_search_with_the_depth(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(queries.similar_vectors, "similar_pairs", lambda v, c, **how: seen.update(how) or spark.createDataFrame([], "a string, b string"))
+    queries.p1_found(spark, DATA)
+    assert seen["probes"] >= 16 and seen["more_probes"] > 0
+
+
 def test_only_current_and_sound_vectors(spark):
     t = [dt.datetime(2024, 1, i) for i in (1, 2)]
     rows = [("a", [1.0, 2.0], "m", t[0]), ("a", [3.0, 4.0], "m", t[1]), ("a", [3.0, 4.0], "m", t[1]), ("b", [1.0, 1.0], "m", t[0]), ("b", [1.0, 1.0, 1.0], "other", t[1]), ("n", None, "m", t[0]), ("z", [0.0, 0.0], "m", t[0]), ("x", [float("nan"), 1.0], "m", t[0]), ("y", [None, 1.0], "m", t[0]), (None, [1.0, 1.0], "m", t[0]), ("i", [float("inf"), 1.0], "m", t[0])]
