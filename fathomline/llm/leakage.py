@@ -3,7 +3,8 @@
 Each batch of documents becomes a shard of the index: postings (term -> positions) of the test vocabulary in one sorted
 array. A leak of at least `least` consecutive words must hold an aligned block of `block` words of the item, so each
 block is a phrase query: its terms' lists are intersected, shifted by their offsets, from the rarest term on. Hits are
-extended to the longest common run in both directions. The test side has a proven bound (`max_test_words`); it is the
+extended to the longest common run in both directions. Proximity matches are chains of shorter runs whose offsets drift
+by at most a slack between one run and the next, so words may be put in, left out or changed. The test side has a proven bound (`max_test_words`); it is the
 only thing that is broadcast.
 """
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 WORD = regex.compile(rb"[0-9a-z]+")
 #: Characters of documents that form one shard of the index in memory.
 SHARD_CHARS = 6_000_000
+#: Words in a row that each link of a proximity match has at least.
+LINK_WORDS = 3
 
 
 def words_of(text: str) -> list[bytes]:
@@ -95,8 +98,91 @@ def phrase_hits(test: TestPhrases, texts: list[str], least: int) -> list[tuple[i
     return sorted(out)
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, least: int = 15, max_test_words: int = 5_000_000) -> DataFrame:
-    """(doc_id, item_id, n_words int, doc_word int, item_word int): every maximal run of `least` or more shared words.
+def shared_runs(test: TestPhrases, terms: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place in `terms`, item number, word offset in the item, words in a row) of all maximal runs of `least` words or more."""
+    lengths = np.array([len(t) for t in test.terms], np.int64)
+    items = np.concatenate([np.r_[t, np.int32(-3)] for t in test.terms]).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
+    begins = np.cumsum(lengths + 1) - lengths - 1
+    words = terms.astype(np.int64)
+
+    def grams(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = max(0, len(x) - least + 1)
+        key, fit = np.zeros(n, np.int64), np.ones(n, bool)
+        for j in range(least):  # may wrap around; equal keys are compared below
+            key = key * np.int64(len(test.vocab) + 1) + x[j : n + j]
+            fit &= x[j : n + j] >= 0
+        at = np.flatnonzero(fit)
+        return key[at], at
+
+    key, k = grams(items)
+    order = np.argsort(key, kind="stable")
+    key, k = key[order], k[order]
+    mine, p = grams(words)
+    lo, hi = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
+    n = hi - lo
+    p, k = np.repeat(p, n), k[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64)
+    same = np.ones(len(p), bool)
+    for j in range(least):
+        same &= words[p + j] == items[k + j]
+    p, k = p[same], k[same]
+    order = np.lexsort((p, p - k))
+    p, k = p[order], k[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(p) != 1) | (np.diff(p - k) != 0)]) if len(p) else np.zeros(0, np.int64)
+    item = np.searchsorted(begins, k[first], "right") - 1
+    return p[first], item, k[first] - begins[item] if len(first) else k[first], np.diff(np.r_[first, len(p)]) + least - 1
+
+
+def chains(runs: list[tuple[int, int, int]], least: int, slack: int) -> list[tuple[int, int, int]]:
+    """(words, start in the text, in the item) of the longest chain up to each run that none follows, with two runs and `least` words or more.
+
+    `runs` is (start in the text, in the item, words) in order. A run follows another if at most `slack` words lie between
+    them in either text; words that both hold count once.
+    """
+    best: list[tuple[int, int, int, int]] = []
+    followed, live = set(), []
+    for j, (p, k, n) in enumerate(runs):
+        live = [i for i in live if runs[i][0] + runs[i][2] + slack >= p]
+        mine = (n, 1, p, k)
+        for i in live:
+            pe, ke = runs[i][0] + runs[i][2], runs[i][1] + runs[i][2]
+            cut = max(0, pe - p, ke - k)
+            if cut < n and p + cut - pe <= slack and k + cut - ke <= slack:
+                followed.add(i)
+                mine = max(mine, (best[i][0] + n - cut, best[i][1] + 1, best[i][2], best[i][3]))
+        best.append(mine)
+        live.append(j)
+    out: dict[tuple[int, int], int] = {}
+    for i, (n, links, p, k) in enumerate(best):
+        if i not in followed and links > 1 and n >= least:
+            out[p, k] = max(n, out.get((p, k), 0))
+    return [(n, p, k) for (p, k), n in out.items()]
+
+
+def near_hits(test: TestPhrases, texts: list[str], least: int, slack: int) -> list[tuple[int, int, int, int, int]]:
+    """As phrase_hits, for chains of runs of LINK_WORDS words or more that together have `least` shared words or more."""
+    terms, owner, _, _ = shard_postings(texts, test.vocab)
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
+    p, item, k, n = shared_runs(test, terms, min(LINK_WORDS, least))
+    doc = owner[p]
+    order = np.lexsort((k, p, item, doc))
+    p, item, k, n, doc = p[order], item[order], k[order], n[order], doc[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0)]) if len(p) else np.zeros(0, int)
+    ends = np.r_[first[1:], len(p)]
+    words = np.add.reduceat(n, first) if len(first) else first
+    out = []
+    for g in np.flatnonzero((ends - first > 1) & (words >= least)):  # no other can hold a chain
+        a, b = first[g], ends[g]
+        d = int(doc[a])
+        runs = list(zip((p[a:b] - starts[d]).tolist(), k[a:b].tolist(), n[a:b].tolist()))
+        out += [(d, int(item[a]), w, x, y) for w, x, y in chains(runs, least, slack)]
+    return sorted(out)
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, least: int = 15, max_test_words: int = 5_000_000, slack: int | None = None) -> DataFrame:
+    """(doc_id, item_id, n_words int, doc_word int, item_word int, match_type): every maximal run of `least` or more shared words, 'exact'.
+
+    With `slack` also 'proximity' matches: two or more runs of LINK_WORDS words or more in the same order in both texts,
+    at most `slack` words apart in either, with `least` or more shared words together (n_words).
 
     Null and empty texts hold nothing; repeated items count once. The test set is collected and broadcast after its
     size is checked: above `max_test_words` characters / 2 it raises.
@@ -116,8 +202,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: st
         size = 0
 
         def flush() -> pd.DataFrame:
-            rows = phrase_hits(test, texts, least)
-            return pd.DataFrame([(keys[d], test.ids[n], w, a, b) for d, n, w, a, b in rows], columns=["d", "i", "n_words", "doc_word", "item_word"])
+            rows = [(*r, "exact") for r in phrase_hits(test, texts, least)]
+            if slack is not None:
+                rows += [(*r, "proximity") for r in near_hits(test, texts, least, slack)]
+            return pd.DataFrame([(keys[d], test.ids[n], w, a, b, m) for d, n, w, a, b, m in rows], columns=["d", "i", "n_words", "doc_word", "item_word", "match_type"])
 
         for pdf in batches:
             for key, t in zip(pdf["d"], pdf["t"]):
@@ -132,5 +220,5 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: st
 
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     rows = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
-    out = rows.mapInPandas(search, f"d {kinds[0]}, i {kinds[1]}, n_words int, doc_word int, item_word int")
+    out = rows.mapInPandas(search, f"d {kinds[0]}, i {kinds[1]}, n_words int, doc_word int, item_word int, match_type string")
     return out.withColumnRenamed("d", doc_id).withColumnRenamed("i", item_id)

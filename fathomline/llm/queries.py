@@ -14,6 +14,7 @@ from fathomline.sources.tables import table
 MODEL, WIDTH = "lantern-embed-64", 64
 SCORES = ["similarity_score", "vector_score", "bm25_score", "reranker_score"]
 CHUNK_LIMIT, CHUNK_OVERLAP, WINDOW_TOKENS = 4000, 200, 2048
+PROXIMITY_SLACK = 3
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -114,12 +115,12 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with 15 or more consecutive words of an evaluation item."""
-    return p9_matches(spark, d).select("doc_id", "item_id").distinct()
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text").select("doc_id", "item_id").distinct()
 
 
 def p9_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Every maximal shared run of words with its length and places."""
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
+    """Every maximal shared run of words and every chain of nearby shorter runs, with their length and places."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text", slack=PROXIMITY_SLACK)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fathomline.llm import packing
-from fathomline.llm.leakage import leaks, words_of
+from fathomline.llm.leakage import TestPhrases, leaks, near_hits, words_of
 from fathomline.llm.packing import Levels, pack, token_counts
 from fathomline.llm.recompression import code_points, parse
 from fathomline.llm.shared_spans import docs_with_shared_spans, shared_shares
@@ -131,6 +131,46 @@ def test_leaks_against_brute_force(spark):
         leaks(df, it, "doc_id", "text", "item_id", "text", max_test_words=10)
 
 
+def brute_chain(a, b, link, slack):
+    """Most shared words of a chain of exact pieces of `link` words or more, at most `slack` words apart in both; two pieces or more."""
+    equal = {(i, j, n) for i in range(len(a)) for j in range(len(b)) for n in range(link, 30) if a[i : i + n] == b[j : j + n] and len(a[i : i + n]) == len(b[j : j + n]) == n}
+    best = {}
+    for i, j, n in sorted(equal, key=lambda r: (r[0] + r[2], r[1] + r[2])):
+        before = [best[x] for x in best if 0 <= i - x[0] - x[2] <= slack and 0 <= j - x[1] - x[2] <= slack and (i - j != x[0] - x[1] or a[i - 1] != b[j - 1])]
+        best[i, j, n] = max([(n, 1)] + [(w + n, 2) for w, _ in before])
+    return max((w for w, links in best.values() if links > 1), default=0)
+
+
+def test_proximity_matches(spark):
+    rnd = random.Random(8)
+    w = [f"w{i}" for i in range(60)]
+    items = [(1, " ".join(w)), (2, " ".join(rnd.sample(w, 60)))]
+    edits = {"put in": lambda x, i: [x, "new"], "dropped": lambda x, i: [], "changed": lambda x, i: ["new"]}
+    docs, want = [], set()
+    for n, (edit, every) in enumerate((e, k) for e in edits for k in (5, 9, 14)):
+        text = [y for i, x in enumerate(w[3:48]) for y in (edits[edit](x, i) if i % every == every - 1 else [x])]
+        docs.append((n, prose(rnd, 9) + " " + " ".join(text) + " " + prose(rnd, 9)))
+        want.add((n, 1))
+    apart = " ".join(x + (" a b c d" if i % 7 == 6 else "") for i, x in enumerate(w))
+    docs += [(50, apart), (51, " ".join(reversed(w))), (52, None), (53, prose(rnd, 200)), (54, " ".join(w[:20]))]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = leaks(df, it, "doc_id", "text", "item_id", "text", slack=3).collect()
+    assert {(r.doc_id, r.item_id) for r in got if r.match_type == "proximity"} == want
+    assert {(r.doc_id, r.item_id) for r in got if r.match_type == "exact"} == {(54, 1)}
+    assert {(r.doc_id, r.item_id) for r in leaks(df, it, "doc_id", "text", "item_id", "text").collect()} == {(54, 1)}
+    assert all(r.doc_word == 9 and r.item_word == 3 for r in got if r.doc_id < 50)
+
+
+def test_proximity_against_brute_force():
+    rnd = random.Random(5)
+    for _ in range(150):
+        item = [rnd.choice("abcdefghijklmnopqrstuvwxyz") + str(rnd.randrange(3)) for _ in range(30)]
+        text = [y for x in item for y in ([x] if rnd.random() < 0.85 else rnd.choice([[], [x, "zz"], ["zz"], ["zz"] * 4]))]
+        got = [r[2] for r in near_hits(TestPhrases([(1, " ".join(item))], 8), [" ".join(text)], 12, 2)]
+        most = brute_chain(text, item, 3, 2)
+        assert bool(got) == (most >= 12), (got, most)
+
+
 def test_words_are_ascii():
     assert words_of("Ab_c1-É2 \u212a3") == [b"ab", b"c1", b"2", b"3"]
 
