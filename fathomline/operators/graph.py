@@ -105,8 +105,8 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def subgraph(edges: DataFrame, seeds: DataFrame, depth: int, max_edges: int = MAX_EDGES, edge_type: str | None = None) -> DataFrame:
-    """(seed_id, source, target, type, hop, position): the edges among a seed's neighbourhood, the first max_edges by priority, hop and ends.
+def ordered_subgraph(edges: DataFrame, seeds: DataFrame, depth: int, edge_type: str | None = None) -> DataFrame:
+    """(seed_id, source, target, type, hop, position): all edges among a seed's neighbourhood, placed by priority, hop and ends.
 
     An edge's hop is that of its nearer end; both ends must lie within `depth`.
     """
@@ -116,8 +116,17 @@ def subgraph(edges: DataFrame, seeds: DataFrame, depth: int, max_edges: int = MA
     b = r.select("seed_id", F.col("chunk_id").alias("target_chunk_id"), F.col("hop").alias("_b"))
     inside = e.join(a, "source_chunk_id").join(b, ["seed_id", "target_chunk_id"]).withColumn("hop", F.least("_a", "_b"))
     order = Window.partitionBy("seed_id").orderBy(priority(F.col("edge_type")), "hop", "source_chunk_id", "target_chunk_id", "edge_type")
-    out = inside.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max(1, min(MAX_EDGES, max_edges)))
-    return out.select("seed_id", "source_chunk_id", "target_chunk_id", "edge_type", "hop", "position")
+    return inside.withColumn("position", F.row_number().over(order)).select("seed_id", "source_chunk_id", "target_chunk_id", "edge_type", "hop", "position")
+
+
+def kept_edges(max_edges: int) -> int:
+    """How many edges a truncated neighbourhood keeps."""
+    return max(1, min(MAX_EDGES, max_edges))
+
+
+def subgraph(edges: DataFrame, seeds: DataFrame, depth: int, max_edges: int = MAX_EDGES, edge_type: str | None = None) -> DataFrame:
+    """The first max_edges rows of ordered_subgraph for each seed."""
+    return ordered_subgraph(edges, seeds, depth, edge_type).where(F.col("position") <= kept_edges(max_edges))
 
 
 def hints(results: DataFrame, edges: DataFrame, cap: int = 10) -> DataFrame:
@@ -136,7 +145,6 @@ def graph_stats(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return s.unionByName(e)
 
 
-def omitted_by_type(edges: DataFrame, kept: DataFrame) -> DataFrame:
-    """Edges by type that a truncation left out."""
-    keys = ["source_chunk_id", "target_chunk_id", "edge_type"]
-    return edges.join(kept.select(*keys), keys, "left_anti").groupBy("edge_type").agg(F.count("*").alias("n_omitted"))
+def omitted_by_type(edges: DataFrame, seeds: DataFrame, depth: int, max_edges: int, edge_type: str | None = None) -> DataFrame:
+    """(edge_type, n_omitted): all edges of the seeds' neighbourhoods that the truncation to max_edges leaves out."""
+    return ordered_subgraph(edges, seeds, depth, edge_type).where(F.col("position") > kept_edges(max_edges)).groupBy("edge_type").agg(F.count("*").alias("n_omitted"))

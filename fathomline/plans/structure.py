@@ -85,7 +85,7 @@ def subgraph_priority(spark: SparkSession, d: str) -> DataFrame:
 def subgraph_omitted(spark: SparkSession, d: str) -> DataFrame:
     """What the truncation left out, by type, for the first seed."""
     e, seed = _edges(spark, d), _hub(spark, d).orderBy("chunk_id").limit(1)
-    return graph.omitted_by_type(graph.subgraph(e, seed, 1), graph.subgraph(e, seed, 1, 50))
+    return graph.omitted_by_type(e, seed, 1, 50)
 
 
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.current import current_rows
 from fathomline.operators import graph, ignore, search, snapshots, stats
+from fathomline.plans import structure
 
 E = "source_chunk_id string, target_chunk_id string, edge_type string"
 S = "chunk_id string, name string, symbol_type string, file_path string, start_line int, end_line int, parent_name string, metadata_json string"
@@ -57,6 +58,14 @@ def test_subgraph_keeps_containment_first(spark):
     assert both == 2
 
 
+def test_every_omitted_edge_counts(spark, monkeypatch):
+    e = spark.createDataFrame([("hub", f"x{i:03}", "calls") for i in range(450)] + [(f"x{i:03}", "hub", "inherits") for i in range(30)], E)
+    monkeypatch.setattr(structure, "_edges", lambda s, d: e)
+    monkeypatch.setattr(structure, "_hub", lambda s, d: s.createDataFrame([("hub",)], "chunk_id string"))
+    assert {(r.edge_type, r.n_omitted) for r in structure.subgraph_omitted(spark, "").collect()} == {("calls", 430)}
+    assert graph.subgraph(e, structure._hub(spark, ""), 1, 999).count() == graph.MAX_EDGES
+
+
 def test_upsert_and_delete(spark):
     s = spark.createDataFrame([("1", "a", "f"), ("2", "b", "g")], "chunk_id string, name string, file_path string")
     assert {(r[0], r[1]) for r in graph.upsert_symbols(s, spark.createDataFrame([("2", "B", "g"), ("3", "c", "g")], s.schema)).collect()} == {("1", "a"), ("2", "B"), ("3", "c")}
