@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from fathomline.functions.text import expand_query, glob_match, index_tokens
 
 #: Seeds that are broadcast at once.
 SEED_BLOCK = 1000
+#: Rows of one side of a cell in which many seeds are held against many rows.
+CELL_ROWS = 20_000
 
 
 def chunk_filter(file_pattern: list[str] | str | None = None, chunk_type: str | None = None, folder_structure: list[str] | None = None, tags: list[str] | None = None, project_name: str | None = None, **_: object) -> Column:
@@ -90,6 +94,42 @@ def similar_to(vectors: DataFrame, seeds: DataFrame, k: int, block: int = SEED_B
     return reduce(DataFrame.unionByName, parts)
 
 
+def similar_to_many(vectors: DataFrame, seeds: DataFrame, k: int, cell: int = CELL_ROWS) -> DataFrame:
+    """As similar_to, for seeds that grow with the rows: both sides are dealt to a grid of cells of about `cell` seeds by `cell` rows.
+
+    Nothing is broadcast or collected; rows are shuffled once per block of seeds, seeds once per block of rows. All
+    vectors have one width. Exact.
+    """
+    n_rows, n_seeds = (max(1, -(-x.count() // cell)) for x in (vectors, seeds))
+    block = lambda n: F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = vectors.select("chunk_id", "embedding", block(n_rows).alias("_r"), every(n_seeds).alias("_s"))
+    ask = seeds.select("chunk_id", "embedding", block(n_seeds).alias("_s"), every(n_rows).alias("_r"))
+
+    def score(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(x):
+            a, b = (np.array(side["embedding"].tolist(), np.float64) for side in (q, x))
+            a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
+            own, other = q["chunk_id"].to_numpy(), x["chunk_id"].to_numpy()
+            at = pd.Series(np.arange(len(x)), index=other)
+            for i in range(0, len(a), 256):
+                s = np.maximum(a[i : i + 256] @ b.T, 0.0)
+                mine = at.reindex(own[i : i + 256]).to_numpy()
+                there = np.flatnonzero(~np.isnan(mine))
+                s[there, mine[there].astype(int)] = -1.0  # itself
+                least = np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else 0.0
+                r, c = np.nonzero((s >= least - 2e-6) & (s >= 0))  # what may tie once rounded stays
+                if len(r):
+                    part = pd.DataFrame({"seed_id": own[i + r], "chunk_id": other[c], "similarity": s[r, c].round(6)})
+                    out.append(part.sort_values(["seed_id", "similarity", "chunk_id"], ascending=[True, False, True]).groupby("seed_id").head(k))
+        return pd.concat(out) if out else pd.DataFrame({"seed_id": [], "chunk_id": [], "similarity": []}).astype({"seed_id": str, "chunk_id": str, "similarity": float})
+
+    pairs = ask.groupBy("_s", "_r").cogroup(rows.groupBy("_s", "_r")).applyInPandas(score, "seed_id string, chunk_id string, similarity double")
+    order = Window.partitionBy("seed_id").orderBy(F.desc("similarity"), "chunk_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def rerank(hits: DataFrame, keys: list[str], score: str, recall_k: int, top_k: int, min_score: Column | float = 0.0, recall_by: str = "similarity_score") -> DataFrame:
     """The top_k of the recall_k best hits by a reranker's score at or above min_score: adds `vector_similarity`, `rank`, `reranked`."""
     floor = F.when(F.isnan(F.lit(min_score).cast("double") if not isinstance(min_score, Column) else min_score), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(min_score if isinstance(min_score, Column) else F.lit(min_score), F.lit(0.0)))))

@@ -60,6 +60,12 @@ def similar_to(spark: SparkSession, d: str) -> DataFrame:
     return search.similar_to(vectors(spark, d), seeds, 5)
 
 
+def similar_to_many(spark: SparkSession, d: str) -> DataFrame:
+    """T4 for every chunk whose id hash is divisible by 50, against all rows."""
+    rows = vectors(spark, d)
+    return search.similar_to_many(rows, rows.where(F.crc32("chunk_id") % 50 == 0), 5)
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Keyword top-k of every search query over the previews."""
     return search.bm25_topk(search.postings(chunks(spark, d, "content_preview")), asked(spark, d).select("query_id", "query"), 10).withColumn("rank", F.col("rank").cast("int"))
@@ -213,7 +219,7 @@ def skipped_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    vector_topk, vector_topk_filtered, similar_to, bm25_topk, hybrid_rrf, rank_boosted, dedup_best, per_file_cap, rerank_minscore, glob_filter, chunk_type_filter, folder_filter, tag_filter, chunk_ids, previews, snippets,
+    vector_topk, vector_topk_filtered, similar_to, similar_to_many, bm25_topk, hybrid_rrf, rank_boosted, dedup_best, per_file_cap, rerank_minscore, glob_filter, chunk_type_filter, folder_filter, tag_filter, chunk_ids, previews, snippets,
     result_rows, folder_paths, query_expand, intent_detect, query_tokens, score_maths, stats_summary, stats_files, stats_folders_top10, stats_types, stats_tags_top20, suggestions, result_file_counts, skipped_files,
 )
 

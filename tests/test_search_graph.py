@@ -1,8 +1,11 @@
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from fathomline.functions.current import current_rows
 from fathomline.operators import graph, ignore, search, snapshots, stats
-from fathomline.plans import structure
+from fathomline.plans import retrieval, structure
 
 E = "source_chunk_id string, target_chunk_id string, edge_type string"
 S = "chunk_id string, name string, symbol_type string, file_path string, start_line int, end_line int, parent_name string, metadata_json string"
@@ -21,6 +24,20 @@ def test_vector_search_filter_before_limit(spark):
     assert [r.chunk_id for r in near] == ["c4", "c5"] and all(r.seed_id == "c3" for r in near)
 
 
+def test_similar_to_many_against_brute_force(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    x = rnd.integers(-2, 3, size=(500, 6)).astype(float)  # many ties and copies
+    x[~x.any(1), 0] = 1
+    ids = [f"c{i:03}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in zip(ids, x)], "chunk_id string, embedding array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(np.maximum(u @ u.T, 0), 6)
+    monkeypatch.setattr(retrieval, "vectors", lambda *_: df)
+    for got, want in ((search.similar_to_many(df, df, 5, cell=120), range(500)), (retrieval.similar_to_many(spark, ""), [i for i in range(500) if zlib.crc32(ids[i].encode()) % 50 == 0])):
+        near = {(r.seed_id, r["rank"]): (r.chunk_id, round(r.similarity, 6)) for r in got.collect()}
+        assert len(want) > 5 and near == {(ids[i], n + 1): (ids[j], float(s[i, j])) for i in want for n, j in enumerate(sorted((j for j in range(500) if j != i), key=lambda j: (-s[i, j], j))[:5])}
+
+
 def test_bm25_rrf_cap_and_dedup(spark):
     c = spark.createDataFrame([("1", "get user by id"), ("2", "user user table"), ("3", "nothing here"), ("4", None), ("5", "")], "chunk_id string, content_preview string")
     q = spark.createDataFrame([(1, "getUserById"), (2, "absent"), (3, "")], "query_id int, query string")
