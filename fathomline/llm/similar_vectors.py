@@ -107,9 +107,9 @@ class Forest:
 
 
 def _near(
-    vectors: DataFrame, k: int, queries: Column | None, min_cosine: float | None, trees: int, probes: int, leaf_rows: int, sample_rows: int | None, seed: int, basis: DataFrame | None, more_probes: int = 0,
+    vectors: DataFrame, k: int | None, queries: Column | None, min_cosine: float | None, trees: int, probes: int, leaf_rows: int, sample_rows: int | None, seed: int, basis: DataFrame | None, more_probes: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b, cosine) of vector hashes, nodes (key, id, embedding) of the hashes in them)."""
+    """(pairs (a, b, cosine) of vector hashes, nodes (key, id, embedding) of the hashes in them); without k all pairs at `min_cosine`."""
     basis = vectors if basis is None else basis
     rows = vectors.select(F.xxhash64("embedding").alias("key"), "id", "embedding", (F.lit(True) if queries is None else queries).alias("ask"))
     n = basis.count()
@@ -153,7 +153,7 @@ def _near(
                 r, g = r[first], g[first]
                 yield pd.DataFrame({"grp": g, "key": key[r], "code": [c.tobytes() for c in code[r]], "home": spot.astype(np.int16), "mask": mask.view(np.int64)})
 
-    take, floor = k + 4, None if min_cosine is None else min_cosine - CODE_SLACK
+    take, floor = None if k is None else k + 4, None if min_cosine is None else min_cosine - CODE_SLACK
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("mask").drop_duplicates("key", keep="last") if not all_ask else pdf.drop_duplicates("key")
@@ -180,14 +180,16 @@ def _near(
         a, b, s = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         ok = a != b
         got = pd.DataFrame({"a": a[ok], "b": b[ok], "s": s[ok]})
-        if len(got):
+        if len(got) and take is not None:
             got = got.sort_values(["a", "s", "b"], ascending=[True, False, True]).groupby("a").head(take)
         return got
 
     spread_rows = rows.select("key", "embedding", "ask").mapInPandas(spread, "grp long, key long, code binary, home short, mask long")
     near = spread_rows.groupBy("grp").applyInPandas(score, "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
-    best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    near = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= take).select("a", "b")
+    if take is not None:
+        best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
+        near = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= take)
+    near = near.select("a", "b")
     wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
     nodes = rows.select("key", "id", "embedding").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"), F.first("embedding").alias("embedding"))
     left = nodes.select(F.col("key").alias("a"), F.col("embedding").alias("_ea"))
@@ -221,12 +223,12 @@ def knn(
 def similar_pairs(
     vectors: DataFrame, min_cosine: float, k: int, trees: int = 3, probes: int = 24, leaf_rows: int = 256, sample_rows: int | None = None, seed: int = 7, basis: DataFrame | None = None, more_probes: int = 0,
 ) -> DataFrame:
-    """(a, b), a < b: pairs of ids at `min_cosine` or more, found through the k nearest of every distinct vector.
+    """(a, b), a < b: pairs of ids at `min_cosine` or more, found through the leaves that every distinct vector probes.
 
-    Ids with the very same vector are paired with each other and share their node's partners. Each level of depth below
+    No vector's partners are cut at a number; `k` is kept for callers and bounds nothing. Ids with the very same vector are paired with each other and share their node's partners. Each level of depth below
     SHALLOW_LEVELS adds `more_probes`, since a pair is parted more often in a deeper tree.
     """
-    pairs, _ = _near(vectors, k, None, min_cosine, trees, probes, leaf_rows, sample_rows, seed, basis, more_probes)
+    pairs, _ = _near(vectors, None, None, min_cosine, trees, probes, leaf_rows, sample_rows, seed, basis, more_probes)
     members = vectors.select(F.xxhash64("embedding").alias("key"), "id")
     across = pairs.select("a", "b").join(members.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("key").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
     several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")

@@ -53,6 +53,14 @@ def test_a_third_of_all_rows_alike(spark):
     assert got.id.nunique() == 401 and (got["rank"] <= 3).all()
 
 
+def test_all_pairs_of_a_dense_cluster(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=16) + 0.01 * rng.normal(size=(60, 16))).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:02}", [float(y) for y in r]) for i, r in enumerate(x)], V)
+    got = {(r.a, r.b) for r in similar_pairs(df, 0.95, 8).collect()}
+    assert got == {(f"v{i:02}", f"v{j:02}") for j in range(60) for i in range(j)}
+
+
 def test_more_probes_follow_the_depth(spark):
     x = clustered(3000)
     df = spark.createDataFrame([(f"v{i:05}", [float(y) for y in r]) for i, r in enumerate(x)], V)
