@@ -1,14 +1,16 @@
 """Generalised LL recognition with a graph-structured stack, over grammars with regular right-hand sides.
 
-A rule becomes a small automaton over terminals and rule names; its states are the grammar slots. A descriptor is (state,
+A rule becomes a minimal automaton over terminals and rule names; its states are the grammar slots. A descriptor is (state,
 stack node, position); a stack node is (rule, position), shared by all callers, so dialects whose start rules run together
 share every common part of the stack. One token of lookahead (FIRST and FOLLOW) prunes choices: where one is left the
 parser just goes on, descriptors are only queued where several remain.
 
-Grammar text: `name : alternatives ;` with 'literals', CLASS tokens, rule names, ( ) ? * + |. A rule marked `@X` ends at
-the first X token of its text whenever it matches; such texts are remembered by their token kinds, so that a
-shape seen in any earlier file is not parsed again. ASI stands for nothing at all where the scanner saw a
-line end before the next token, or the next token is '}' or the end.
+Rules marked `!` are put into the rules that name them before the automata are made. What alternatives have in common is
+then left-factored by the subset construction itself, and most tokens are plain shifts within one automaton rather than
+calls through a chain of rules.
+
+Grammar text: `name : alternatives ;` or `name ! : alternatives ;` with 'literals', CLASS tokens, rule names, ( ) ? * + |.
+ASI stands for nothing at all where the scanner saw a line end before the next token, or the next token is '}' or the end.
 """
 
 from __future__ import annotations
@@ -16,15 +18,15 @@ from __future__ import annotations
 import re
 
 END = "END"
-_TOKEN = re.compile(r"\s*(?:#[^\n]*\n)?\s*(?:('(?:[^'\\]|\\.)+')|([A-Za-z_][A-Za-z_0-9]*)|(@\S+)|([:;()?*+|]))")
+_TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)+')|([A-Za-z_][A-Za-z_0-9]*)|([!:;()?*+|]))")
 
 
 class Grammar:
-    """Compiled automata and the choice table [state][kind] -> actions."""
+    """Compiled automata: `table[state][kind]` holds the actions, `shifts[state][kind]` the next state where a shift is the only one."""
 
     def __init__(self, text: str, soft: dict[str, str] | None = None, extra_kinds: tuple[str, ...] = ()):
         self.soft = soft or {}
-        rules, self.ends = self._read(text)
+        rules = self._read(text)
         self.names = {n: i for i, n in enumerate(rules)}
         kinds: dict[str, int] = {END: 0}
         for n in extra_kinds:
@@ -36,25 +38,23 @@ class Grammar:
             kinds.setdefault(base, len(kinds))
         kinds.pop("ASI", None)
         self.kinds = {k: i for i, k in enumerate(kinds)}
-        if len(self.kinds) > 255:
+        if len(self.kinds) > 250:
             raise ValueError("too many token kinds")
-        self.memo_rules = {self.names[n]: self.kinds[k] for n, k in self.ends.items()}
-        self.memo: set[tuple[int, bytes]] = set()
         self._build(rules)
 
     # -- reading
 
     @staticmethod
-    def _read(text: str) -> tuple[dict, dict[str, str]]:
+    def _read(text: str) -> dict[str, tuple]:
         toks, at = [], 0
-        text = re.sub(r"(?m)#.*$", "", text).strip()
+        text = re.sub(r"(?m)^#.*$", "", text).strip()
         while at < len(text):
             m = _TOKEN.match(text, at)
             if not m:
                 raise ValueError(f"bad grammar near {text[at : at + 40]!r}")
             toks.append(m.group(m.lastindex))
             at = m.end()
-        pos, rules, ends = 0, {}, {}
+        pos, rules, inline = 0, {}, set()
 
         def alt() -> tuple:
             nonlocal pos
@@ -84,8 +84,8 @@ class Grammar:
         while pos < len(toks):
             name = toks[pos]
             pos += 1
-            if toks[pos].startswith("@"):
-                ends[name] = toks[pos][1:]
+            if toks[pos] == "!":
+                inline.add(name)
                 pos += 1
             if toks[pos] != ":":
                 raise ValueError(f"no ':' after {name}")
@@ -95,7 +95,18 @@ class Grammar:
                 raise ValueError(f"rule {name} twice")
             rules[name] = body
             pos += 1
-        return rules, ends
+
+        def put(tree: tuple, inside: tuple[str, ...]) -> tuple:
+            kind, body = tree
+            if kind == "sym":
+                if body not in inline:
+                    return tree
+                if body in inside:
+                    raise ValueError(f"rule {body} calls itself and cannot be put in place")
+                return put(rules[body], (*inside, body))
+            return (kind, [put(x, inside) for x in body] if isinstance(body, list) else put(body, inside))
+
+        return {n: put(t, ()) for n, t in rules.items() if n not in inline}
 
     def _terminal(self, sym: str) -> str | None:
         return sym[1:-1] if sym[0] == "'" else sym if sym.isupper() and len(sym) > 1 else None
@@ -111,7 +122,9 @@ class Grammar:
 
     # -- automata
 
-    def _build(self, rules: dict) -> None:
+    @staticmethod
+    def _automaton(tree: tuple) -> tuple[list[dict[str, int]], list[bool]]:
+        """(moves, final) of the minimal automaton of a right-hand side; state 0 is the start."""
         eps: list[list[int]] = []
         arcs: list[list[tuple[str, int]]] = []
 
@@ -133,7 +146,9 @@ class Grammar:
             out = new()
             if kind == "alt":
                 for x in body:
-                    eps[make(x, a)].append(out)
+                    own = new()
+                    eps[a].append(own)
+                    eps[make(x, own)].append(out)
                 return out
             loop = new()
             eps[a].append(loop)
@@ -145,115 +160,138 @@ class Grammar:
                 eps[loop].append(out)
             return out
 
-        def closure(s: frozenset[int]) -> frozenset[int]:
+        def closure(s: set[int]) -> frozenset[int]:
             todo, got = list(s), set(s)
             while todo:
                 for y in eps[todo.pop()]:
                     if y not in got:
                         got.add(y)
                         todo.append(y)
-            return frozenset(got)
+            return frozenset(y for y in got if arcs[y] or y == f)
+
+        s = new()
+        f = -1
+        f = make(tree, s)
+        begin = closure({s})
+        ids, moves, final, todo = {begin: 0}, [{}], [f in begin], [begin]
+        while todo:
+            here = todo.pop()
+            by: dict[str, set[int]] = {}
+            for x in here:
+                for sym, y in arcs[x]:
+                    by.setdefault(sym, set()).add(y)
+            for sym, ys in by.items():
+                to = closure(ys)
+                if to not in ids:
+                    ids[to] = len(moves)
+                    moves.append({})
+                    final.append(f in to)
+                    todo.append(to)
+                moves[ids[here]][sym] = ids[to]
+        group = [int(x) for x in final]
+        while True:  # states that no text tells apart are one state
+            seen: dict[tuple, int] = {}
+            fresh = [seen.setdefault((group[i], *sorted((sym, group[to]) for sym, to in m.items())), len(seen)) for i, m in enumerate(moves)]
+            if len(seen) == len(set(group)):
+                break
+            group = fresh
+        group = fresh  # state 0 comes first, so its group is 0
+        small: list[dict[str, int]] = [{} for _ in range(len(seen))]
+        ends = [False] * len(seen)
+        for i, m in enumerate(moves):
+            small[group[i]] = {sym: group[to] for sym, to in m.items()}
+            ends[group[i]] = final[i]
+        return small, ends
 
+    def _build(self, rules: dict) -> None:
         moves: list[dict[str, int]] = []
         final: list[bool] = []
         owner: list[int] = []
         self.start: list[int] = []
         for name, tree in rules.items():
-            s = new()
-            f = make(tree, s)
-            ids: dict[frozenset[int], int] = {}
-            todo = [closure(frozenset([s]))]
-            ids[todo[0]] = len(moves)
-            moves.append({})
-            final.append(f in todo[0])
-            owner.append(self.names[name])
-            self.start.append(ids[todo[0]])
-            while todo:
-                here = todo.pop()
-                by: dict[str, set[int]] = {}
-                for x in here:
-                    for sym, y in arcs[x]:
-                        by.setdefault(sym, set()).add(y)
-                for sym, ys in by.items():
-                    to = closure(frozenset(ys))
-                    if to not in ids:
-                        ids[to] = len(moves)
-                        moves.append({})
-                        final.append(f in to)
-                        owner.append(self.names[name])
-                        todo.append(to)
-                    moves[ids[here]][sym] = ids[to]
-        self.n_states = len(moves)
-        accept: dict[str, set[int]] = {}
+            m, f = self._automaton(tree)
+            base = len(moves)
+            self.start.append(base)
+            moves += [{sym: to + base for sym, to in x.items()} for x in m]
+            final += f
+            owner += [self.names[name]] * len(m)
+        n, width = len(moves), len(self.kinds)
+        every = (1 << width) - 1
+        accept = dict.fromkeys(self.kinds, 0)
         for k, i in self.kinds.items():
-            accept.setdefault(k, set()).add(i)
+            accept[k] |= 1 << i
             if k in self.soft:
-                accept.setdefault(self.soft[k], set()).add(i)
-        n = len(moves)
-        every = set(range(len(self.kinds)))
-        first = [set() for _ in range(n)]
-        null = [bool(x) for x in final]
+                accept[self.soft[k]] |= 1 << i
+        accept["ASI"] = every
+        steps: list[list[tuple[int, int, int]]] = []  # of each state: (kinds of a terminal or 0, rule or -1, next)
+        for m in moves:
+            row = []
+            for sym, to in m.items():
+                t = self._terminal(sym)
+                if not t and sym not in self.names:
+                    raise ValueError(f"no rule {sym}")
+                row.append((accept[t], -1, to) if t else (0, self.names[sym], to))
+            steps.append(row)
+        first = [0] * n
+        null = list(final)
         change = True
         while change:
             change = False
-            for s in range(n):
-                f, nl = set(first[s]), null[s]
-                for sym, to in moves[s].items():
-                    t = self._terminal(sym)
-                    if t == "ASI":
-                        f |= every
-                    elif t:
-                        f |= accept[t]
-                    else:
-                        if sym not in self.names:
-                            raise ValueError(f"no rule {sym}")
-                        r = self.start[self.names[sym]]
+            for s in range(n - 1, -1, -1):
+                f, nl = first[s], null[s]
+                for t, rule, to in steps[s]:
+                    f |= t
+                    if rule >= 0:
+                        r = self.start[rule]
                         f |= first[r]
                         if null[r]:
                             f |= first[to]
                             nl = nl or null[to]
                 if f != first[s] or nl != null[s]:
                     first[s], null[s], change = f, nl, True
-        follow = [set() for _ in self.names]
-        starts = {i for name, i in self.names.items() if name.startswith("start")}
-        for i in starts:
-            follow[i].add(0)
+        follow = [int(name.startswith("start")) for name in self.names]
         change = True
         while change:
             change = False
             for s in range(n):
-                for sym, to in moves[s].items():
-                    if self._terminal(sym):
-                        continue
-                    i = self.names[sym]
-                    add = first[to] | (follow[owner[s]] if null[to] else set())
-                    if not add <= follow[i]:
-                        follow[i] |= add
-                        change = True
+                for _, rule, to in steps[s]:
+                    if rule >= 0:
+                        add = first[to] | (follow[owner[s]] if null[to] else 0)
+                        if add & ~follow[rule]:
+                            follow[rule] |= add
+                            change = True
         # actions: (0, next) shift; (1, rule, next) call; (2,) return; (3, next) line end
         self.table: list[list[tuple | None]] = []
+        self.shifts: list[list[int]] = []
+        cached: dict[int, list[int]] = {}
+
+        def members(mask: int) -> list[int]:
+            if mask not in cached:
+                cached[mask] = [a for a in range(width) if mask >> a & 1]
+            return cached[mask]
+
         for s in range(n):
-            row: list[list[tuple]] = [[] for _ in every]
-            for sym, to in moves[s].items():
-                t = self._terminal(sym)
-                if t == "ASI":
-                    for a in every:
-                        row[a].append((3, to))
-                elif t:
-                    for a in accept[t]:
-                        row[a].append((0, to))
+            row: list[list[tuple] | None] = [None] * width
+
+            def add(mask: int, act: tuple) -> None:
+                for a in members(mask):
+                    if row[a] is None:
+                        row[a] = [act]
+                    else:
+                        row[a].append(act)
+
+            for sym, (t, rule, to) in zip(moves[s], steps[s]):
+                if sym == "ASI":
+                    add(every, (3, to))
+                elif rule < 0:
+                    add(t, (0, to))
                 else:
-                    i = self.names[sym]
-                    r = self.start[i]
-                    ok = set(first[r])
-                    if null[r]:
-                        ok |= first[to] | (follow[owner[s]] if null[to] else set())
-                    for a in ok:
-                        row[a].append((1, i, to))
+                    r = self.start[rule]
+                    add(first[r] | ((first[to] | (follow[owner[s]] if null[to] else 0)) if null[r] else 0), (1, rule, to))
             if final[s]:
-                for a in follow[owner[s]]:
-                    row[a].append((2,))
-            self.table.append([tuple(x) if x else None for x in row])
+                add(follow[owner[s]], (2,))
+            self.table.append([None if x is None else tuple(x) for x in row])
+            self.shifts.append([x[0][1] if x is not None and len(x) == 1 and x[0][0] == 0 else -1 for x in row])
 
     # -- running
 
@@ -261,21 +299,21 @@ class Grammar:
         """(start rule that derives all of `ids`, or None; furthest token looked at). `ids` ends with kind 0.
 
         `breaks[i]` is 1 where a line end precedes token i. All start rules run on one stack; the first to succeed ends it.
+        The answer depends on the arguments alone: nothing is kept from one text to the next.
         """
-        table, memo, memo_rules, begin = self.table, self.memo, self.memo_rules, self.start
+        table, shifts, begin = self.table, self.shifts, self.start
         last = len(ids) - 1
         width = last + 1
         close = self.kinds.get("}", -1)
-        nodes: dict[int, list] = {}  # [rule, edges (state, node), positions returned]
+        nodes: dict[int, list] = {}  # [edges (state, node), positions returned, number]
         todo: list[tuple[tuple, list, int]] = []  # descriptors: (action, node, position)
-        seen: set[tuple[int, int, int]] = set()  # returns made: (state, node, position)
+        seen: set[tuple[int, int, int]] = set()  # returns made: (state, number of the node, position)
         wanted: dict[int, str] = {}
-        fresh: list[tuple[int, bytes, list, int]] = []
         far = 0
         for name in reversed(starts):
             i = self.names[name]
-            nodes[i * width] = node = [i, [], []]
-            wanted[id(node)] = name
+            nodes[i * width] = node = [[], [], i * width]
+            wanted[i * width] = name
             todo += [(a, node, 0) for a in table[begin[i]][ids[0]] or ()]
         while todo:
             act, node, pos = todo.pop()
@@ -286,49 +324,35 @@ class Grammar:
                     pos += 1
                 elif op == 1:  # call
                     i = act[1]
-                    end = memo_rules.get(i)
-                    chunk = None
-                    if end is not None:
-                        stop = ids.find(end, pos)
-                        if stop >= 0:
-                            chunk = (i, ids[pos : stop + 1])
-                    if chunk is not None and chunk in memo:
-                        state = act[2]
-                        pos = stop + 1
-                    else:
-                        key = i * width + pos
-                        kid = nodes.get(key)
-                        if kid is None:
-                            nodes[key] = kid = [i, [(act[2], node)], []]
-                            if chunk is not None:
-                                fresh.append((i, chunk[1], kid, stop + 1))
-                            state = begin[i]
-                            node = kid
-                        else:
-                            kid[1].append((act[2], node))
-                            for p in kid[2]:
-                                mark = (act[2], id(node), p)
-                                if mark not in seen:
-                                    seen.add(mark)
-                                    todo += [(a, node, p) for a in table[act[2]][ids[p]] or ()]
-                            break
+                    key = i * width + pos
+                    kid = nodes.get(key)
+                    if kid is not None:
+                        kid[0].append((act[2], node))
+                        for p in kid[1]:
+                            mark = (act[2], node[2], p)
+                            if mark not in seen:
+                                seen.add(mark)
+                                todo += [(a, node, p) for a in table[act[2]][ids[p]] or ()]
+                        break
+                    nodes[key] = node = [[(act[2], node)], [], key]
+                    state = begin[i]
                 elif op == 2:  # return
-                    if pos in node[2]:
+                    if pos in node[1]:
                         break
-                    node[2].append(pos)
-                    if id(node) in wanted:
+                    node[1].append(pos)
+                    if node[2] in wanted:
                         if pos == last:
-                            self._remember(fresh)
-                            return wanted[id(node)], pos
+                            return wanted[node[2]], pos
                         break
-                    edges = node[1]
-                    for to, up in edges[1:]:
-                        mark = (to, id(up), pos)
-                        if mark not in seen:
-                            seen.add(mark)
-                            todo += [(a, up, pos) for a in table[to][ids[pos]] or ()]
+                    edges = node[0]
+                    if len(edges) > 1:
+                        for to, up in edges[1:]:
+                            mark = (to, up[2], pos)
+                            if mark not in seen:
+                                seen.add(mark)
+                                todo += [(a, up, pos) for a in table[to][ids[pos]] or ()]
                     state, node = edges[0]
-                    mark = (state, id(node), pos)
+                    mark = (state, node[2], pos)
                     if mark in seen:
                         break
                     seen.add(mark)
@@ -336,6 +360,11 @@ class Grammar:
                     state = act[1]
                 else:
                     break
+                to = shifts[state][ids[pos]]
+                while to >= 0:
+                    pos += 1
+                    state = to
+                    to = shifts[state][ids[pos]]
                 if pos > far:
                     far = pos
                 acts = table[state][ids[pos]]
@@ -344,13 +373,4 @@ class Grammar:
                 if len(acts) > 1:
                     todo += [(a, node, pos) for a in acts[:0:-1]]
                 act = acts[0]
-        self._remember(fresh)
         return None, far
-
-    def _remember(self, fresh: list[tuple[int, bytes, list, int]]) -> None:
-        """Keep the texts of `@` rules that matched up to their end token and nowhere else."""
-        for i, chunk, node, end in fresh:
-            if node[2] == [end]:
-                if len(self.memo) > 200_000:
-                    self.memo.clear()
-                self.memo.add((i, chunk))

@@ -1,5 +1,6 @@
 import ast
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from fathomline.llm.syntax_check import syntax_rates, syntax_verdicts
 
 T = [dt.datetime(2024, 1, i) for i in range(1, 4)]
 GOOD = {
-    "py": ["", "# c\n", "if a:\n    b\nelse:\n    pass\n", "match x:\n    case {'a': 1, **r} if r: pass\n    case [1, *_]: pass\n", "def f(a, *, b: int = 3, **k) -> int:\n\treturn a if b else lambda: 0\n", "x = f\"{a!r:>{w}} {{}}\"\n", 'def f():\n    """<<<<<<< HEAD\n=======\n"""\n', "a = [\n1,\n# c\n2]\n", "try:\n    a\nexcept* E as e:\n    b\n"],
-    "js": ["a\nb\n", "const a = /x[/]y/g.test(b) / 2;", "let x = `a${b + `c${d}`}e`;", "class A { #p = 1; async *g() {} static {} }", "for (const [k, v] of o) { f(k) }", "export default class {}", "a = b\n++c"],
+    "py": ["", "# c\n", "if a:\n    b\nelse:\n    pass\n", "match x:\n    case {'a': 1, **r} if r: pass\n    case [1, *_]: pass\n", "def f(a, *, b: int = 3, **k) -> int:\n\treturn a if b else lambda: 0\n", "x = f\"{a!r:>{w}} {{}}\"\n", 'def f():\n    """<<<<<<< HEAD\n=======\n"""\n', "a = [\n1,\n# c\n2]\n", "try:\n    a\nexcept* E as e:\n    b\n", "(a, [b, *c.d]), e[0] = x = yield\n", "def f(a, /, b=1, *, c, **d): return lambda x, *y, z=1: (yield)\n", "f(*a, b, c=1, *d, **e, g=2)\n", "(a).b: int = 1\nx = y = z += 1\n".replace("x = y = z += 1", "(x) += 1"), "async def f():\n    async with a as (b, c), d as e.f: return [x async for x, *y in z if (w := x)]\n", "if x: pass\n# c\n    # d\nelse:\n  def g(): return 1\n", "type X = int\ntype = 1\nmatch(x)\nmatch = case = type\nprint(match[1], f'{a!r}', sep='')\n"],
+    "js": ["a\nb\n", "const a = /x[/]y/g.test(b) / 2;", "let x = `a${b + `c${d}`}e`;", "class A { #p = 1; async *g() {} static {} }", "for (const [k, v] of o) { f(k) }", "export default class {}", "a = b\n++c", "[a, {b: c.d = 1}] = x; ({e} = y); a[0] ??= b => ({c} = {}) => c; (d).e = 1", "async (x) => await x; async(x); (a, b) => a", "let x = a\n/b/g", "/* x\n */ a /* y\n */ b"],
     "ts": ["interface A<T extends B = C> extends D { readonly x?: number; [k: string]: any }", "const f = <T,>(x: T): T => x; let c = d!; e!.f", "declare module 'x' { export const a: number }", "abstract class A { constructor(readonly x: number) { super() } abstract m(): void }", "let m: Map<string, number> = new Map<string, number>()"],
     "go": ["package a\n\nimport (\n\t\"b\"\n)\n\nfunc (t *T[K]) M(a, b int) (x int, err error) {\n\tif x := f(); x > 0 {\n\t} else {\n\t}\n\tfor i := range 10 {\n\t}\n\tz := []T{{1}, {A: 3}}\n\treturn\n}\n", "package a\nvar x = `<<<<<<< HEAD\n`\n"],
     "java": ["package a.b; import static c.D.*; public class A<T> { @X int f(final int... a) throws E { return switch (a) { case 1 -> 2; default -> 3; }; } }", "record R(int a) {}", "class A { Runnable r = () -> {}; }"],
@@ -21,8 +22,8 @@ GOOD = {
     "yaml": ["a: 1\nb:\n- x\n- y: z\n", "a: |\n  <<<<<<< HEAD\n  x: [\n", "a: {b: c, d: [e]}\n", "---\na: b\n...\n---\nc\n", ""],
 }
 BAD = {
-    "py": ["def f(:\n  pass\n", "x = (1\n", "if x\n  y\n", '"abc\n', "for a in b:\nc\n", "<<<<<<< HEAD\nx=1\n", "x = 12abc\n", "class A:\n", "f'{'\n"],
-    "js": ["function f( { }", "let a = ;", "def f(a):\n  pass\n", "}", "`a${b", "<<<<<<< HEAD\n", "const x: number = 1;"],
+    "py": ["def f(:\n  pass\n", "x = (1\n", "if x\n  y\n", '"abc\n', "for a in b:\nc\n", "<<<<<<< HEAD\nx=1\n", "x = 12abc\n", "class A:\n", "f'{'\n", "1 = x\n", "f() = 3\n", "f(a=1, 2)\n", "def f(a=1, b): pass\n", "del f()\n", "return 1\n", "class A:\n    return\n", "a + b += 1\n", "f(**k, *a)\n", "f(x for x in y, 1)\n", "for f() in x: pass\n", "def f(*): pass\n", "(a, 1) = x\n", "f() := 2\n", "x: int: 3\n"],
+    "js": ["function f( { }", "let a = ;", "def f(a):\n  pass\n", "}", "`a${b", "<<<<<<< HEAD\n", "const x: number = 1;", "1 = x", "f() = 3;", "a + b = c;", "f(function () { a b });", "(a, 1) => a"],
     "ts": ["let a: = 1", "package a;\nclass B {}", "class A { m() { }"],
     "go": ["package a\nfunc f() {\n", "x := 1\n", "package a\nclass A {}\n", "package a\nfunc f() {}}\n"],
     "java": ["class A { void m() { int x = 1 } }", "class A {", "package a\nclass B {}"],
@@ -58,6 +59,21 @@ def test_python_grammar_agrees_with_the_standard_parser(spark):
     assert len(wrong) <= 4, wrong
 
 
+@pytest.mark.parametrize("ext, head", [("js", "f(function () {{ {} }});"), ("js", "f(() => {{ {} }});"), ("ts", "f((x: number) => {{ {} }});")])
+def test_verdicts_do_not_depend_on_texts_read_before(ext, head):
+    bad, good = head.format("a b"), head.format("a\nb")
+    for order in ((bad, good, bad), (good, bad, good)):
+        assert [valid(x, ext) for x in order] == [x == good for x in order]
+
+
+def test_verdicts_do_not_depend_on_order():
+    texts = [(x, e) for e in GOOD for x in GOOD[e] + BAD[e]]
+    want = {t: valid(*t) for t in texts}
+    for seed in range(3):
+        random.Random(seed).shuffle(texts)
+        assert {t: valid(*t) for t in texts} == want
+
+
 def test_gll_is_general():
     g = Grammar("start_s : s ; s : s s | 'a' | ;")  # ambiguous, left recursive, nullable
     k = g.kinds["a"]
