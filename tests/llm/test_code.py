@@ -1,12 +1,13 @@
 import ast
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from fathomline.llm.doc_pairs import code_doc_pairs, function_docs, is_trivial, parameters, signature
-from fathomline.llm.handwritten import features, not_handwritten, split_header
+from fathomline.llm.handwritten import FEATURES, NOTICE, features, not_handwritten, split_header
 from fathomline.llm.syntax.gll import Grammar
 from fathomline.llm.syntax.languages import valid
 from fathomline.llm.syntax_check import syntax_rates, syntax_verdicts
@@ -142,4 +143,24 @@ def test_handwritten(spark):
     assert got["/r/src/bare.js"] and got["/r/vendor/v.js"] and got["/r/src/tail.js"] and got["/r/d.js"] and not got["/r/src/talks.js"] and not got["/r/null.js"]
     assert "/r/gen/a.json" not in got and "/r/README.md" not in got
     assert not_handwritten(df.where("false")).count() == 0
-    assert split_header("# a\n# b\nx = 1\n# c\n", "py")[1].strip() == "x = 1" and len(features("", "py")) == 12
+    assert split_header("# a\n# b\nx = 1\n# c\n", "py")[1].strip() == "x = 1" and len(features("", "py")[0]) == len(FEATURES)
+
+
+@pytest.mark.parametrize("line, told", [("This file was written by Jane Doe in 2019", False), ("The code is created by our team", False), ("Code generated by x v1. DO NOT EDIT.", True), ("Copied unchanged from libx release 2", True), ("Needs the vendored parser from a/b", False), ("The table generated by x is kept by hand", False), ("@generated from a.idl", True)])
+def test_notices(line, told):
+    assert bool(NOTICE.search("// " + line)) is told
+
+
+def test_forest_finds_files_whose_notices_are_blanked_out(spark):
+    """Recall over generated, minified and data files that the forest has not seen, notices taken away."""
+    from fathomline.llm.handwritten import _vector, file_features, fit_forest, training_rows
+    from tests.compare import DATA
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    rows = training_rows(file_features(spark.read.parquet(DATA.replace("0.001", "0.1") + "/source_files.parquet"))).withColumn("_h", F.pmod(F.xxhash64("file_path"), F.lit(2))).cache()
+    model = fit_forest(rows.where("_h = 0"))
+    seen = model.transform(_vector(rows.where("_h = 1"))).select("label", "notice", "generated_path", "prediction").collect()
+    made = [r for r in seen if r.label > 0 and (r.notice != "header" or r.generated_path)]
+    hand = [r for r in seen if r.label == 0]
+    assert len(made) > 10 and sum(r.prediction for r in made) >= 0.95 * len(made) and sum(r.prediction for r in hand) <= 0.03 * len(hand)
