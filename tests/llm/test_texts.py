@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from fathomline.llm import packing
 from fathomline.llm.leakage import TestPhrases, leaks, near_hits, words_of
 from fathomline.llm.packing import Levels, pack, token_counts
-from fathomline.llm.recompression import code_points, parse
-from fathomline.llm.shared_spans import docs_with_shared_spans, shared_shares
+from fathomline.llm.recompression import anchors, code_points
+from fathomline.llm.shared_spans import anchor_size, docs_with_shared_spans, probes, shared_shares
 from fathomline.llm.splitting import split_items, split_text
 
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re", "so") for b in ("tan", "ver", "dok", "pil", "gus", "hem", "rax")]
@@ -217,12 +217,36 @@ def test_shared_spans_against_brute_force(spark, seed):
     assert docs_with_shared_spans(df.where("false"), "doc_id", "text").count() == 0
 
 
-def test_names_do_not_depend_on_place():
+def test_anchors_do_not_depend_on_place():
+    """What an anchor's deciding characters are, it is wherever they stand."""
     rnd = random.Random(7)
-    s = prose(rnd, 40)
-    a, b = prose(rnd, 3) + s, "zz" + s + prose(rnd, 4)
-    x, off = code_points([a, b])
-    names, starts, _, _ = parse(x, 56)
-    one = {n for n, p in zip(names.tolist(), starts.tolist()) if p < off[1]}
-    two = {n for n, p in zip(names.tolist(), starts.tolist()) if p >= off[1]}
-    assert len(one & two) >= 3
+    for _ in range(40):
+        s = prose(rnd, 40)
+        a, b = prose(rnd, rnd.randrange(4)) + s + prose(rnd, rnd.randrange(3)), "zz" * rnd.randrange(3) + s + prose(rnd, rnd.randrange(4))
+        x, begins = code_points([a, b])
+        names, lo, hi = anchors(x, 20)
+        sets = []
+        for base, text in zip(begins, (a, b)):
+            at = base + text.index(s)
+            ok = (lo >= at) & (hi <= at + len(s))
+            sets.append(set(zip(names[ok].tolist(), (lo[ok] - at).tolist(), (hi[ok] - at).tolist())))
+        assert sets[0] == sets[1] and len(sets[0]) >= 3
+
+
+@pytest.mark.parametrize("least", [50, 100, 200, 201])
+def test_every_equal_window_shares_a_key(least):
+    """Spans of exactly `least` characters in strange surroundings, over several kinds of text: none is missed."""
+    rnd = random.Random(least)
+    kinds = (lambda n: "".join(rnd.choice("01") for _ in range(n)), lambda n: prose(rnd, n // 6 + 1)[:n].ljust(n, "x"), lambda n: "".join(chr(rnd.randrange(32, 600)) for _ in range(n)), lambda n: (rnd.choice(["ab", "=", "abc-", "0101101"]) * n)[:n], lambda n: ("x = [" + "0, " * n)[:n])
+    missed = 0
+    for _ in range(60):
+        spans = [rnd.choice(kinds)(least) for _ in range(40)]
+        sides = [[rnd.choice(kinds)(rnd.randrange(0, 90)) + s + rnd.choice(kinds)(rnd.randrange(0, 90)) for s in spans] for _ in range(2)]
+        keys = []
+        for texts in sides:
+            x, begins = code_points(texts)
+            k, _, p, _ = probes(x, begins, least)
+            own = np.searchsorted(begins, p, "right") - 1
+            keys.append([set(k[own == i].tolist()) for i in range(len(texts))])
+        missed += sum(not (a & b) for a, b in zip(*keys))
+    assert missed == 0 and anchor_size(least) * 10 <= least
