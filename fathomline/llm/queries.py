@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.current import current_rows
 from fathomline.llm import doc_pairs, handwritten, leakage, packing, rank_fusion, shared_spans, similar_vectors, splitting, syntax_check
+from fathomline.operators.search import similar_to_many
 from fathomline.sources.tables import table
 
 MODEL, WIDTH = "lantern-embed-64", 64
@@ -26,18 +27,34 @@ def _raw_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk_vectors").where((F.col("model_name") == MODEL) & similar_vectors.fit_vector(WIDTH)).select("embedding")
 
 
+def _near_classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return similar_vectors.similar_classes(_vectors(spark, d), 0.95, trees=2, probes=16, more_probes=4, leaf_rows=1024, basis=_raw_vectors(spark, d))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks whose vectors have a cosine of 0.95 or more."""
-    pairs = similar_vectors.similar_pairs(_vectors(spark, d), 0.95, k=8, trees=2, probes=16, more_probes=4, leaf_rows=1024, basis=_raw_vectors(spark, d))
-    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+    return similar_vectors.expand_pairs(*_near_classes(spark, d)).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with a copy or a partner at 0.95 or more: its class of equal vectors and its number of partners outside it."""
+    return similar_vectors.class_links(*_near_classes(spark, d)).withColumnRenamed("id", "chunk_id")
 
 
 def p1_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest of every vector whose id hash is divisible by 50, among all vectors."""
-    near = similar_vectors.knn(_vectors(spark, d), 10, queries=F.crc32("id") % 50 == 0, trees=4, probes=320, basis=_raw_vectors(spark, d))
+    near = similar_vectors.knn(_vectors(spark, d), 10, queries=F.crc32("id") % 50 == 0, trees=4, probes=320, more_probes=80, basis=_raw_vectors(spark, d))
     return near.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), F.col("rank").cast("int").alias("rank"))
 
 
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """One row: how many of the exact 10 nearest (all vectors against the same queries, in blocks) p1_topk finds."""
+    rows = _vectors(spark, d).withColumnRenamed("id", "chunk_id").groupBy("embedding").agg(F.min("chunk_id").alias("chunk_id"), F.max((F.crc32("chunk_id") % 50 == 0).cast("int")).alias("ask"))
+    exact = similar_to_many(rows, rows.where("ask = 1"), 10).select(F.col("seed_id").alias("chunk_id"), F.col("chunk_id").alias("neighbour_id"), F.lit(1).alias("hit"))
+    both = exact.join(p1_topk(spark, d).select("chunk_id", "neighbour_id", F.lit(1).alias("got")), ["chunk_id", "neighbour_id"], "left")
+    return both.agg(F.count_distinct("chunk_id").alias("n_queries"), F.count("*").alias("n_exact"), F.round(F.count("got") / F.count("*"), 4).alias("recall"))
+
+
 def _current_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Current chunks; only content above the limit is carried along, the rest is never needed."""
     long = F.when(F.length("content") > CHUNK_LIMIT, F.col("content"))
@@ -133,13 +150,18 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_shares(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = (p1_found, p1_topk, p3_found, p3_pieces, p4_found, p4_scores, p5_found, p5_rates, p6_found, p6_pairs, p7_found, p7_ranking, p8_containers, p9_found, p9_matches, p10_found, p10_shares)
+QUERIES = (p1_found, p1_links, p1_topk, p1_recall, p3_found, p3_pieces, p4_found, p4_scores, p5_found, p5_rates, p6_found, p6_pairs, p7_found, p7_ranking, p8_containers, p9_found, p9_matches, p10_found, p10_shares)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+_VECTORS = f"""
+WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC) r FROM chunk_vectors) WHERE r = 1),
+v AS (SELECT chunk_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM c WHERE model_name = '{MODEL}' AND len(embedding) = {WIDTH}
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+"""
 _HITS = """
 WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY retrieved_at DESC) r FROM search_hits) WHERE r = 1),
 q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY asked_at DESC) r FROM search_queries) WHERE r = 1),
@@ -152,12 +174,13 @@ k AS (SELECT query_id, chunk_id, s, rank() OVER (PARTITION BY query_id, s ORDER
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": f"""
-WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC) r FROM chunk_vectors) WHERE r = 1),
-v AS (SELECT chunk_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM c WHERE model_name = '{MODEL}' AND len(embedding) = {WIDTH}
- AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
-SELECT a.chunk_id chunk_id_a, b.chunk_id chunk_id_b FROM v a JOIN v b ON a.chunk_id < b.chunk_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95""",
+        "p1_found": _VECTORS + """SELECT a.chunk_id chunk_id_a, b.chunk_id chunk_id_b FROM v a JOIN v b ON a.chunk_id < b.chunk_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95""",
+        "p1_links": _VECTORS + """, c2 AS (SELECT e, min(chunk_id) class_id, count(*) copies FROM v GROUP BY e),
+l AS (SELECT a.class_id, sum(b.copies) n FROM c2 a JOIN c2 b ON a.class_id <> b.class_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95 GROUP BY 1)
+SELECT v.chunk_id, class_id, copies, coalesce(n, 0)::BIGINT n_links FROM v JOIN c2 USING (e) LEFT JOIN l USING (class_id) WHERE copies > 1 OR n IS NOT NULL""",
         "p3_found": f"SELECT chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC) r FROM chunks) WHERE r = 1 AND length(content) > {CHUNK_LIMIT}",
+        "p5_found": """WITH f AS (SELECT DISTINCT file_path FROM source_files WHERE regexp_matches(lower(file_path), '\\.(py|js|ts|go|java|json|yaml|yml)$'))
+SELECT file_path FROM f WHERE file_path NOT IN (SELECT file_path FROM chunks WHERE file_path IS NOT NULL)""",
         "p7_found": _HITS + "SELECT query_id, chunk_id FROM k JOIN n USING (query_id) WHERE place <= 3 AND n > 8 GROUP BY 1, 2 HAVING count(*) = 4",
         "p7_ranking": _HITS + """, w AS (SELECT p.query_id, p.chunk_id, n.n, (SELECT 0) z FROM p JOIN n USING (query_id)),
 t AS (SELECT w.query_id, w.chunk_id, any_value(w.n) n, count(k.s)::INT present, sum(CASE WHEN k.s IS NULL THEN 0 ELSE 1 - (k.place - 1 + k.ties / 2.0) / k.m END) + 0.5 * (4 - count(k.s)) share FROM w LEFT JOIN k ON k.query_id = w.query_id AND k.chunk_id = w.chunk_id GROUP BY 1, 2)

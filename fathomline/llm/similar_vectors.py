@@ -5,7 +5,8 @@ reach it, so leaves stay balanced whatever the clusters are. A query walks all t
 ordered by the squared distance to the crossed split planes. The side a query lies on keeps its parent's priority,
 so the `probes` leaves which the shared queue would pop are exactly the survivors of a beam that keeps the `probes`
 best nodes over all trees at each level; that form runs on whole batches in numpy. Rows travel as int8 codes, once
-to each subtree where a query has probes; survivors of the coded scores are ranked again by exact double cosine.
+to each subtree where a query has probes, each with its code's distance from the vector: a coded score is off by no more
+than two such distances. Survivors of the coded scores are ranked again by exact double cosine.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Error allowance of a coded score: two codes of 64 components off by at most half a step each.
-CODE_SLACK = 0.02
+from fathomline.session import stored
+
 SUBTREE_LEVELS = 6
 #: Depth up to which `probes` alone holds; each level below it adds `more_probes`.
 SHALLOW_LEVELS = 7
@@ -136,6 +137,8 @@ def _near(
                 shown = np.stack([x @ d.T for d in forest.directions], 1)
                 home = forest.homes(shown)
                 code = np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
+                coded = code.astype(np.float32)
+                off = np.linalg.norm(x - coded / np.linalg.norm(coded, axis=1, keepdims=True), axis=1) + np.float32(1e-6)
                 key, n = part["key"].to_numpy(), len(part)
                 asks = np.arange(n) if all_ask else np.flatnonzero(part["ask"].to_numpy())
                 row = np.repeat(np.arange(n), trees)
@@ -151,15 +154,23 @@ def _near(
                 first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])])
                 mask, spot = np.bitwise_or.reduceat(m, first), np.maximum.reduceat(h, first)
                 r, g = r[first], g[first]
-                yield pd.DataFrame({"grp": g, "key": key[r], "code": [c.tobytes() for c in code[r]], "home": spot.astype(np.int16), "mask": mask.view(np.int64)})
+                yield pd.DataFrame({"grp": g, "key": key[r], "code": [c.tobytes() for c in code[r]], "off": off[r], "home": spot.astype(np.int16), "mask": mask.view(np.int64)})
 
-    take, floor = None if k is None else k + 4, None if min_cosine is None else min_cosine - CODE_SLACK
+    take = None if k is None else k + 4
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("mask").drop_duplicates("key", keep="last") if not all_ask else pdf.drop_duplicates("key")
+        mask = pdf["mask"].to_numpy().view(np.uint64)
+        if not all_ask:  # one batch may ask for a vector that others only hold
+            order = np.argsort(pdf["key"].to_numpy(), kind="stable")
+            pdf, mask = pdf.iloc[order], mask[order]
+            first = np.flatnonzero(np.r_[True, np.diff(pdf["key"].to_numpy()) != 0])
+            pdf, mask = pdf.iloc[first], np.bitwise_or.reduceat(mask, first)
+        else:
+            once = ~pdf["key"].duplicated().to_numpy()
+            pdf, mask = pdf[once], mask[once]
         x = np.frombuffer(b"".join(pdf["code"]), np.int8).reshape(len(pdf), -1).astype(np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        key, home, mask = pdf["key"].to_numpy(), pdf["home"].to_numpy(), pdf["mask"].to_numpy().view(np.uint64)
+        key, home, off = pdf["key"].to_numpy(), pdf["home"].to_numpy(), pdf["off"].to_numpy()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for leaf in np.unique(home[home >= 0]):
             data = np.flatnonzero(home == leaf)
@@ -169,8 +180,8 @@ def _near(
                 for j in range(0, len(data), 4096):
                     c = data[j : j + 4096]
                     s = x[q] @ x[c].T
-                    if floor is not None:
-                        a, b = np.nonzero(s >= floor)
+                    if min_cosine is not None:
+                        a, b = np.nonzero(s >= (min_cosine - off[q])[:, None] - off[c][None, :])
                     elif len(c) > take:
                         b = np.argpartition(-s, take - 1, axis=1)[:, :take].ravel()
                         a = np.repeat(np.arange(len(q)), take)
@@ -184,12 +195,12 @@ def _near(
             got = got.sort_values(["a", "s", "b"], ascending=[True, False, True]).groupby("a").head(take)
         return got
 
-    spread_rows = rows.select("key", "embedding", "ask").mapInPandas(spread, "grp long, key long, code binary, home short, mask long")
+    spread_rows = rows.select("key", "embedding", "ask").mapInPandas(spread, "grp long, key long, code binary, off float, home short, mask long")
     near = spread_rows.groupBy("grp").applyInPandas(score, "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
     if take is not None:
         best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
         near = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= take)
-    near = near.select("a", "b")
+    near = stored(near.select("a", "b"))
     wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
     nodes = rows.select("key", "id", "embedding").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"), F.first("embedding").alias("embedding"))
     left = nodes.select(F.col("key").alias("a"), F.col("embedding").alias("_ea"))
@@ -202,7 +213,7 @@ def _near(
 
 def knn(
     vectors: DataFrame, k: int, queries: Column | None = None, min_cosine: float | None = None, trees: int = 3, probes: int = 24,
-    leaf_rows: int = 256, sample_rows: int | None = None, seed: int = 7, basis: DataFrame | None = None,
+    leaf_rows: int = 256, sample_rows: int | None = None, seed: int = 7, basis: DataFrame | None = None, more_probes: int = 0,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): for each distinct vector that `queries` selects, its k nearest among all.
 
@@ -213,26 +224,45 @@ def knn(
     default one row in 128 but at least 32,768 and at most 262,144 (64 MB at 64 floats), a fixed bound. Every row is
     indexed, and the depth follows the number of rows; levels deeper than the sample reaches split at one median.
     """
-    pairs, nodes = _near(vectors, k, queries, min_cosine, trees, probes, leaf_rows, sample_rows, seed, basis)
+    pairs, nodes = _near(vectors, k, queries, min_cosine, trees, probes, leaf_rows, sample_rows, seed, basis, more_probes)
     names = nodes.select("key", "id")
     out = pairs.join(names.withColumnRenamed("key", "a"), "a").join(names.select(F.col("key").alias("b"), F.col("id").alias("neighbour")), "b")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return out.select("id", "neighbour", "cosine").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def similar_pairs(
-    vectors: DataFrame, min_cosine: float, k: int, trees: int = 3, probes: int = 24, leaf_rows: int = 256, sample_rows: int | None = None, seed: int = 7, basis: DataFrame | None = None, more_probes: int = 0,
-) -> DataFrame:
-    """(a, b), a < b: pairs of ids at `min_cosine` or more, found through the leaves that every distinct vector probes.
+def similar_classes(
+    vectors: DataFrame, min_cosine: float, trees: int = 3, probes: int = 24, leaf_rows: int = 256, sample_rows: int | None = None, seed: int = 7, basis: DataFrame | None = None, more_probes: int = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), a < b, of class ids; members (id, class_id)): pairs of classes at `min_cosine` or more, found through the leaves that every distinct vector probes.
 
-    No vector's partners are cut at a number; `k` is kept for callers and bounds nothing. Ids with the very same vector are paired with each other and share their node's partners. Each level of depth below
-    SHALLOW_LEVELS adds `more_probes`, since a pair is parted more often in a deeper tree.
+    A class holds the ids with the very same vector and is named by the smallest; copies are not expanded into pairs. No
+    vector's partners are cut at a number. Each level of depth below SHALLOW_LEVELS adds `more_probes`, since a pair
+    is parted more often in a deeper tree.
     """
     pairs, _ = _near(vectors, None, None, min_cosine, trees, probes, leaf_rows, sample_rows, seed, basis, more_probes)
-    members = vectors.select(F.xxhash64("embedding").alias("key"), "id")
-    across = pairs.select("a", "b").join(members.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("key").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    same = members.join(several, "key", "left_semi")
-    within = same.withColumnRenamed("id", "x").join(same.withColumnRenamed("id", "y"), "key").where("x < y").select("x", "y")
+    keyed = vectors.select(F.xxhash64("embedding").alias("key"), "id")
+    names = keyed.groupBy("key").agg(F.min("id").alias("class_id"))
+    members = keyed.join(names, "key").select("id", "class_id")
+    named = pairs.select("a", "b").join(names.select(F.col("key").alias("a"), F.col("class_id").alias("_x")), "a").join(names.select(F.col("key").alias("b"), F.col("class_id").alias("_y")), "b")
+    return named.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct(), members
+
+
+def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of ids behind similar_classes, those within a class included; grows with the square of a class's copies."""
+    mine = lambda c: members.select(F.col("class_id").alias(c), F.col("id").alias("_" + c))
+    across = links.join(mine("a"), "a").join(mine("b"), "b").select("_a", "_b")
+    same = members.where("id <> class_id").select("class_id").distinct()
+    copies = members.join(same, "class_id", "left_semi")
+    within = copies.select("class_id", F.col("id").alias("_a")).join(copies.select("class_id", F.col("id").alias("_b")), "class_id").where("_a < _b").select("_a", "_b")
     both = across.unionByName(within)
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+
+
+def class_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, class_id, copies, n_links): one row for each id that has a copy or a similar class; n_links counts the similar ids of other classes."""
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("copies"))
+    ends = links.select(F.col("a").alias("class_id"), F.col("b").alias("_o")).unionByName(links.select(F.col("b").alias("class_id"), F.col("a").alias("_o")))
+    n = ends.join(sizes.select(F.col("class_id").alias("_o"), F.col("copies").alias("_n")), "_o").groupBy("class_id").agg(F.sum("_n").alias("n_links"))
+    per = sizes.join(n, "class_id", "left").where("copies > 1 OR n_links IS NOT NULL")
+    return members.join(per, "class_id").select("id", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from fathomline.llm import queries
 from fathomline.llm.rank_fusion import borda
-from fathomline.llm.similar_vectors import clean_vectors, knn, similar_pairs
+from fathomline.llm.similar_vectors import class_links, clean_vectors, expand_pairs, knn, similar_classes
 from tests.compare import DATA
 
 V = "id string, embedding array<float>"
 
 
+def similar_pairs(df, least, **how):
+    return expand_pairs(*similar_classes(df, least, **how))
+
+
 def clustered(n, seed=3, width=16):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(n // 40 + 1, width))
@@ -33,17 +37,46 @@ def test_recall_and_pairs_against_brute_force(spark):
     assert hit / (5 * len(x)) >= 0.9
     a, b = np.where(np.triu(s, 1) >= 0.99)
     want = {(f"v{i:05}", f"v{j:05}") for i, j in zip(a, b)}
-    found = {(r.a, r.b) for r in similar_pairs(df, 0.99, 8, trees=3, probes=24, leaf_rows=64).collect()}
+    found = {(r.a, r.b) for r in similar_pairs(df, 0.99, trees=3, probes=24, leaf_rows=64).collect()}
     assert found <= want and len(found) >= 0.98 * len(want)
 
 
 def test_copies_queries_ties_and_empty(spark):
     rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [2.0, 0.0]), ("d", [0.0, 1.0]), ("e", [1.0, 0.01])]
     df = spark.createDataFrame(rows, V)
-    assert {(r.a, r.b) for r in similar_pairs(df, 0.95, 5).collect()} == {(x, y) for x in "abce" for y in "abce" if x < y}
+    assert {(r.a, r.b) for r in similar_pairs(df, 0.95).collect()} == {(x, y) for x in "abce" for y in "abce" if x < y}
     near = knn(df, 2, queries=F.col("id") == "b").collect()
     assert {r.id for r in near} == {"a"} and [r.neighbour for r in sorted(near, key=lambda r: r["rank"])] == ["c", "e"]
-    assert knn(df.where("false"), 3).count() == 0 and similar_pairs(df.where("false"), 0.9, 3).count() == 0
+    assert knn(df.where("false"), 3).count() == 0 and similar_pairs(df.where("false"), 0.9).count() == 0
+
+
+def test_classes_count_links(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [2.0, 0.0]), ("d", [0.0, 1.0]), ("e", [1.0, 0.01]), ("f", [0.0, 1.0])]
+    got = {r.id: (r.class_id, r.copies, r.n_links) for r in class_links(*similar_classes(spark.createDataFrame(rows, V), 0.95)).collect()}
+    assert got == {"a": ("a", 2, 2), "b": ("a", 2, 2), "c": ("c", 1, 3), "e": ("e", 1, 3), "d": ("d", 2, 0), "f": ("d", 2, 0)}
+
+
+@pytest.mark.parametrize("width", [3, 200])
+def test_coded_scores_lose_no_pair(spark, width):
+    """One leaf holds all rows, so the allowance of the codes alone decides what is lost: nothing, at any width."""
+    rng = np.random.default_rng(width)
+    x = (rng.normal(size=width) * np.exp(rng.normal(size=width)) + 0.3 * rng.normal(size=(250, width))).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.triu(unit @ unit.T, 1)
+    least = float(np.quantile(s[s > 0], 0.7))
+    want = {(f"v{i:03}", f"v{j:03}") for i, j in zip(*np.where(s >= least + 1e-9))}
+    got = {(r.a, r.b) for r in similar_pairs(spark.createDataFrame([(f"v{i:03}", [float(y) for y in r]) for i, r in enumerate(x)], V), least).collect()}
+    assert want <= got and len(got) <= len(want) + 1
+
+
+def test_masks_of_batches_are_joined(spark):
+    """The 64th leaf of a subtree is the sign bit of its mask: a vector whose copies ask and do not ask in different batches keeps its probes."""
+    x = clustered(2000, width=8)
+    rows = [(f"v{i:05}", [float(y) for y in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows + [("w" + i[1:], r) for i, r in rows], V).repartition(13)
+    got = knn(df, 3, queries=F.col("id").startswith("w") & (F.crc32("id") % 3 == 0), trees=2, probes=64, leaf_rows=32).toPandas()
+    asked = {tuple(r[1]) for r in df.where(F.col("id").startswith("w") & (F.crc32("id") % 3 == 0)).collect()}
+    assert got.id.nunique() == len(asked) and (got.groupby("id").size() == 3).all()
 
 
 def test_a_third_of_all_rows_alike(spark):
@@ -57,7 +90,7 @@ def test_all_pairs_of_a_dense_cluster(spark):
     rng = np.random.default_rng(6)
     x = (rng.normal(size=16) + 0.01 * rng.normal(size=(60, 16))).astype(np.float32)
     df = spark.createDataFrame([(f"v{i:02}", [float(y) for y in r]) for i, r in enumerate(x)], V)
-    got = {(r.a, r.b) for r in similar_pairs(df, 0.95, 8).collect()}
+    got = {(r.a, r.b) for r in similar_pairs(df, 0.95).collect()}
     assert got == {(f"v{i:02}", f"v{j:02}") for j in range(60) for i in range(j)}
 
 
@@ -66,13 +99,14 @@ def test_more_probes_follow_the_depth(spark):
     df = spark.createDataFrame([(f"v{i:05}", [float(y) for y in r]) for i, r in enumerate(x)], V)
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     want = {(f"v{i:05}", f"v{j:05}") for i, j in zip(*np.where(np.triu(unit @ unit.T, 1) >= 0.99))}
-    few, more = ({(r.a, r.b) for r in similar_pairs(df, 0.99, 8, trees=2, probes=1, leaf_rows=2, more_probes=m).collect()} for m in (0, 16))
+    few, more = ({(r.a, r.b) for r in similar_pairs(df, 0.99, trees=2, probes=1, leaf_rows=2, more_probes=m).collect()} for m in (0, 16))
     assert few < more <= want and len(more) >= 0.98 * len(want)
 
 
 def test_pairs_query_widens_its_search_with_the_depth(spark, monkeypatch):
     seen = {}
-    monkeypatch.setattr(queries.similar_vectors, "similar_pairs", lambda v, c, **how: seen.update(how) or spark.createDataFrame([], "a string, b string"))
+    empty = spark.createDataFrame([], "a string, b string"), spark.createDataFrame([], "id string, class_id string")
+    monkeypatch.setattr(queries.similar_vectors, "similar_classes", lambda v, c, **how: seen.update(how) or empty)
     queries.p1_found(spark, DATA)
     assert seen["probes"] >= 16 and seen["more_probes"] > 0
 
