@@ -119,9 +119,15 @@ def probe_rows(texts: DataFrame, least: int, places: bool = False) -> DataFrame:
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
-    """The rows (key, doc, known, ...) whose key more than one doc holds; `rows` must be stored, it is read twice."""
-    several = rows.groupBy("key").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a <> _b").select("key")
-    return rows.where("known").unionByName(rows.where("NOT known").join(several, "key", "left_semi"))
+    """The rows (key, doc, known, ...) whose key more than one doc holds; `rows` must be stored, it is read several times.
+
+    Only rows whose key is not known to be shared are shuffled, once for both the count of their docs and the choice.
+    """
+    single = rows.where("NOT known").repartition("key")
+    several = single.groupBy("key").agg((F.min("doc") != F.max("doc")).alias("_many"))
+    known = rows.where("known").select("key").distinct().withColumn("_known", F.lit(True))
+    met = single.join(several, "key").join(known, "key", "left").where("_many OR _known").select(*rows.columns)
+    return rows.where("known").unionByName(met)
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
