@@ -97,13 +97,12 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Functions and methods whose own documentation is not trivial."""
-    docs = doc_pairs.function_docs(table(spark, d, "chunks"), table(spark, d, "source_files"))
-    return doc_pairs.code_doc_pairs(docs).where("doc_chunk_id = chunk_id").select("chunk_id")
+    return doc_pairs.documented_functions(table(spark, d, "chunks"), table(spark, d, "source_files")).where("doc_chunk_id = chunk_id").select("chunk_id")
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Code and description pairs, documentation lent by separate declarations included."""
-    return doc_pairs.code_doc_pairs(doc_pairs.function_docs(table(spark, d, "chunks"), table(spark, d, "source_files")))
+    return doc_pairs.documented_functions(table(spark, d, "chunks"), table(spark, d, "source_files"), content=True)
 
 
 def _ranking(spark: SparkSession, d: str) -> DataFrame:

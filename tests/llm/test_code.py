@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm.doc_pairs import code_doc_pairs, function_docs, is_trivial, parameters, signature
+from fathomline.llm.doc_pairs import code_doc_pairs, documented_functions, function_docs, is_trivial, parameters, signature
 from fathomline.llm.handwritten import FEATURES, NOTICE, features, not_handwritten, split_header
 from fathomline.llm.syntax.gll import Grammar
 from fathomline.llm.syntax.languages import valid
@@ -102,7 +102,7 @@ def test_verdicts_and_rates(spark):
     assert syntax_verdicts(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("doc, trivial", [("Get user by id.", True), ("TODO: document", True), ("@param user_id\n@return", True), ("Args:\n  user_id: the user id", True), ("-----", True), ("", True), (None, True), ("See get_user_by_id.", True), ("Retries twice.", False), ("Höchstens neun.", False), ("TODO later\nNever blocks.", False)])
+@pytest.mark.parametrize("doc, trivial", [("Get user by id.", True), ("TODO: document", True), ("@param user_id\n@return", True), ("Args:\n  user_id: the user id", True), ("-----", True), ("", True), (None, True), ("See get_user_by_id.", True), ("Retries twice.", False), ("Höchstens neun.", False), ("TODO later\nNever blocks.", False), ("None of the retries may exceed the billing budget.", False), ("Summary of last month's invoices per tenant, newest first.", False), ("Description strings are escaped for HTML output.", False), ("Hack around the broken proxy: retries twice with backoff.", False), ("Todo items grouped by owner.", False), ("xxx: add a proper description before release 1.2", True), ("tbd - missing documentation for get_user_by_id", True), ("Docstring goes here.", True), ("Auto-generated method stub", True), ("get_user_by_id FIXME", True), ("N/A", True), ("No description.", True), ("FIXME write this up, see ticket a-1", True)])
 def test_trivial(doc, trivial):
     assert is_trivial(doc, "get_user_by_id", ["self", "user_id: int = 3"]) is trivial
 
@@ -124,7 +124,7 @@ def test_documentation_is_read_from_the_file(spark):
         ("h", "/f.js", "h", None, "function", 4, "function h() {}"), ("i", "/f.js", "i", None, "function", 6, "function i() {}"), ("k1", "/f.java", "k", "I", "method", 3, "int k(int a);"), ("k2", "/f.java", "k", "I", "method", 7, "int k(int a) { return 1; }"),
         ("cls", "/f.py", "C", None, "class", 1, "x"), ("lost", "/gone.py", "z", None, "function", 1, "def z(): pass"), ("far", "/f.py", "y", None, "function", 999, "def y(): pass"), ("nul", "/f.py", None, None, "function", None, None),
     ]
-    chunks = spark.createDataFrame([(*r, "p", T[0]) for r in rows], "chunk_id string, file_path string, name string, parent_name string, chunk_type string, start_line int, content string, project_name string, indexed_at timestamp").withColumn("doc", F.lit("clash"))
+    chunks = spark.createDataFrame([(*r, "p", T[0], None) for r in rows], "chunk_id string, file_path string, name string, parent_name string, chunk_type string, start_line int, content string, project_name string, indexed_at timestamp, end_line int").withColumn("doc", F.lit("clash"))
     docs = function_docs(chunks, files)
     got = {r.chunk_id: (r.doc and r.doc.strip(), r.trivial) for r in docs.collect()}
     assert got == {"f": ("Half-open.", False), "g": (None, True), "F": ("F folds twice.", False), "G": (None, True), "h": ("Never blocks.", False), "i": (None, True), "k1": ("Closes early.", False), "k2": ("TODO", True), "far": (None, True)}
@@ -132,6 +132,28 @@ def test_documentation_is_read_from_the_file(spark):
     assert pairs == {"f": "f", "F": "F", "h": "h", "k1": "k1", "k2": "k1"}
 
 
+def test_declarations_in_other_files_document_separate_definitions(spark):
+    """Interface in one file, overloads apart by their types, definitions in another file of the same project."""
+    decl = "interface I {\n    /** Closes early. */\n    int k(int a);\n    /** Closes late, after every reader. */\n    int k(String b);\n    /** m */\n    int m();\n}\n"
+    impl = "class I {\n    int k(final int value) { return 1; }\n    @Override\n    int k(String other) { return 2; }\n    int m() { return 3; }\n    /** Own words win. */\n    int k(int a) { return 4; }\n}\n"
+    files = spark.createDataFrame([("/d/I.java", decl, T[0]), ("/e/I.java", impl, T[0]), ("/q/I.java", impl, T[0])], "file_path string, content string, modified_at timestamp")
+    rows = [("d1", "/d/I.java", "k", 3, 3, "p"), ("d2", "/d/I.java", "k", 5, 5, "p"), ("d3", "/d/I.java", "m", 7, 7, "p"), ("e1", "/e/I.java", "k", 2, 2, "p"), ("e2", "/e/I.java", "k", 3, 4, "p"), ("e3", "/e/I.java", "m", 5, 5, "p"), ("e4", "/e/I.java", "k", 7, 7, "p"), ("q1", "/q/I.java", "k", 2, 2, "other")]
+    chunks = spark.createDataFrame([(c, f, n, "I", "method", a, b, p, T[0]) for c, f, n, a, b, p in rows + rows[:2]], "chunk_id string, file_path string, name string, parent_name string, chunk_type string, start_line int, end_line int, project_name string, indexed_at timestamp")
+    got = {r.chunk_id: (r.doc_chunk_id, r.doc.strip(), r.content.strip()) for r in documented_functions(chunks, files, content=True).collect()}
+    assert {c: g[0] for c, g in got.items()} == {"d1": "d1", "d2": "d2", "e1": "d1", "e2": "d2", "e4": "e4"}
+    assert got["e2"][1:] == ("Closes late, after every reader.", "@Override\n    int k(String other) { return 2; }")
+    assert documented_functions(chunks.where("false"), files).count() == 0
+
+
+def test_long_heads_and_decorators(spark):
+    quotes = "'" * 3
+    py = "".join(f"@d({i})\n" for i in range(500)) + "def f(\n" + "".join(f"    a{i}=':',\n" for i in range(600)) + "):\n    " + quotes + "Words.\n" * 500 + quotes + "\n"
+    files = spark.createDataFrame([("/f.py", py, T[0])], "file_path string, content string, modified_at timestamp")
+    chunks = spark.createDataFrame([("f", "/f.py", "f", None, "function", 1, py.count("\n"), "p", T[0])], "chunk_id string, file_path string, name string, parent_name string, chunk_type string, start_line int, end_line int, project_name string, indexed_at timestamp")
+    r = function_docs(chunks, files).first()
+    assert r.doc == "Words.\n" * 500 and not r.trivial and r.signature.count("_") == 600
+
+
 def test_handwritten(spark):
     getters = lambda n, s: "class A {\n" + "".join(f"    get{s}{i}() {{ return this.fields[{i}]; }}\n" for i in range(n)) + "}\n"
     hand = lambda i: f"import x{i} from './m{i}';\n\n// keeps the {i}th row\nexport function run{i}(alpha, beta) {{\n    if (alpha > {i}) {{\n        return beta.map((row) => row.value + {i * 7});\n    }}\n    log.info('done {i}', beta);\n    return alpha;\n}}\n"
