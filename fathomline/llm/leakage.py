@@ -1,26 +1,33 @@
-"""Evaluation texts leaking into training text: a document-partitioned positional inverted index.
+"""Evaluation texts leaking into training text: a distributed positional inverted index.
 
-Each batch of documents becomes a shard of the index: postings (term -> positions) of the test vocabulary in one sorted
-array. A leak of at least `least` consecutive words must hold an aligned block of `block` words of the item, so each
+Documents are gathered into segments; a segment's postings (each of its terms with all its positions) are stored as rows of
+one table. A search reads the lists of the test terms only and puts those of one segment together. A leak of at least
+`least` consecutive words must hold an aligned block of `block` words of the item, so each
 block is a phrase query: its terms' lists are intersected, shifted by their offsets, from the rarest term on. Hits are
 extended to the longest common run in both directions. Proximity matches are chains of shorter runs whose offsets drift
-by at most a slack between one run and the next, so words may be put in, left out or changed. The test side has a proven bound (`max_test_words`); it is the
-only thing that is broadcast.
+by at most a slack between one run and the next, so words may be put in, left out or changed. Test sets of any size are
+searched in blocks of a proven bound, the only thing that is broadcast.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.session import stored
+
 WORD = regex.compile(rb"[0-9a-z]+")
-#: Characters of documents that form one shard of the index in memory.
-SHARD_CHARS = 6_000_000
+#: Characters of documents that form one segment of the index.
+SEGMENT_CHARS = 6_000_000
 #: Words in a row that each link of a proximity match has at least.
 LINK_WORDS = 3
 
@@ -30,7 +37,7 @@ def words_of(text: str) -> list[bytes]:
     return WORD.findall(text.encode("utf-8").lower())  # bytes.lower() maps ASCII only
 
 
-class TestPhrases:
+class Phrases:
     """Items as term ids with their aligned blocks."""
 
     def __init__(self, items: list[tuple[int, str]], block: int):
@@ -45,28 +52,94 @@ class TestPhrases:
         self.blocks = [(np.frombuffer(k, np.int32), v) for k, v in seen.items()]
 
 
-def shard_postings(texts: list[str], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(term of every position, -1 outside the vocabulary and between texts; text number; postings sorted by term; bounds)."""
-    get = vocab.get
-    seq: list[int] = []
-    lengths = []
-    for t in texts:
-        own = [get(w, -1) for w in words_of(t)] if t else []
-        seq += own
-        seq.append(-2)
-        lengths.append(len(own) + 1)
-    terms = np.array(seq, np.int32)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    at = np.flatnonzero(terms >= 0)
-    at = at[np.argsort(terms[at], kind="stable")].astype(np.int32)
-    bounds = np.searchsorted(terms[at], np.arange(len(vocab) + 1))
-    return terms, owner, at, bounds
-
-
-def phrase_hits(test: TestPhrases, texts: list[str], least: int) -> list[tuple[int, int, int, int, int]]:
+class _Numbers(dict):
+    """Term -> number in order of first sight."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+
+def segment_postings(texts: list[str]) -> tuple[list[str], list[bytes], np.ndarray]:
+    """(terms, their positions as differences of 32 bits, lengths) of one segment; a text takes one position more than it has words."""
+    numbers = _Numbers()
+    per = [list(map(numbers.__getitem__, words_of(t))) if t else [] for t in texts]
+    lengths = np.array([len(x) + 1 for x in per], np.int64)
+    seq = np.concatenate([np.asarray(x, np.int32) for x in per]) if per else np.zeros(0, np.int32)
+    at = np.arange(len(seq)) + np.repeat(np.arange(len(per)), lengths - 1) if len(per) else np.zeros(0, np.int64)
+    order = np.argsort(seq, kind="stable")
+    at = at[order].astype(np.int64)
+    bounds = np.searchsorted(seq[order], np.arange(len(numbers) + 1))
+    step = np.diff(at, prepend=0)
+    step[bounds[:-1]] = at[bounds[:-1]] if len(at) else 0
+    raw = step.astype("<u4").tobytes()
+    ends = (bounds * 4).tolist()
+    return [t.decode() for t in numbers], [raw[a:b] for a, b in zip(ends, ends[1:])], lengths
+
+
+def positional_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(segment long, term, positions binary, docs array, lengths binary): every word of every text of non-null id, stored.
+
+    One row for each term of a segment, and one without a term that lists the segment's documents and their lengths. Null
+    and empty texts have no words.
+    """
+    kind = dict(docs.dtypes)[doc_id]
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, n = TaskContext.get().partitionId() << 24, 0
+        keys: list = []
+        texts: list[str] = []
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            terms, lists, lengths = segment_postings(texts)
+            rest = [None] * len(terms)
+            return pd.DataFrame({"segment": base + n, "term": [None, *terms], "positions": [None, *lists], "docs": [keys, *rest], "lengths": [lengths.astype("<u4").tobytes(), *rest]})
+
+        for pdf in batches:
+            for key, t in zip(pdf["d"], pdf["t"]):
+                keys.append(key)
+                texts.append(t or "")
+                size += len(texts[-1])
+                if size >= SEGMENT_CHARS:
+                    yield flush()
+                    n += 1
+                    keys, texts, size = [], [], 0
+        if texts:
+            yield flush()
+
+    rows = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
+    return stored(rows.mapInPandas(build, f"segment long, term string, positions binary, docs array<{kind}>, lengths binary"))
+
+
+class Segment:
+    """The postings of the test terms in one segment: `terms` (term of every position, -1 for other words, -2 between texts), the text of
+    each position, and all positions sorted by term with the bounds of each term's list."""
+
+    def __init__(self, vocab: dict[bytes, int], lengths: np.ndarray, lists: dict[int, np.ndarray]):
+        lengths = lengths.astype(np.int64)
+        self.owner = np.repeat(np.arange(len(lengths)), lengths)
+        self.starts = np.cumsum(lengths) - lengths
+        self.terms = np.full(int(lengths.sum()), -1, np.int32)
+        self.terms[self.starts + lengths - 1] = -2
+        none = np.zeros(0, np.int64)
+        own = [lists.get(k, none) for k in range(len(vocab))]
+        for k, at in enumerate(own):
+            self.terms[at] = k
+        self.at = np.concatenate(own) if own else none
+        self.bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+
+    @classmethod
+    def of(cls, test: Phrases, texts: list[str]) -> Segment:
+        """The segment of these texts, without a stored index."""
+        terms, lists, lengths = segment_postings(texts)
+        got = {test.vocab[t.encode()]: np.cumsum(np.frombuffer(x, "<u4").astype(np.int64)) for t, x in zip(terms, lists) if t.encode() in test.vocab}
+        return cls(test.vocab, lengths, got)
+
+
+def phrase_hits(test: Phrases, seg: Segment, least: int) -> list[tuple[int, int, int, int, int]]:
     """(text number, item number, words in a row, word offset in the text, in the item): the maximal runs of `least` words or more."""
-    terms, owner, at, bounds = shard_postings(texts, test.vocab)
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
+    terms, owner, at, bounds, starts = seg.terms, seg.owner, seg.at, seg.bounds, seg.starts
     df = np.diff(bounds)
     out: set[tuple[int, int, int, int, int]] = set()
     for block, places in test.blocks:
@@ -74,7 +147,7 @@ def phrase_hits(test: TestPhrases, texts: list[str], least: int) -> list[tuple[i
         order = np.argsort(rarity, kind="stable")
         if not rarity[order[0]]:
             continue
-        cand = at[bounds[block[order[0]]] : bounds[block[order[0]] + 1]].astype(np.int64) - order[0]
+        cand = at[bounds[block[order[0]]] : bounds[block[order[0]] + 1]] - order[0]
         cand = cand[(cand >= 0) & (cand + len(block) <= len(terms))]
         for k in order[1:]:
             if not len(cand):
@@ -82,7 +155,7 @@ def phrase_hits(test: TestPhrases, texts: list[str], least: int) -> list[tuple[i
             if len(cand) * 16 < df[block[k]]:  # a probe into the text is the intersection with one long list
                 cand = cand[terms[cand + k] == block[k]]
             else:
-                cand = np.intersect1d(cand, at[bounds[block[k]] : bounds[block[k] + 1]].astype(np.int64) - k, assume_unique=True)
+                cand = np.intersect1d(cand, at[bounds[block[k]] : bounds[block[k] + 1]] - k, assume_unique=True)
         for p in cand.tolist():
             for n, b in places:
                 item = test.terms[n]
@@ -98,7 +171,7 @@ def phrase_hits(test: TestPhrases, texts: list[str], least: int) -> list[tuple[i
     return sorted(out)
 
 
-def shared_runs(test: TestPhrases, terms: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shared_runs(test: Phrases, terms: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place in `terms`, item number, word offset in the item, words in a row) of all maximal runs of `least` words or more."""
     lengths = np.array([len(t) for t in test.terms], np.int64)
     items = np.concatenate([np.r_[t, np.int32(-3)] for t in test.terms]).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
@@ -158,12 +231,11 @@ def chains(runs: list[tuple[int, int, int]], least: int, slack: int) -> list[tup
     return [(n, p, k) for (p, k), n in out.items()]
 
 
-def near_hits(test: TestPhrases, texts: list[str], least: int, slack: int) -> list[tuple[int, int, int, int, int]]:
+def near_hits(test: Phrases, seg: Segment, least: int, slack: int) -> list[tuple[int, int, int, int, int]]:
     """As phrase_hits, for chains of runs of LINK_WORDS words or more that together have `least` shared words or more."""
-    terms, owner, _, _ = shard_postings(texts, test.vocab)
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
-    p, item, k, n = shared_runs(test, terms, min(LINK_WORDS, least))
-    doc = owner[p]
+    starts = seg.starts
+    p, item, k, n = shared_runs(test, seg.terms, min(LINK_WORDS, least))
+    doc = seg.owner[p]
     order = np.lexsort((k, p, item, doc))
     p, item, k, n, doc = p[order], item[order], k[order], n[order], doc[order]
     first = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0)]) if len(p) else np.zeros(0, int)
@@ -178,47 +250,55 @@ def near_hits(test: TestPhrases, texts: list[str], least: int, slack: int) -> li
     return sorted(out)
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, least: int = 15, max_test_words: int = 5_000_000, slack: int | None = None) -> DataFrame:
+_tests: dict[str, Phrases] = {}
+
+
+def _search_block(index: DataFrame, items: list[tuple], least: int, slack: int | None, doc_kind: str, item_kind: str) -> DataFrame:
+    spark = index.sparkSession
+    block = (least + 1) // 2
+    shared, mark = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+    words = sorted({w for _, t in items for w in words_of(t or "")})
+    vocab = spark.createDataFrame([(w.decode(),) for w in words], "term string")
+    asked = index.where("term IS NOT NULL").join(F.broadcast(vocab), "term", "left_semi").unionByName(index.where("term IS NULL"))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        test = _tests.get(mark)
+        if test is None:  # one for each process
+            _tests.clear()
+            _tests[mark] = test = Phrases(shared.value, block)
+        head = pdf["term"].isna().to_numpy()
+        first = pdf[head].iloc[0]
+        lists = {test.vocab[w.encode()]: np.cumsum(np.frombuffer(p, "<u4").astype(np.int64)) for w, p in zip(pdf["term"][~head], pdf["positions"][~head])}
+        seg = Segment(test.vocab, np.frombuffer(first["lengths"], "<u4"), lists)
+        rows = [(*r, "exact") for r in phrase_hits(test, seg, least)]
+        if slack is not None:
+            rows += [(*r, "proximity") for r in near_hits(test, seg, least, slack)]
+        docs = first["docs"]
+        return pd.DataFrame([(docs[d], test.ids[n], w, a, b, m) for d, n, w, a, b, m in rows], columns=["d", "i", "n_words", "doc_word", "item_word", "match_type"])
+
+    return asked.groupBy("segment").applyInPandas(search, f"d {doc_kind}, i {item_kind}, n_words int, doc_word int, item_word int, match_type string")
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, least: int = 15, block_chars: int = 10_000_000, slack: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """(doc_id, item_id, n_words int, doc_word int, item_word int, match_type): every maximal run of `least` or more shared words, 'exact'.
 
     With `slack` also 'proximity' matches: two or more runs of LINK_WORDS words or more in the same order in both texts,
     at most `slack` words apart in either, with `least` or more shared words together (n_words).
 
-    Null and empty texts hold nothing; repeated items count once. The test set is collected and broadcast after its
-    size is checked: above `max_test_words` characters / 2 it raises.
+    Null and empty texts hold nothing; repeated items count once. `index` is a stored positional_index of `docs` (built if not
+    given). The test set is searched in blocks of about `block_chars` characters, each collected and broadcast by itself;
+    an item lies in one block, and every block is held against the whole index.
     """
     least = max(least, 3)
-    block = (least + 1) // 2
+    kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     small = items.where(F.col(f"`{item_id}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).distinct()
     chars = small.agg(F.sum(F.length("t"))).first()[0] or 0
-    if chars > 2 * max_test_words:
-        raise ValueError("the test set is too large for one broadcast; split it")
-    shared = docs.sparkSession.sparkContext.broadcast(sorted((r.i, r.t) for r in small.collect()))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        test = TestPhrases(shared.value, block)
-        keys: list[int] = []
-        texts: list[str] = []
-        size = 0
-
-        def flush() -> pd.DataFrame:
-            rows = [(*r, "exact") for r in phrase_hits(test, texts, least)]
-            if slack is not None:
-                rows += [(*r, "proximity") for r in near_hits(test, texts, least, slack)]
-            return pd.DataFrame([(keys[d], test.ids[n], w, a, b, m) for d, n, w, a, b, m in rows], columns=["d", "i", "n_words", "doc_word", "item_word", "match_type"])
-
-        for pdf in batches:
-            for key, t in zip(pdf["d"], pdf["t"]):
-                keys.append(key)
-                texts.append(t or "")
-                size += len(texts[-1])
-                if size >= SHARD_CHARS:
-                    yield flush()
-                    keys, texts, size = [], [], 0
-        if texts:
-            yield flush()
-
-    kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    rows = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
-    out = rows.mapInPandas(search, f"d {kinds[0]}, i {kinds[1]}, n_words int, doc_word int, item_word int, match_type string")
-    return out.withColumnRenamed("d", doc_id).withColumnRenamed("i", item_id)
+    blocks = max(1, -(-chars // block_chars))
+    index = positional_index(docs, doc_id, text) if index is None else index
+    if blocks > 1:
+        small = stored(small.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks))))
+    parts = []
+    for b in range(blocks):
+        mine = small if blocks == 1 else small.where(F.col("b") == b)
+        parts.append(_search_block(index, sorted((r.i, r.t) for r in mine.collect()), least, slack, *kinds))
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("d", doc_id).withColumnRenamed("i", item_id)

@@ -181,7 +181,9 @@ def _near(
                     c = data[j : j + 4096]
                     s = x[q] @ x[c].T
                     if min_cosine is not None:
-                        a, b = np.nonzero(s >= (min_cosine - off[q])[:, None] - off[c][None, :])
+                        a, b = np.nonzero(s >= min_cosine - off[q].max() - off[c].max())
+                        near_ = s[a, b] >= min_cosine - off[q[a]] - off[c[b]]
+                        a, b = a[near_], b[near_]
                     elif len(c) > take:
                         b = np.argpartition(-s, take - 1, axis=1)[:, :take].ravel()
                         a = np.repeat(np.arange(len(q)), take)

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fathomline.llm import packing
-from fathomline.llm.leakage import TestPhrases, leaks, near_hits, words_of
+from fathomline.llm.leakage import Phrases, Segment, leaks, near_hits, positional_index, words_of
 from fathomline.llm.packing import Levels, pack, token_counts
 from fathomline.llm.recompression import anchors, code_points
 from fathomline.llm.shared_spans import anchor_size, docs_with_shared_spans, probes, shared_shares
@@ -127,8 +127,18 @@ def test_leaks_against_brute_force(spark):
     assert all(r.n_words == 60 for r in got.where("doc_id = 102").collect())
     assert leaks(df.where("false"), it, "doc_id", "text", "item_id", "text").count() == 0
     assert leaks(df, it.where("false"), "doc_id", "text", "item_id", "text").count() == 0
-    with pytest.raises(ValueError):
-        leaks(df, it, "doc_id", "text", "item_id", "text", max_test_words=10)
+    index = positional_index(df, "doc_id", "text")
+    for size in (100, 1500):  # a test set above the bound is searched in blocks, over one stored index
+        blocks = leaks(df, it, "doc_id", "text", "item_id", "text", block_chars=size, index=index)
+        assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_the_index_holds_every_word(spark):
+    docs = [("a", "One two, two."), ("b", None), ("c", ""), ("d", "é two é"), (None, "two")]
+    index = positional_index(spark.createDataFrame(docs, "id string, t string").coalesce(1), "id", "t").collect()
+    head = next(r for r in index if r.term is None)
+    assert head.docs == ["a", "b", "c", "d"] and np.frombuffer(head.lengths, "<u4").tolist() == [4, 1, 1, 2]
+    assert {r.term: np.cumsum(np.frombuffer(r.positions, "<u4")).tolist() for r in index if r.term} == {"one": [0], "two": [1, 2, 6]}
 
 
 def brute_chain(a, b, link, slack):
@@ -166,7 +176,8 @@ def test_proximity_against_brute_force():
     for _ in range(150):
         item = [rnd.choice("abcdefghijklmnopqrstuvwxyz") + str(rnd.randrange(3)) for _ in range(30)]
         text = [y for x in item for y in ([x] if rnd.random() < 0.85 else rnd.choice([[], [x, "zz"], ["zz"], ["zz"] * 4]))]
-        got = [r[2] for r in near_hits(TestPhrases([(1, " ".join(item))], 8), [" ".join(text)], 12, 2)]
+        test = Phrases([(1, " ".join(item))], 8)
+        got = [r[2] for r in near_hits(test, Segment.of(test, [" ".join(text)]), 12, 2)]
         most = brute_chain(text, item, 3, 2)
         assert bool(got) == (most >= 12), (got, most)
 
