@@ -112,3 +112,25 @@ def extension_of(text: Column) -> Column:
 
 def project_id(path: Column) -> Column:
     return F.md5(path)
+
+
+def json_or(text: Column, schema: str, default: Column) -> Column:
+    """A JSON text read with a schema; `default` where it is null, malformed or of another shape."""
+    return F.coalesce(F.from_json(text, schema), default)
+
+
+def positive_int(value: Column, default: int) -> Column:
+    """A whole number above zero, whatever type it comes in; `default` for anything else, fractions and booleans included."""
+    n = F.when(value.cast("string").rlike(r"^\s*\+?\d+\s*$"), value.cast("string").try_cast("int"))
+    return F.when(n > 0, n).otherwise(F.lit(default))
+
+
+def age_seconds(written: Column, now: Column | None = None) -> Column:
+    """Seconds since a timestamp; null for null."""
+    return F.unix_timestamp(F.current_timestamp() if now is None else now) - F.unix_timestamp(written)
+
+
+def first_details(details: Column, cap: int = 50) -> Column:
+    """struct<items, truncated, n>: the first `cap` elements of an array, and whether there are more."""
+    n = F.coalesce(F.size(details), F.lit(0))
+    return F.struct(F.slice(details, 1, cap).alias("items"), (n > cap).alias("truncated"), F.greatest(n, F.lit(0)).alias("n"))

@@ -38,12 +38,12 @@ def insert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return clean_edges(old).unionByName(clean_edges(new)).distinct()
 
 
-def delete_file(symbols: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """(symbols, edges) without a file's symbols and without edges that touch one."""
-    gone = symbols.where(F.col("file_path") == path).select("chunk_id")
-    left = symbols.where(~F.coalesce(F.col("file_path") == path, F.lit(False)))
+def delete_files(symbols: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbols, edges) without the symbols of paths(file_path) and without edges that touch one."""
+    gone = symbols.join(paths.select("file_path").distinct(), "file_path", "left_semi").select("chunk_id").distinct()
+    left = symbols.join(paths.select("file_path").distinct(), "file_path", "left_anti").select(*symbols.columns)
     kept = edges.join(gone.withColumnRenamed("chunk_id", "source_chunk_id"), "source_chunk_id", "left_anti").join(gone.withColumnRenamed("chunk_id", "target_chunk_id"), "target_chunk_id", "left_anti")
-    return left, kept
+    return left, kept.select(*edges.columns)
 
 
 def contains_edges(symbols: DataFrame) -> DataFrame:
@@ -78,13 +78,25 @@ def call_edges(symbols: DataFrame, max_matches: int = MAX_CALL_MATCHES) -> DataF
     return hits.where("source_chunk_id <> target_chunk_id").select("source_chunk_id", "target_chunk_id", F.lit("calls").alias("edge_type")).distinct()
 
 
-def edges_of(edges: DataFrame, node: Column, direction: str = "both", edge_type: str | None = None) -> DataFrame:
-    """Edges at a node; in both directions a loop counts twice."""
-    e = edges if edge_type is None else edges.where(F.col("edge_type") == edge_type)
-    out, into = e.where(F.col("source_chunk_id") == node), e.where(F.col("target_chunk_id") == node)
+def edges_of(edges: DataFrame, nodes: DataFrame, direction: str = "both", edge_type: str | None = None) -> DataFrame:
+    """(node, source, target, type, direction): edges at each of nodes(chunk_id); in both directions a loop counts twice."""
+    e = edges.select("source_chunk_id", "target_chunk_id", "edge_type")
+    e = e if edge_type is None else e.where(F.col("edge_type") == edge_type)
+    ids = nodes.select(F.col("chunk_id").alias("node")).distinct()
+    at = lambda end, name: e.withColumn("node", F.col(end)).join(ids, "node", "left_semi").withColumn("direction", F.lit(name))
+    out, into = at("source_chunk_id", "outgoing"), at("target_chunk_id", "incoming")
     return {"outgoing": out, "incoming": into, "both": out.unionByName(into)}[direction]
 
 
+def call_counts(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(chunk_id, n_callers, n_callees): distinct known symbols at the other end of each symbol's calls."""
+    ids = symbols.select("chunk_id").distinct()
+    calls = edges.where("edge_type = 'calls'").select(F.col("source_chunk_id").alias("a"), F.col("target_chunk_id").alias("b")).distinct()
+    calls = calls.join(ids.select(F.col("chunk_id").alias("a")), "a", "left_semi").join(ids.select(F.col("chunk_id").alias("b")), "b", "left_semi")
+    ends = calls.select(F.col("b").alias("chunk_id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(calls.select(F.col("a").alias("chunk_id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    return ends.groupBy("chunk_id").agg(F.sum("i").alias("n_callers"), F.sum("o").alias("n_callees"))
+
+
 def neighbours(edges: DataFrame, symbols: DataFrame, seeds: DataFrame, direction: str, edge_type: str) -> DataFrame:
     """(seed_id, chunk_id, name, symbol_type, file_path): symbols at the other end of a seed's edges; missing ones drop out."""
     near, far = ("target_chunk_id", "source_chunk_id") if direction == "incoming" else ("source_chunk_id", "target_chunk_id")

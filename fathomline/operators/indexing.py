@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.embedding import embed, hash_encoder
-from fathomline.operators import graph, snapshots
+from fathomline.operators import graph, snapshots, stats
 from fathomline.operators.store import IndexStore
 from fathomline.sources.chunking import MAX_CONFIG_BYTES, MAX_CONFIG_LINES, chunk_files, skipped
 
 
+#: Files that a report names; the rest is counted.
+DETAILS = 50
+
+
 @dataclass
 class IndexConfig:
     """What decides how files are chunked; another signature forces a full rebuild."""
@@ -26,8 +31,38 @@ class IndexConfig:
     ignore_rules: tuple[str, ...] = ()
     width: int = 64
 
-    def signature(self) -> str:
-        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
+    def signature(self, rules: dict[str, str | None] | None = None) -> str:
+        """Changes with every setting and, where given, with the texts of the rule files."""
+        return hashlib.sha256(json.dumps([asdict(self), rules or {}], sort_keys=True).encode()).hexdigest()
+
+    @classmethod
+    def load(cls, text: str | None = None, environment: Mapping[str, str] = os.environ) -> IndexConfig:
+        """Settings of one project: environment, then the project's file (JSON), then the defaults.
+
+        Limits of 0 or less are off; values that are no whole numbers, and a file that does not parse, count as not given.
+        Extensions are read without case, with or without their dot.
+        """
+        try:
+            given = json.loads(text) if text else {}
+        except ValueError:
+            given = {}
+        given = given if isinstance(given, dict) else {}
+
+        def limit(name: str, default: int) -> int:
+            for value in (environment.get("FATHOMLINE_" + name.upper()), given.get(name)):
+                if isinstance(value, bool) or value is None:
+                    continue
+                try:
+                    return max(0, int(value)) if float(value) == int(float(value)) else default
+                except (TypeError, ValueError, OverflowError):
+                    continue
+            return default
+
+        exts = environment.get("FATHOMLINE_EXCLUDE_EXTENSIONS")
+        exts = exts.split(",") if exts is not None else given.get("exclude_extensions")
+        exts = tuple(sorted({"." + x.strip().lower().lstrip(".") for x in exts if isinstance(x, str) and x.strip(" .")})) if isinstance(exts, list) else ()
+        rules = given.get("ignore_rules")
+        return cls(exts, limit("max_structured_file_bytes", MAX_CONFIG_BYTES), limit("max_structured_file_lines", MAX_CONFIG_LINES), tuple(x for x in rules if isinstance(x, str)) if isinstance(rules, list) else ())
 
 
 @dataclass
@@ -41,9 +76,12 @@ class IndexReport:
     success: bool = True
     errors: list[str] = field(default_factory=list)
     skipped_files: list[tuple[str, str]] = field(default_factory=list)
+    skipped_total: int = 0
+    skipped_bytes: int = 0
+    skipped_truncated: bool = False
 
 
-def index_files(store: IndexStore, files: DataFrame, project: str, config: IndexConfig | None = None, encoder: Callable | None = None, incremental: bool = True) -> IndexReport:
+def index_files(store: IndexStore, files: DataFrame, project: str, config: IndexConfig | None = None, encoder: Callable | None = None, incremental: bool = True, rules: dict[str, str | None] | None = None) -> IndexReport:
     """Brings the store up to date with `files` (file_path, relative_path, content); returns what changed.
 
     Unchanged files keep their chunks; the new chunks, graph and snapshot become visible one pointer swap each, the snapshot
@@ -51,12 +89,14 @@ def index_files(store: IndexStore, files: DataFrame, project: str, config: Index
     ones and is reported.
     """
     config = config or IndexConfig()
+    files = files.withColumn("relative_path", F.regexp_replace("relative_path", r"\\", "/"))
+    signature = config.signature(rules)
     encode = encoder or (lambda: hash_encoder(config.width))
     report = IndexReport()
-    now = snapshots.file_hashes(files).withColumn("project_name", F.lit(project)).withColumn("signature", F.lit(config.signature()))
+    now = snapshots.file_hashes(files).withColumn("project_name", F.lit(project)).withColumn("signature", F.lit(signature)).withColumn("written", F.current_timestamp())
     old = store.read("snapshot")
     mine = None if old is None else old.where(F.col("project_name") == project)
-    if mine is None or not incremental or mine.where(F.col("signature") != config.signature()).limit(1).count():
+    if mine is None or not incremental or mine.where(F.col("signature") != signature).limit(1).count():
         report.full = True
         base = now.where("false").select("path", "hash")
     else:
@@ -68,10 +108,13 @@ def index_files(store: IndexStore, files: DataFrame, project: str, config: Index
     if counts or report.full:
         todo = files.join(changes.where("change <> 'removed'").select(F.col("path").alias("relative_path")), "relative_path", "left_semi")
         limits = {"max_bytes": config.max_structured_file_bytes, "max_lines": config.max_structured_file_lines}
-        report.skipped_files = [(r["path"], r["reason"]) for r in skipped(todo, **limits).limit(50).collect()]
-        chunks = chunk_files(todo, **limits).join(files.select(F.regexp_replace("relative_path", r"\\", "/").alias("relative_path"), "file_path"), "relative_path").withColumn("project_name", F.lit(project)).persist()
+        left_out = skipped(todo, **limits)
+        totals = left_out.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
+        report.skipped_files = [(r["path"], r["reason"]) for r in left_out.orderBy("path").limit(DETAILS).collect()]
+        report.skipped_total, report.skipped_bytes, report.skipped_truncated = totals["n"], totals["b"], totals["n"] > DETAILS
+        chunks = chunk_files(todo, **limits).join(files.select("relative_path", "file_path").dropDuplicates(["relative_path"]), "relative_path").withColumn("project_name", F.lit(project)).persist()
         lost = changes.where("change = 'modified'").select(F.col("path").alias("relative_path")).join(chunks.select("relative_path").distinct(), "relative_path", "left_anti").join(have.where(F.col("project_name") == project).select("relative_path").distinct(), "relative_path", "left_semi")
-        kept = [r[0] for r in lost.limit(50).collect()]
+        kept = [r[0] for r in lost.limit(DETAILS).collect()]
         report.errors = [f"{p}: no chunks; the old ones are kept" for p in kept]
         replaced = changes.select(F.col("path").alias("relative_path")).join(lost, "relative_path", "left_anti")
         same_project = F.col("project_name") == project
@@ -89,10 +132,26 @@ def index_files(store: IndexStore, files: DataFrame, project: str, config: Index
         chunks.unpersist()
     changes.unpersist()
     rest = now.where("false") if old is None else old.where(F.col("project_name") != project).select(*now.columns)
-    store.write(rest.unionByName(now), "snapshot")
+    store.write(rest.unionByName(now, allowMissingColumns=True), "snapshot")
+    store.write(stats.summary(store.chunks()).withColumn("written", F.current_timestamp()), "stats")
     return report
 
 
+def snapshots_of(store: IndexStore) -> DataFrame:
+    """(project_name, n_files, bytes, last_snapshot, signature): one row per project, newest first."""
+    have = store.read("snapshot")
+    if have is None:
+        return store.spark.createDataFrame([], "project_name string, n_files long, bytes long, last_snapshot timestamp, signature string")
+    return have.groupBy("project_name").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("written").alias("last_snapshot"), F.max("signature").alias("signature")).orderBy(F.desc("last_snapshot"))
+
+
+def delete_snapshot(store: IndexStore, project: str) -> None:
+    """Forgets a project's snapshot, so its next run indexes everything again."""
+    have = store.read("snapshot")
+    if have is not None:
+        store.write(have.where(F.col("project_name") != project), "snapshot")
+
+
 def _write_graph(store: IndexStore, chunks: DataFrame, project: str, full: bool, replaced: DataFrame) -> None:
     """Symbols of the changed files replace their old ones; edges are derived anew from all symbols."""
     meta = F.to_json(F.struct("calls"))

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.ranking import RRF_K, bm25, cosine_similarity
 from fathomline.functions.text import expand_query, glob_match, index_tokens
+from fathomline.session import stored
 
-#: Seeds that are broadcast at once.
-SEED_BLOCK = 1000
 #: Rows of one side of a cell in which many seeds are held against many rows.
 CELL_ROWS = 20_000
 
@@ -47,16 +46,21 @@ def postings(chunks: DataFrame, text_col: str = "content_preview") -> DataFrame:
     return toks.select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def corpus_stats(chunks: DataFrame, text_col: str = "content_preview") -> DataFrame:
+    """One row: chunks with a token, and their mean number of tokens. Read from the chunks, not from their postings."""
+    n = F.size(index_tokens(F.col(text_col)))
+    return chunks.select(n.alias("n")).where("n > 0").agg(F.avg("n").alias("mean_length"), F.count("*").alias("total"))
+
+
+def bm25_topk(index: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the k best chunks per row of queries(query_id, query).
 
-    Query terms are expanded and taken once each. The index side is joined on terms; document frequencies come from the
-    index restricted to the terms asked for, and no chunk is seen that shares no term.
+    Query terms are expanded and taken once each. The index (postings) is cut down to the terms asked for before anything
+    else and kept; document frequencies come from that part, and no chunk is seen that shares no term. `corpus` is a row
+    of corpus_stats.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(index_tokens(expand_query(F.col("query"))))).alias("term"))
-    lengths = index.groupBy("chunk_id").agg(F.max("length").alias("length"))
-    corpus = lengths.agg(F.avg("length").alias("mean_length"), F.count("*").alias("total"))
-    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
+    asked = stored(index.join(terms.select("term").distinct(), "term", "left_semi").select("term", "chunk_id", "length", "tf"))
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     weighed = asked.join(df, "term").select("term", "chunk_id", bm25(F.col("tf"), F.col("length"), corpus.select("mean_length").scalar(), F.col("df"), corpus.select("total").scalar()).alias("w"))
     scored = terms.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
@@ -77,25 +81,10 @@ def rrf(lists: list[DataFrame], keys: list[str], k: int) -> DataFrame:
     return ranked(fused, "score", keys, k)
 
 
-def similar_to(vectors: DataFrame, seeds: DataFrame, k: int, block: int = SEED_BLOCK) -> DataFrame:
+def similar_to_many(vectors: DataFrame, seeds: DataFrame, k: int, cell: int = CELL_ROWS) -> DataFrame:
     """(seed_id, chunk_id, similarity, rank): the k chunks most similar to each stored seed vector, itself left out.
 
-    `seeds` (chunk_id, embedding) are held against all rows in blocks of about `block` seeds, the only thing that is
-    broadcast; each task keeps k per seed, so (seeds x tasks x k) rows are shuffled. Exact.
-    """
-    blocks = max(1, -(-seeds.count() // block))
-    ask = seeds.select(F.col("chunk_id").alias("seed_id"), F.col("embedding").alias("_q"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("_b"))
-    order = Window.partitionBy("seed_id").orderBy(F.desc("similarity"), "chunk_id")
-    parts = []
-    for b in range(blocks):
-        some = F.broadcast(ask.where(F.col("_b") == b).drop("_b"))
-        pairs = vectors.join(some, F.col("chunk_id") != F.col("seed_id")).select("seed_id", "chunk_id", F.round(cosine_similarity(F.col("embedding"), F.col("_q")), 6).alias("similarity"))
-        parts.append(pairs.where("similarity IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def similar_to_many(vectors: DataFrame, seeds: DataFrame, k: int, cell: int = CELL_ROWS) -> DataFrame:
-    """As similar_to, for seeds that grow with the rows: both sides are dealt to a grid of cells of about `cell` seeds by `cell` rows.
+    Seeds may grow with the rows: both sides are dealt to a grid of cells of about `cell` seeds by `cell` rows.
 
     Nothing is broadcast or collected; rows are shuffled once per block of seeds, seeds once per block of rows. All
     vectors have one width. Exact.
@@ -104,14 +93,14 @@ def similar_to_many(vectors: DataFrame, seeds: DataFrame, k: int, cell: int = CE
     block = lambda n: F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.select("chunk_id", "embedding", block(n_rows).alias("_r"), every(n_seeds).alias("_s"))
-    ask = seeds.select("chunk_id", "embedding", block(n_seeds).alias("_s"), every(n_rows).alias("_r"))
+    ask = seeds.select(F.col("chunk_id").alias("seed_id"), F.col("embedding").alias("seed_vector"), block(n_seeds).alias("_t"), every(n_rows).alias("_u"))
 
     def score(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(x):
-            a, b = (np.array(side["embedding"].tolist(), np.float64) for side in (q, x))
+            a, b = (np.array(side.tolist(), np.float64) for side in (q["seed_vector"], x["embedding"]))
             a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
-            own, other = q["chunk_id"].to_numpy(), x["chunk_id"].to_numpy()
+            own, other = q["seed_id"].to_numpy(), x["chunk_id"].to_numpy()
             at = pd.Series(np.arange(len(x)), index=other)
             for i in range(0, len(a), 256):
                 s = np.maximum(a[i : i + 256] @ b.T, 0.0)
@@ -125,7 +114,7 @@ def similar_to_many(vectors: DataFrame, seeds: DataFrame, k: int, cell: int = CE
                     out.append(part.sort_values(["seed_id", "similarity", "chunk_id"], ascending=[True, False, True]).groupby("seed_id").head(k))
         return pd.concat(out) if out else pd.DataFrame({"seed_id": [], "chunk_id": [], "similarity": []}).astype({"seed_id": str, "chunk_id": str, "similarity": float})
 
-    pairs = ask.groupBy("_s", "_r").cogroup(rows.groupBy("_s", "_r")).applyInPandas(score, "seed_id string, chunk_id string, similarity double")
+    pairs = ask.groupBy("_t", "_u").cogroup(rows.groupBy("_s", "_r")).applyInPandas(score, "seed_id string, chunk_id string, similarity double")
     order = Window.partitionBy("seed_id").orderBy(F.desc("similarity"), "chunk_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -149,3 +138,12 @@ def per_file_cap(hits: DataFrame, keys: list[str], path: str, score: str, cap: i
     in_file = Window.partitionBy(*keys, path).orderBy(F.desc(score), "chunk_id")
     capped = hits.withColumn("_over", (F.row_number().over(in_file) > cap).cast("int"))
     return capped.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("_over", F.desc(score), "chunk_id"))).drop("_over")
+
+
+def with_context(results: DataFrame, similar: DataFrame, per_result: int = 2) -> DataFrame:
+    """`results` with `context`: the ids of at most `per_result` chunks most similar to each one, itself left out.
+
+    `similar` is (seed_id, chunk_id, rank), as similar_to_many gives it for all results at once.
+    """
+    near = similar.where(F.col("rank") <= per_result).groupBy(F.col("seed_id").alias("chunk_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("context"))
+    return results.join(near, "chunk_id", "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))

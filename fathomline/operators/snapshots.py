@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.session import cut
@@ -25,7 +25,7 @@ def _parent(path: str):
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def directory_hashes(hashes: DataFrame, max_depth: int = 64) -> DataFrame:
+def directory_hashes(hashes: DataFrame) -> DataFrame:
     """(path, hash, depth, n_files, size) of every directory, '' being the root.
 
     A directory's hash is SHA-256 of its name followed by its children's hashes in order. Levels are solved
@@ -34,8 +34,6 @@ def directory_hashes(hashes: DataFrame, max_depth: int = 64) -> DataFrame:
     depth = F.size(F.split("path", "/"))
     nodes = cut(hashes.select("path", "hash", "size", F.lit(1).cast("long").alias("n_files"), depth.alias("depth")))
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    if deepest > max_depth:
-        raise ValueError("paths are deeper than max_depth")
     pending, out = nodes, None
     for level in range(deepest, 0, -1):
         at = pending.where(F.col("depth") == level)
@@ -74,8 +72,6 @@ def tree_stats(hashes: DataFrame) -> DataFrame:
 
 
 def latest_per_project(snapshots: DataFrame, keep: int) -> DataFrame:
-    """The `keep` newest snapshots (project_id, last_snapshot) of each project."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("project_id").orderBy(F.desc("last_snapshot"))
+    """The `keep` newest snapshots (project_name, written) of each project, newest first within it."""
+    w = Window.partitionBy("project_name").orderBy(F.desc("written"))
     return snapshots.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")

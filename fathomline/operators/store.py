@@ -19,8 +19,11 @@ COLUMNS = (
 )
 
 
+TABLES = ("chunks", "symbols", "edges", "snapshot", "stats", "files")
+
+
 class IndexStore:
-    """Tables `chunks`, `symbols`, `edges`, `snapshot` under one folder that all executors can reach.
+    """Tables `chunks`, `symbols`, `edges`, `snapshot`, `stats`, `files` under one folder that all executors can reach.
 
     A writer builds the next version beside the current one and then replaces the pointer, so readers never see half a
     change and a failed write leaves nothing behind but an unused folder. One writer at a time holds the lock file.
@@ -97,7 +100,7 @@ class IndexStore:
         have = self.read()
         if have is not None and files:
             self.write(have.coalesce(files))
-        live = {v["folder"] for t in ("chunks", "symbols", "edges", "snapshot") if (v := self.version(t))}
+        live = {v["folder"] for t in TABLES if (v := self.version(t))}
         removed = 0
         for name in os.listdir(self.root):
             full = os.path.join(self.root, name)
@@ -109,7 +112,7 @@ class IndexStore:
     def clear(self) -> dict[str, bool]:
         """Drops every table; success per table."""
         done = {}
-        for table in ("chunks", "symbols", "edges", "snapshot"):
+        for table in TABLES:
             try:
                 v = self.version(table)
                 if v:

@@ -54,21 +54,32 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_topk(vectors(spark, d).join(wanted, "chunk_id", "left_semi"), _seed(spark, d).select("embedding").scalar(), K)
 
 
+def every_50th(col: str = "chunk_id"):
+    """The query set of searches that ask for many rows: ids whose hash is divisible by 50."""
+    return F.conv(F.substring(F.md5(col), 1, 6), 16, 10).cast("int") % 50 == 0
+
+
 def similar_to(spark: SparkSession, d: str) -> DataFrame:
-    """T4: neighbours of stored chunks, themselves left out."""
-    seeds = vectors(spark, d).orderBy("chunk_id").limit(5)
-    return search.similar_to(vectors(spark, d), seeds, 5)
+    """T4 for every chunk whose id hash is divisible by 50, against all rows; chunks are not their own neighbours."""
+    rows = vectors(spark, d)
+    return search.similar_to_many(rows, rows.where(every_50th()), 5)
 
 
-def similar_to_many(spark: SparkSession, d: str) -> DataFrame:
-    """T4 for every chunk whose id hash is divisible by 50, against all rows."""
+def similar_context(spark: SparkSession, d: str) -> DataFrame:
+    """The two chunks most similar to each of these, as the context of a result."""
     rows = vectors(spark, d)
-    return search.similar_to_many(rows, rows.where(F.crc32("chunk_id") % 50 == 0), 5)
+    seeds = rows.where(every_50th())
+    return search.with_context(seeds.select("chunk_id"), search.similar_to_many(rows, seeds, 3))
+
+
+def _keywords(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = chunks(spark, d, "content_preview")
+    return search.postings(c), search.corpus_stats(c)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Keyword top-k of every search query over the previews."""
-    return search.bm25_topk(search.postings(chunks(spark, d, "content_preview")), asked(spark, d).select("query_id", "query"), 10).withColumn("rank", F.col("rank").cast("int"))
+    return search.bm25_topk(*_keywords(spark, d), asked(spark, d).select("query_id", "query"), 10).withColumn("rank", F.col("rank").cast("int"))
 
 
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +87,7 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     seed = _seed(spark, d)
     near = search.ranked(search.vector_topk(vectors(spark, d), seed.select("embedding").scalar(), 50).withColumn("q", F.lit(1)), "similarity", ["q"], 50)
     words = chunks(spark, d, "name").join(seed.select("chunk_id"), "chunk_id").select(F.lit(1).alias("query_id"), F.coalesce("name", F.lit("")).alias("query"))
-    keyed = search.bm25_topk(search.postings(chunks(spark, d, "content_preview")), words, 50).withColumnRenamed("query_id", "q")
+    keyed = search.bm25_topk(*_keywords(spark, d), words, 50).withColumnRenamed("query_id", "q")
     return search.rrf([near, keyed], ["q"], K).select("chunk_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
@@ -219,7 +230,7 @@ def skipped_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    vector_topk, vector_topk_filtered, similar_to, similar_to_many, bm25_topk, hybrid_rrf, rank_boosted, dedup_best, per_file_cap, rerank_minscore, glob_filter, chunk_type_filter, folder_filter, tag_filter, chunk_ids, previews, snippets,
+    vector_topk, vector_topk_filtered, similar_to, similar_context, bm25_topk, hybrid_rrf, rank_boosted, dedup_best, per_file_cap, rerank_minscore, glob_filter, chunk_type_filter, folder_filter, tag_filter, chunk_ids, previews, snippets,
     result_rows, folder_paths, query_expand, intent_detect, query_tokens, score_maths, stats_summary, stats_files, stats_folders_top10, stats_types, stats_tags_top20, suggestions, result_file_counts, skipped_files,
 )
 
@@ -259,6 +270,9 @@ def _intent(name: str) -> str:
 _INTENTS = "list_filter([" + ", ".join(_intent(n) for n in text.INTENTS) + "], lambda x: x IS NOT NULL)"
 
 
+_NEAR = f"s AS (SELECT * FROM v WHERE ('0x' || substr(md5(chunk_id), 1, 6))::INT % 50 = 0), p AS (SELECT s.chunk_id seed_id, v.chunk_id, {_SIM} similarity FROM v JOIN s ON v.chunk_id <> s.chunk_id), nn AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY similarity DESC, chunk_id)::INT rank FROM p)"
+
+
 def oracle_sql() -> dict[str, str]:
     top = f"SELECT v.chunk_id, {_SIM} similarity FROM v, s"
     seed = "s AS (SELECT * FROM v ORDER BY chunk_id LIMIT 1)"
@@ -272,7 +286,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "vector_topk": f"WITH {_VECTORS}, {seed} {top} ORDER BY similarity DESC, v.chunk_id LIMIT {K}",
         "vector_topk_filtered": f"WITH {CHUNKS}, {_VECTORS}, {seed} {top} WHERE v.chunk_id IN (SELECT chunk_id FROM c WHERE chunk_type = 'method' AND {_like('relative_path', ['src/**', 'lib/*.ts'])}) ORDER BY similarity DESC, v.chunk_id LIMIT {K}",
-        "similar_to": f"WITH {_VECTORS}, s AS (SELECT * FROM v ORDER BY chunk_id LIMIT 5), p AS (SELECT s.chunk_id seed_id, v.chunk_id, {_SIM} similarity FROM v JOIN s ON v.chunk_id <> s.chunk_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY similarity DESC, chunk_id)::INT rank FROM p) WHERE rank <= 5",
+        "similar_to": f"WITH {_VECTORS}, {_NEAR} SELECT seed_id, chunk_id, similarity, rank FROM nn WHERE rank <= 5",
+        "similar_context": f"WITH {_VECTORS}, {_NEAR} SELECT seed_id chunk_id, list(chunk_id ORDER BY rank) context FROM nn WHERE rank <= 2 GROUP BY 1",
         "bm25_topk": f"WITH {CHUNKS}, {_ASKED}, qq AS (SELECT query_id, query FROM q), {_BM25} SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT rank FROM b) WHERE rank <= 10",
         "hybrid_rrf": f"""WITH {CHUNKS}, {_VECTORS}, {seed}, qq AS (SELECT 1 query_id, coalesce(name, '') query FROM c WHERE chunk_id = (SELECT chunk_id FROM s)), {_BM25},
  x AS (SELECT chunk_id, row_number() OVER (ORDER BY similarity DESC, chunk_id) r FROM ({top}) QUALIFY r <= 50), y AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) r FROM b QUALIFY r <= 50),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.current import current_rows
 from fathomline.operators import graph, ignore, snapshots
-from fathomline.plans.retrieval import hits
+from fathomline.plans.retrieval import every_50th, hits
 from fathomline.sources.tables import table
 
 CUTOFF = "2024-09-01"
@@ -25,11 +25,9 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.clean_edges(table(spark, d, "edges"))
 
 
-def _hub(spark: SparkSession, d: str) -> DataFrame:
-    """The three most connected symbols: the example seeds of the graph queries."""
-    e = _edges(spark, d)
-    ends = e.select(F.col("source_chunk_id").alias("chunk_id")).unionByName(e.select(F.col("target_chunk_id").alias("chunk_id")))
-    return ends.join(_symbols(spark, d).select("chunk_id"), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "chunk_id").limit(3).select("chunk_id")
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Every symbol whose id hash is divisible by 50: the seeds of the neighbourhood queries."""
+    return _symbols(spark, d).where(every_50th()).select("chunk_id")
 
 
 def symbols_by_name(spark: SparkSession, d: str) -> DataFrame:
@@ -62,30 +60,40 @@ def edges_calls_capped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def callers(spark: SparkSession, d: str) -> DataFrame:
-    """N2, N5, incoming calls of the example seeds."""
-    return graph.neighbours(_edges(spark, d), _symbols(spark, d), _hub(spark, d), "incoming", "calls")
+    """N2, N5, incoming calls of every symbol."""
+    s = _symbols(spark, d)
+    return graph.neighbours(_edges(spark, d), s, s, "incoming", "calls")
 
 
 def callees(spark: SparkSession, d: str) -> DataFrame:
-    """N2, N5, outgoing calls of every class-like symbol."""
+    """N2, N5, outgoing calls of every symbol."""
     s = _symbols(spark, d)
-    return graph.neighbours(_edges(spark, d), s, s.where(F.col("symbol_type").isin(*graph.PARENT_TYPES)), "outgoing", "calls")
+    return graph.neighbours(_edges(spark, d), s, s, "outgoing", "calls")
+
+
+def caller_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Callers and callees of every symbol that has one."""
+    return graph.call_counts(_edges(spark, d), _symbols(spark, d))
+
+
+def edges_of(spark: SparkSession, d: str) -> DataFrame:
+    """The edges at every symbol whose id hash is divisible by 50, both ways."""
+    return graph.edges_of(_edges(spark, d), _seeds(spark, d), "both")
 
 
 def bfs_2hop(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes within two steps of the example seeds."""
-    return graph.reach(_edges(spark, d), _hub(spark, d), 2)
+    """Symbols within two structural steps of every symbol whose id hash is divisible by 50."""
+    return graph.reach(_edges(spark, d).where("edge_type <> 'calls'"), _seeds(spark, d), 2)
 
 
 def subgraph_priority(spark: SparkSession, d: str) -> DataFrame:
-    """The 100 most telling edges of each seed's neighbourhood."""
-    return graph.subgraph(_edges(spark, d), _hub(spark, d), 1, 100)
+    """The ten most telling edges of each seed's neighbourhood."""
+    return graph.subgraph(_edges(spark, d), _seeds(spark, d), 1, 10)
 
 
 def subgraph_omitted(spark: SparkSession, d: str) -> DataFrame:
-    """What the truncation left out, by type, for the first seed."""
-    e, seed = _edges(spark, d), _hub(spark, d).orderBy("chunk_id").limit(1)
-    return graph.omitted_by_type(e, seed, 1, 50)
+    """What a truncation to three edges leaves out, by type, over all seeds."""
+    return graph.omitted_by_type(_edges(spark, d), _seeds(spark, d), 1, 3)
 
 
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -99,10 +107,9 @@ def enrich_hints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delete_by_file(spark: SparkSession, d: str) -> DataFrame:
-    """K8: edges left once the symbols of one file are gone."""
+    """K8: edges left once the symbols of every file whose path hash is divisible by 50 are gone."""
     s = _symbols(spark, d)
-    path = s.agg(F.min("file_path")).first()[0]
-    return graph.delete_file(s, _edges(spark, d), path)[1].select("source_chunk_id", "target_chunk_id", "edge_type")
+    return graph.delete_files(s, _edges(spark, d), s.where(every_50th("file_path")).select("file_path"))[1].select("source_chunk_id", "target_chunk_id", "edge_type")
 
 
 def upsert_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +172,7 @@ def ignore_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    symbols_by_name, symbols_of_file, edges_contains, edges_inherits, edges_calls_capped, callers, callees, bfs_2hop, subgraph_priority, subgraph_omitted, graph_stats, enrich_hints, delete_by_file, upsert_symbols, insert_edges,
+    symbols_by_name, symbols_of_file, edges_contains, edges_inherits, edges_calls_capped, callers, callees, caller_counts, edges_of, bfs_2hop, subgraph_priority, subgraph_omitted, graph_stats, enrich_hints, delete_by_file, upsert_symbols, insert_edges,
     snapshot_hash, snapshot_diff, merkle_dirs, changed_dirs, change_patterns, tree_stats, ignore_verdicts,
 )
 
@@ -176,7 +183,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _S = "s AS (SELECT DISTINCT * FROM symbols)"
 _E = "e AS (SELECT DISTINCT source_chunk_id a, target_chunk_id b, lower(trim(edge_type)) k FROM edges WHERE lower(trim(edge_type)) IN ('contains', 'inherits', 'imports', 'calls') AND source_chunk_id IS NOT NULL AND target_chunk_id IS NOT NULL)"
-_HUB = "hub AS (SELECT x FROM (SELECT a x FROM e UNION ALL SELECT b FROM e) WHERE x IN (SELECT chunk_id FROM s) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)"
+_HASH = "('0x' || substr(md5({}), 1, 6))::INT % 50 = 0"
+_HUB = "hub AS (SELECT chunk_id x FROM s WHERE " + _HASH.format("chunk_id") + ")"
 _U = "u AS (SELECT a f, b t FROM e UNION SELECT b, a FROM e)"
 _PRIO = "CASE k WHEN 'contains' THEN 0 WHEN 'inherits' THEN 1 WHEN 'imports' THEN 1 WHEN 'calls' THEN 2 ELSE 99 END"
 _CONT = "nm AS (SELECT file_path, name, arg_max(chunk_id, (start_line, chunk_id)) p FROM s WHERE name <> '' GROUP BY 1, 2), co AS (SELECT DISTINCT p source_chunk_id, chunk_id target_chunk_id, 'contains' edge_type FROM s JOIN nm ON nm.file_path = s.file_path AND nm.name = s.parent_name WHERE s.parent_name <> '' AND p <> chunk_id)"
@@ -195,6 +203,10 @@ def _dirs(name: str, files: str, deepest: int = 9) -> str:
     return ", ".join(parts) + f", {name} AS (SELECT path, hash, d AS depth, n AS n_files, size FROM {name}_0 WHERE NOT leaf)"
 
 
+#: Folders that always count as ignored, spelled out once more for the SQL side.
+_ALWAYS_DIRS = "\\.git|\\.hg|\\.svn|\\.venv|venv|env|\\.env|\\.direnv|node_modules|\\.pnpm-store|\\.yarn|__pycache__|\\.pytest_cache|\\.mypy_cache|\\.ruff_cache|\\.pytype|\\.ipynb_checkpoints|build|dist|out|public|\\.next|\\.nuxt|\\.svelte-kit|\\.angular|\\.astro|\\.vite|\\.cache|\\.parcel-cache|\\.turbo|coverage|\\.coverage|\\.nyc_output|\\.gradle|\\.idea|\\.vscode|\\.docusaurus|\\.vercel|\\.serverless|\\.terraform|\\.mvn|\\.tox|target|bin|obj"
+
+
 def oracle_sql() -> dict[str, str]:
     sub = f"{_S}, {_E}, {_HUB}, {_U}, rc AS (SELECT x seed, x n, 0 h FROM hub UNION ALL SELECT DISTINCT x, t, 1 FROM hub JOIN u ON f = x WHERE t <> x), ed AS (SELECT r1.seed, a, b, k, least(r1.h, r2.h) hop FROM e JOIN rc r1 ON r1.n = a JOIN rc r2 ON r2.n = b AND r2.seed = r1.seed), ps AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY {_PRIO}, hop, a, b, k) p FROM ed)"
     diff = f"{_snap('o', CUTOFF)}, {_snap('n')}, df AS (SELECT coalesce(o.path, n.path) path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.hash <> n.hash THEN 'modified' ELSE 'unchanged' END change FROM o FULL JOIN n ON o.path = n.path)"
@@ -204,14 +216,21 @@ def oracle_sql() -> dict[str, str]:
         "edges_contains": f"WITH {_S}, {_CONT} SELECT * FROM co",
         "edges_inherits": f"WITH {_S} SELECT DISTINCT a.chunk_id source_chunk_id, b.chunk_id target_chunk_id, 'inherits' edge_type FROM s a JOIN s b ON a.parent_name = b.name WHERE a.parent_name <> '' AND a.file_path <> b.file_path AND b.symbol_type IN ('class', 'interface', 'trait')",
         "edges_calls_capped": f"WITH {_S}, c AS (SELECT DISTINCT chunk_id, unnest(from_json(json_extract(metadata_json, '$.calls'), '[\"VARCHAR\"]')) callee FROM s WHERE metadata_json IS NOT NULL), f AS (SELECT name FROM s WHERE name <> '' GROUP BY 1 HAVING count(*) <= 8) SELECT DISTINCT c.chunk_id source_chunk_id, s.chunk_id target_chunk_id, 'calls' edge_type FROM c JOIN s ON s.name = c.callee WHERE s.name IN (SELECT name FROM f) AND c.chunk_id <> s.chunk_id",
-        "callers": f"WITH {_S}, {_E}, {_HUB} SELECT DISTINCT b seed_id, a chunk_id, name, symbol_type, file_path FROM e JOIN hub ON x = b JOIN s ON s.chunk_id = a WHERE k = 'calls'",
-        "callees": f"WITH {_S}, {_E} SELECT DISTINCT a seed_id, b chunk_id, s.name, s.symbol_type, s.file_path FROM e JOIN s z ON z.chunk_id = a AND z.symbol_type IN ('class', 'interface', 'trait') JOIN s ON s.chunk_id = b WHERE k = 'calls'",
-        "bfs_2hop": f"WITH {_S}, {_E}, {_HUB}, {_U}, r AS (SELECT x seed_id, x chunk_id, 0 hop FROM hub UNION ALL SELECT x, t, 1 FROM hub JOIN u ON f = x UNION ALL SELECT x, v.t, 2 FROM hub JOIN u ON u.f = x JOIN u v ON v.f = u.t) SELECT seed_id, chunk_id, min(hop) hop FROM r GROUP BY 1, 2",
-        "subgraph_priority": f"WITH {sub} SELECT seed seed_id, a source_chunk_id, b target_chunk_id, k edge_type, hop, p::INT AS position FROM ps WHERE p <= 100",
-        "subgraph_omitted": f"WITH {sub} SELECT k edge_type, count(*) n_omitted FROM ps WHERE seed = (SELECT min(x) FROM hub) AND p > 50 AND p <= 200 GROUP BY 1",
+        "callers": f"WITH {_S}, {_E} SELECT DISTINCT b seed_id, a chunk_id, s.name, s.symbol_type, s.file_path FROM e JOIN s z ON z.chunk_id = b JOIN s ON s.chunk_id = a WHERE k = 'calls'",
+        "caller_counts": f"WITH {_S}, {_E}, c AS (SELECT DISTINCT a, b FROM e WHERE k = 'calls' AND a IN (SELECT chunk_id FROM s) AND b IN (SELECT chunk_id FROM s)), i AS (SELECT b x, count(*) n FROM c GROUP BY 1), o AS (SELECT a x, count(*) n FROM c GROUP BY 1) SELECT coalesce(i.x, o.x) chunk_id, coalesce(i.n, 0) n_callers, coalesce(o.n, 0) n_callees FROM i FULL JOIN o ON i.x = o.x",
+        "edges_of": f"WITH {_S}, {_E}, {_HUB} SELECT x node, a source_chunk_id, b target_chunk_id, k edge_type, 'outgoing' direction FROM e JOIN hub ON a = x UNION ALL SELECT x, a, b, k, 'incoming' FROM e JOIN hub ON b = x",
+        "callees": f"WITH {_S}, {_E} SELECT DISTINCT a seed_id, b chunk_id, s.name, s.symbol_type, s.file_path FROM e JOIN s z ON z.chunk_id = a JOIN s ON s.chunk_id = b WHERE k = 'calls'",
+        "bfs_2hop": f"WITH {_S}, {_E}, {_HUB}, u AS (SELECT a f, b t FROM e WHERE k <> 'calls' UNION SELECT b, a FROM e WHERE k <> 'calls'), r AS (SELECT x seed_id, x chunk_id, 0 hop FROM hub UNION ALL SELECT x, t, 1 FROM hub JOIN u ON f = x UNION ALL SELECT x, v.t, 2 FROM hub JOIN u ON u.f = x JOIN u v ON v.f = u.t) SELECT seed_id, chunk_id, min(hop) hop FROM r GROUP BY 1, 2",
+        "subgraph_priority": f"WITH {sub} SELECT seed seed_id, a source_chunk_id, b target_chunk_id, k edge_type, hop, p::INT AS position FROM ps WHERE p <= 10",
+        "subgraph_omitted": f"WITH {sub} SELECT k edge_type, count(*) n_omitted FROM ps WHERE p > 3 GROUP BY 1",
+        "ignore_verdicts": rf"""WITH p AS (SELECT DISTINCT replace(relative_path, chr(92), '/') p, relative_path r FROM source_files),
+v AS (SELECT r, CASE WHEN regexp_matches(p, '(^|/)({_ALWAYS_DIRS})/') OR regexp_matches(p, '(\.pyc|\.pyo)(/|$)|(^|/)(\.DS_Store|Thumbs\.db)(/|$)') THEN 'always'
+ WHEN regexp_matches(p, '\.bundle\.js(/|$)') OR regexp_matches(p, '^static/[^/]+(/|$)') OR regexp_matches(p, '(^|/)assets/') AND NOT regexp_matches(p, '^src/(.*/)?assets/') THEN 'gitignore'
+ WHEN p LIKE 'src/%' AND regexp_matches(p[5:], '(^|/)[^/]*_vendor[^/]*/') AND NOT regexp_matches(p[5:], '(^|/)keep\.py(/|$)') THEN 'nested' WHEN regexp_matches(p, '^(.*/)?gen/[^/]*\.py(/|$)') THEN 'extra' ELSE 'kept' END verdict FROM p)
+SELECT verdict, count(*) n_files FROM v GROUP BY 1""",
         "graph_stats": f"WITH {_S}, {_E} SELECT 'symbol' kind, symbol_type AS value, count(*) n FROM s GROUP BY 2 UNION ALL SELECT 'edge', k, count(*) FROM e GROUP BY 2",
         "enrich_hints": f"WITH {_E}, h AS (SELECT DISTINCT chunk_id FROM search_hits), x AS (SELECT a chunk_id, b other_id, k, 'outgoing' direction FROM e UNION ALL SELECT b, a, k, 'incoming' FROM e) SELECT chunk_id, other_id, k edge_type, direction, row_number() OVER (PARTITION BY chunk_id ORDER BY {_PRIO}, other_id, direction, k)::INT AS position FROM x WHERE chunk_id IN (SELECT chunk_id FROM h) QUALIFY position <= 10",
-        "delete_by_file": f"WITH {_S}, {_E}, g AS (SELECT chunk_id FROM s WHERE file_path = (SELECT min(file_path) FROM s)) SELECT a source_chunk_id, b target_chunk_id, k edge_type FROM e WHERE a NOT IN (SELECT chunk_id FROM g) AND b NOT IN (SELECT chunk_id FROM g)",
+        "delete_by_file": f"WITH {_S}, {_E}, g AS (SELECT chunk_id FROM s WHERE {_HASH.format('file_path')}) SELECT a source_chunk_id, b target_chunk_id, k edge_type FROM e WHERE a NOT IN (SELECT chunk_id FROM g) AND b NOT IN (SELECT chunk_id FROM g)",
         "upsert_symbols": f"WITH {_S} SELECT chunk_id, CASE WHEN symbol_type = 'class' THEN upper(name) ELSE name END AS name, symbol_type, file_path FROM s",
         "insert_edges": f"WITH {_S}, {_E}, {_CONT} SELECT a source_chunk_id, b target_chunk_id, k edge_type FROM e UNION SELECT * FROM co",
         "snapshot_hash": f"WITH {_snap('n')} SELECT path, hash, size FROM n",

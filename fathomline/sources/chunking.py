@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as T
-from fathomline.sources.languages import END_BLOCKS, EXTENSIONS, HASKELL_DEF, HTML_SECTIONS, SPECS, SQL_OBJECT
+from fathomline.sources.languages import BARE, END_BLOCKS, EXTENSIONS, HASKELL_DEF, HTML_SECTIONS, LINE_ENDS, SPECS, SQL_OBJECT
 
-SCHEMA = "chunk_type string, name string, parent_name string, docstring string, start_line int, end_line int, content string, calls array<string>"
+SCHEMA = "chunk_type string, name string, parent_name string, docstring string, start_line int, end_line int, content string, calls array<string>, tags array<string>"
 #: Limits of structured files.
 MAX_CONFIG_BYTES, MAX_CONFIG_LINES = 10 * 1024 * 1024, 100_000
 MAX_CALLS = 200
@@ -45,7 +45,7 @@ def call_names(body: str) -> list[str]:
 
 def _row(lines: list[str], kind: str, name: str | None, parent: str | None, doc: str | None, start: int, end: int, calls: bool = True) -> dict:
     content = "\n".join(lines[start - 1 : end])
-    return {"chunk_type": kind, "name": name or None, "parent_name": parent or None, "docstring": doc, "start_line": start, "end_line": end, "content": content, "calls": call_names(content.partition("\n")[2] or "") if calls else []}
+    return {"chunk_type": kind, "name": name or None, "parent_name": parent or None, "docstring": doc, "start_line": start, "end_line": end, "content": content, "tags": None, "calls": call_names(content.partition("\n")[2] or "") if calls else []}
 
 
 def python_chunks(text: str) -> list[dict]:
@@ -95,6 +95,17 @@ def brace_chunks(text: str, lang: str) -> list[dict]:
         elif stack:
             pairs[stack.pop()] = m.start()
 
+    top, members = BARE.get(lang, ((), ()))
+
+    def bare(item: int, at: int, parent: str | None) -> bool:
+        """Emits the definition without a body that masked[item:at] is, if it is one."""
+        for pattern, kind in [*top, *(members if parent else ())]:
+            m = pattern.fullmatch(masked, item, at)
+            if m:
+                out.append(_row(lines, "method" if kind == "function" and parent else kind, text[m.start("n") : m.end("n")].strip(), parent, None, line_at(m.start("d")), line_at(max(m.start("d"), m.end("d") - 1)), kind in ("function", "method")))
+                return True
+        return False
+
     def visit(begin: int, end: int, parent: str | None, rules: list) -> None:
         at = item = begin
         depth = 0
@@ -105,6 +116,7 @@ def brace_chunks(text: str, lang: str) -> list[dict]:
             elif c in ")]":
                 depth = max(0, depth - 1)
             elif c == ";" and depth == 0:
+                bare(item, at, parent) or lang in LINE_ENDS and bare(max(item, masked.rfind("\n", begin, at) + 1), at, parent)
                 item = at + 1
             elif c == "{":
                 close = pairs.get(at, end)
@@ -132,11 +144,61 @@ def brace_chunks(text: str, lang: str) -> list[dict]:
                         visit(at + 1, close, name, spec.rules + spec.members)
                 at = item = close + 1
                 continue
-            elif c == "\n" and lang in ("go", "javascript", "typescript", "swift", "kotlin", "scala", "bash") and depth == 0 and re.match(r"[^\n]*(?:import|package)\b[^\n{]*\Z", masked[item:at].lstrip("\n")):
-                item = at + 1
+            elif c == "\n" and lang in LINE_ENDS and depth == 0:
+                line = max(item, masked.rfind("\n", begin, at) + 1)
+                more = masked[at + 1 : end].lstrip()[:1] if masked[line:at].strip() else "{"
+                if re.match(r"[^\n]*(?:import|package)\b[^\n{]*\Z", masked[item:at].lstrip("\n")) or more not in ("{", ".", "?", "|", "&", "+", "=", ":") and bare(line, at, parent):
+                    item = at + 1
             at += 1
+        if lang in LINE_ENDS and depth == 0:
+            bare(max(item, masked.rfind("\n", begin, end) + 1), end, parent)
 
     visit(0, len(masked), None, spec.rules)
+    return sorted(out, key=lambda r: (r["start_line"], -r["end_line"])) if top or members else out
+
+
+_JSX_TAG = re.compile(r"<(?P<close>/)?(?P<n>[A-Za-z][\w.:-]*)?(?P<rest>(?:[^<>{}\"']|\"[^\"]*\"|'[^']*'|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}|=>)*)>")
+
+
+def jsx_chunks(text: str, lang: str) -> list[dict]:
+    """The definitions of a script and the outermost elements that stand outside all functions; functions with elements are components."""
+    rows = brace_chunks(text, lang)
+    lines = text.split("\n")
+    elements, open_ = [], []
+    for m in _JSX_TAG.finditer(text):
+        before = text[: m.start()].rstrip()[-1:]
+        word = re.search(r"(\w+)\s*$", text[max(0, m.start() - 20) : m.start()])
+        if not open_ and (m.group("close") or before and (before.isalnum() or before in "_$)]") and not (word and word.group(1) in ("return", "default", "case"))):
+            continue  # a comparison or type arguments
+        line = text.count("\n", 0, m.start()) + 1
+        if m.group("close"):
+            name, start = open_.pop()
+            if not open_:
+                elements.append(("jsx_element", name, start, line))
+        elif m.group("rest").endswith("/"):
+            if not open_:
+                elements.append(("jsx_self_closing_element", m.group("n"), line, text.count("\n", 0, m.end()) + 1))
+        else:
+            open_.append((m.group("n"), line))
+    for r in rows:
+        if r["chunk_type"] in ("function", "method") and any(r["start_line"] <= a and b <= r["end_line"] for _, _, a, b in elements):
+            r["tags"] = ["component"]
+    inside = lambda a, b: any(r["start_line"] <= a and b <= r["end_line"] for r in rows)
+    rows += [_row(lines, kind, name, None, None, a, b, False) for kind, name, a, b in elements if not inside(a, b)]
+    return sorted(rows, key=lambda r: (r["start_line"], -r["end_line"]))
+
+
+def svelte_chunks(text: str) -> list[dict]:
+    """`script` and `style` units of a component, and the definitions of its scripts with their lines in the file."""
+    lines, out = text.split("\n"), []
+    for m in re.finditer(r"<(?P<n>script|style)\b(?P<a>[^>]*)>(?P<b>[\s\S]*?)</(?P=n)\s*>", text, re.I):
+        first, last = text.count("\n", 0, m.start()) + 1, text.count("\n", 0, m.end()) + 1
+        kind = m.group("n").lower()
+        out.append(_row(lines, kind, f"<{kind}>", None, None, first, last, False))
+        if kind == "script":
+            shift = text.count("\n", 0, m.start("b"))
+            for r in brace_chunks(m.group("b"), "svelte"):
+                out.append({**r, "start_line": r["start_line"] + shift, "end_line": r["end_line"] + shift})
     return out
 
 
@@ -264,45 +326,66 @@ def parse_config(text: str, lang: str) -> list[object]:
     return list(yaml.safe_load_all(text))
 
 
+def key_lines(lines: list[str], lang: str) -> dict[str, int]:
+    """First line of every key; a TOML table counts by its whole name and by each part."""
+    first: dict[str, int] = {}
+    for i, line in enumerate(lines, 1):
+        if lang == "json":
+            keys = re.findall(r'"([^"\\]+)"\s*:', line)
+        elif lang == "yaml":
+            m = re.match(r"\s*(?:-\s*)?([^#:]*?)\s*:", line)
+            keys = [m.group(1).strip("'\"")] if m and not line.lstrip().startswith("#") else []
+        else:
+            m = re.match(r"\s*\[+\s*([^\]]+?)\s*\]+\s*$|\s*([^#=\[]+?)\s*=", line)
+            name = (m.group(1) or m.group(2)).strip("'\"") if m else ""
+            keys = [name, *(x.strip().strip("'\"") for x in name.split("."))] if name else []
+        for k in keys:
+            if k:
+                first.setdefault(k, i)
+    return first
+
+
 def config_chunks(text: str, lang: str) -> list[dict]:
-    """Every nested mapping and list, and scalars at the root, with their key paths; one raw `document` if it does not parse."""
+    """Every nested mapping and list, and whatever stands at the root, with its key path and kind; one raw `document` if it does not parse."""
     lines = text.split("\n")
     try:
         docs = parse_config(text, lang)
     except Exception:
-        return [_row(lines, "document", None, None, None, 1, len(lines), False)]
-    first: dict[str, int] = {}
-    for i, line in enumerate(lines, 1):
-        m = re.match(r"\s*(?:-\s+)?[\[\"']?([^:=\"'\[\]]+?)[\"'\]]?\s*(?::|=|\]|$)", line)
-        if m:
-            first.setdefault(m.group(1).strip(), i)
+        return [{**_row(lines, "document", None, None, None, 1, len(lines), False), "tags": [lang, "config", "raw"]}]
+    first = key_lines(lines, lang)
+    docs = [x for x in docs if x is not None] if lang == "yaml" else docs
     out: list[dict] = []
 
-    def emit(value: object, path: str, key: str, parent: str | None, root: bool) -> None:
-        kind = "config_section" if isinstance(value, dict) else "config_list" if isinstance(value, list) else "config_entry"
-        if kind == "config_entry" and not root:
-            return
-        if lang == "yaml" and kind != "config_entry":
+    def render(value: object, path: str) -> str:
+        if lang == "yaml":
             import yaml
 
             body = yaml.safe_dump(value, sort_keys=False, allow_unicode=True).rstrip("\n")
         else:
             body = json.dumps(value, indent=2, default=str, ensure_ascii=False)
-        line = first.get(key, 1)
-        out.append({"chunk_type": kind, "name": path, "parent_name": parent, "docstring": None, "start_line": line, "end_line": line + body.count("\n"), "content": f"Path: {path}\nFormat: {lang}\n{body}", "calls": []})
-        for k, v in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
-            below = f"{path}[{k}]" if isinstance(value, list) else f"{path}.{k}"
-            if isinstance(v, dict | list):
-                emit(v, below, key if isinstance(value, list) else str(k), path, False)
-
-    for doc in docs:
-        if isinstance(doc, dict):
-            for k, v in doc.items():
-                emit(v, str(k), str(k), None, True)
-        elif isinstance(doc, list):
-            for i, v in enumerate(doc):
-                emit(v, f"[{i}]", "", None, True)
-    return out or [_row(lines, "document", None, None, None, 1, len(lines), False)]
+        return f"Path: {path}\nFormat: {lang}\n{body}"
+
+    def emit(holder: object, path: str, key: str, root: bool) -> None:
+        """One chunk for each composite child of `holder`, at the root for every child; the holder's kind names it."""
+        mapping = isinstance(holder, dict)
+        for k, v in holder.items() if mapping else enumerate(holder) if isinstance(holder, list) else ():
+            nested = isinstance(v, dict | list)
+            if not (root or nested):
+                continue
+            below = (f"{path}.{k}" if path else str(k)) if mapping else f"{path}[{k}]"
+            mine = str(k) if mapping else key or str(k)
+            kind = ("config_section" if nested else "config_entry") if mapping else ("config_list" if nested else "config_item")
+            body = render(v, below)
+            line = first.get(mine, 1)
+            tags = [lang, "config", "list" if not mapping else "mapping" if nested else "entry", *(["top_level"] if root else [])]
+            out.append({"chunk_type": kind, "name": below, "parent_name": path or None, "docstring": None, "start_line": line, "end_line": min(max(1, len(lines)), line + body.count("\n")), "content": body, "tags": tags, "calls": []})
+            if nested:
+                emit(v, below, mine if mapping else key, False)
+
+    for n, doc in enumerate(docs, 1):
+        emit(doc, f"document_{n}" if len(docs) > 1 else "", f"document_{n}" if len(docs) > 1 else "", True)
+    whole = _row(lines, "document", None, None, None, 1, max(1, len(lines)), False)
+    return out or [{**whole, "content": render(docs[0] if docs else text, "document"), "tags": [lang, "config", "document"]}]
 
 
 def chunk_text(text: str | None, path: str) -> list[dict]:
@@ -314,6 +397,10 @@ def chunk_text(text: str | None, path: str) -> list[dict]:
     try:
         if lang == "python":
             rows = python_chunks(text)
+        elif lang in ("jsx", "tsx"):
+            rows = jsx_chunks(text, lang)
+        elif lang == "svelte":
+            rows = svelte_chunks(text)
         elif lang in SPECS:
             rows = brace_chunks(text, lang)
         elif lang in END_BLOCKS:
@@ -336,7 +423,24 @@ def chunk_files(files: DataFrame, path: str = "relative_path", content: str = "c
 
     rows = kept.select(F.regexp_replace(path, r"\\", "/").alias("p"), F.col(content).alias("t")).mapInPandas(run, "relative_path string, language string, " + SCHEMA)
     ident = T.chunk_id(F.col("relative_path"), F.col("start_line"), F.col("end_line"), F.col("chunk_type"), F.col("name"))
-    return rows.withColumn("chunk_id", ident).withColumn("folder_structure", T.folders(F.col("relative_path"))).withColumn("tags", F.array("language")).withColumn("content_preview", T.preview(F.col("content"))).withColumn("complexity_score", F.lit(0.0))
+    return rows.withColumn("chunk_id", ident).withColumn("folder_structure", T.folders(F.col("relative_path"))).withColumn("tags", F.when(F.col("tags").isNotNull() & F.col("chunk_type").startswith("config"), F.col("tags")).when(F.col("chunk_type") == "document", F.coalesce("tags", F.array("language"))).otherwise(derived_tags())).withColumn("content_preview", T.preview(F.col("content"))).withColumn("complexity_score", F.lit(0.0))
+
+
+def derived_tags():
+    """async, generator, export, generic, component, extension where a definition's head says so, then the language."""
+    head, lang, kind = F.substring_index("content", "{", 1), F.col("language"), F.col("chunk_type")
+    callable_ = kind.isin("function", "method", "constructor")
+    script = lang.isin("javascript", "jsx", "typescript", "tsx", "svelte")
+    tag = lambda cond, name: F.when(cond, name)
+    return F.array_compact(F.array(
+        tag(callable_ & ((script | lang.isin("csharp", "rust", "swift")) & head.rlike(r"\basync\b") | (lang == "python") & F.col("content").rlike(r"^(?:\s*@[^\n]*\n)*\s*async\s+def\b") | (lang == "kotlin") & head.rlike(r"\bsuspend\b")), "async"),
+        tag(callable_ & script & head.rlike(r"\bfunction\s*\*|^\s*(?:static\s+|async\s+)*\*"), "generator"),
+        tag(script & head.rlike(r"^\s*export\b"), "export"),
+        tag(lang.isin("typescript", "tsx", "java", "csharp", "go", "kotlin", "scala") & F.col("name").isNotNull() & head.rlike(r"\w\s*(?:<[\w\s,.:?&\[\]]+>|\[[A-Z]\w*(?:\s+[\w~|. ]+)?\])\s*(?:\(|extends|implements|=|$|\bstruct|\binterface)"), "generic"),
+        tag(F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), "component"), "component"),
+        tag((lang == "swift") & head.rlike(r"^\s*(?:public\s+)?extension\b") | (lang == "kotlin") & head.rlike(r"\bfun\s+(?:<[^>]*>\s*)?[\w<>?]+\.\w+\s*\("), "extension"),
+        lang,
+    ))
 
 
 def _too_big(path: str, content: str, max_bytes: int, max_lines: int):
@@ -350,10 +454,10 @@ def _too_big(path: str, content: str, max_bytes: int, max_lines: int):
 
 
 def skipped(files: DataFrame, path: str = "relative_path", content: str = "content", max_bytes: int = MAX_CONFIG_BYTES, max_lines: int = MAX_CONFIG_LINES) -> DataFrame:
-    """(path, reason) of the structured files above the limits."""
+    """(path, reason, size) of the structured files above the limits."""
     out = files.where(_too_big(path, content, max_bytes, max_lines))
     reason = F.when(F.octet_length(content) > max_bytes, F.format_string("more than %d bytes", F.lit(max_bytes))).otherwise(F.format_string("more than %d lines", F.lit(max_lines)))
-    return out.select(F.col(path).alias("path"), reason.alias("reason"))
+    return out.select(F.col(path).alias("path"), reason.alias("reason"), F.octet_length(content).cast("long").alias("size"))
 
 
 def markdown_sections(files: DataFrame, path: str = "relative_path", content: str = "content") -> DataFrame:

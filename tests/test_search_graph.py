@@ -1,4 +1,4 @@
-import zlib
+import hashlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -20,7 +20,8 @@ def test_vector_search_filter_before_limit(spark):
     v = spark.createDataFrame([(f"c{i}", [1.0, float(i), 0.0], i % 7 == 0) for i in range(35)] + [("zero", [0.0] * 3, True), ("wide", [1.0] * 4, True), ("null", None, True)], "chunk_id string, embedding array<float>, keep boolean")
     q = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))
     assert [r.chunk_id for r in search.vector_topk(v, q, 3, F.col("keep")).collect()] == ["c0", "c7", "c14"]
-    near = search.similar_to(v.select("chunk_id", "embedding"), v.where("chunk_id = 'c3'"), 2).collect()
+    sound = v.where("chunk_id NOT IN ('zero', 'wide', 'null')")
+    near = search.similar_to_many(sound.select("chunk_id", "embedding"), sound.where("chunk_id = 'c3'"), 2).collect()
     assert [r.chunk_id for r in near] == ["c4", "c5"] and all(r.seed_id == "c3" for r in near)
 
 
@@ -33,7 +34,7 @@ def test_similar_to_many_against_brute_force(spark, monkeypatch):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = np.round(np.maximum(u @ u.T, 0), 6)
     monkeypatch.setattr(retrieval, "vectors", lambda *_: df)
-    for got, want in ((search.similar_to_many(df, df, 5, cell=120), range(500)), (retrieval.similar_to_many(spark, ""), [i for i in range(500) if zlib.crc32(ids[i].encode()) % 50 == 0])):
+    for got, want in ((search.similar_to_many(df, df, 5, cell=120), range(500)), (retrieval.similar_to(spark, ""), [i for i in range(500) if int(hashlib.md5(ids[i].encode()).hexdigest()[:6], 16) % 50 == 0])):
         near = {(r.seed_id, r["rank"]): (r.chunk_id, round(r.similarity, 6)) for r in got.collect()}
         assert len(want) > 5 and near == {(ids[i], n + 1): (ids[j], float(s[i, j])) for i in want for n, j in enumerate(sorted((j for j in range(500) if j != i), key=lambda j: (-s[i, j], j))[:5])}
 
@@ -41,7 +42,7 @@ def test_similar_to_many_against_brute_force(spark, monkeypatch):
 def test_bm25_rrf_cap_and_dedup(spark):
     c = spark.createDataFrame([("1", "get user by id"), ("2", "user user table"), ("3", "nothing here"), ("4", None), ("5", "")], "chunk_id string, content_preview string")
     q = spark.createDataFrame([(1, "getUserById"), (2, "absent"), (3, "")], "query_id int, query string")
-    got = search.bm25_topk(search.postings(c), q, 5).collect()
+    got = search.bm25_topk(search.postings(c), search.corpus_stats(c), q, 5).collect()
     assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"])] == ["1", "2"]
     fused = search.rrf([spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "q int, chunk_id string, rank int"), spark.createDataFrame([(1, "b", 1)], "q int, chunk_id string, rank int")], ["q"], 5).collect()
     assert [(r.chunk_id, r.score) for r in fused] == [("b", round(1 / 62 + 1 / 61, 9)), ("a", round(1 / 61, 9))]
@@ -71,22 +72,24 @@ def test_subgraph_keeps_containment_first(spark):
     assert graph.subgraph(e, seed, 1, 2).orderBy("position").first()["edge_type"] == "contains"
     assert {(r.source_chunk_id, r.target_chunk_id) for r in graph.subgraph(e, seed, 0).collect()} == {("a", "a")}
     assert {r.chunk_id: r.hop for r in graph.reach(e, seed, 2).collect()}["q"] == 2
-    both = graph.edges_of(e, F.lit("a")).where("source_chunk_id = target_chunk_id").count()
-    assert both == 2
+    both = graph.edges_of(e, seed).where("source_chunk_id = target_chunk_id")
+    assert sorted(r.direction for r in both.collect()) == ["incoming", "outgoing"] and graph.edges_of(e, seed, "outgoing", "contains").count() == 1
 
 
 def test_every_omitted_edge_counts(spark, monkeypatch):
     e = spark.createDataFrame([("hub", f"x{i:03}", "calls") for i in range(450)] + [(f"x{i:03}", "hub", "inherits") for i in range(30)], E)
     monkeypatch.setattr(structure, "_edges", lambda s, d: e)
-    monkeypatch.setattr(structure, "_hub", lambda s, d: s.createDataFrame([("hub",)], "chunk_id string"))
-    assert {(r.edge_type, r.n_omitted) for r in structure.subgraph_omitted(spark, "").collect()} == {("calls", 430)}
-    assert graph.subgraph(e, structure._hub(spark, ""), 1, 999).count() == graph.MAX_EDGES
+    monkeypatch.setattr(structure, "_seeds", lambda s, d: s.createDataFrame([("hub",)], "chunk_id string"))
+    assert {(r.edge_type, r.n_omitted) for r in structure.subgraph_omitted(spark, "").collect()} == {("calls", 450), ("inherits", 27)}
+    seed = structure._seeds(spark, "")
+    assert {(r.edge_type, r.n_omitted) for r in graph.omitted_by_type(e, seed, 1, 50).collect()} == {("calls", 430)}
+    assert graph.subgraph(e, seed, 1, 999).count() == graph.MAX_EDGES
 
 
 def test_upsert_and_delete(spark):
     s = spark.createDataFrame([("1", "a", "f"), ("2", "b", "g")], "chunk_id string, name string, file_path string")
     assert {(r[0], r[1]) for r in graph.upsert_symbols(s, spark.createDataFrame([("2", "B", "g"), ("3", "c", "g")], s.schema)).collect()} == {("1", "a"), ("2", "B"), ("3", "c")}
-    left, edges = graph.delete_file(s, spark.createDataFrame([("1", "2", "calls"), ("1", "1", "calls")], E), "g")
+    left, edges = graph.delete_files(s, spark.createDataFrame([("1", "2", "calls"), ("1", "1", "calls")], E), spark.createDataFrame([("g",), ("gone",)], "file_path string"))
     assert [r.chunk_id for r in left.collect()] == ["1"] and edges.count() == 1
 
 
@@ -97,6 +100,8 @@ def test_snapshots(spark):
     roots = [{r.path: r.hash for r in snapshots.directory_hashes(x).collect()} for x in (old, new)]
     assert roots[0]["a"] == roots[1]["a"] and roots[0][""] != roots[1][""]  # renaming in place leaves the folder's hash
     assert snapshots.directory_hashes(f([])).count() == 0
+    deep = snapshots.directory_hashes(f([("/".join("d" * 70) + "/x", "1")])).collect()
+    assert len(deep) == 71 and {r.n_files for r in deep} == {1}
 
 
 def test_ignore_rules(spark):
@@ -105,6 +110,21 @@ def test_ignore_rules(spark):
     assert got == {"node_modules/a.js": "always", "src/a.log": "gitignore", "src/keep.log": None, "src/b.py": None, "src/sub/gen/c.py": "nested", "docs/x.md": "gitignore", "a.pyc": "always", "src\\build\\z.py": "always"}
 
 
+def test_runtime_patterns_come_first(spark):
+    p = spark.createDataFrame([(x,) for x in ("a/snap/x.py", "a/b.tmp", "snap", "asnap/x", "node_modules/b.tmp")], "relative_path string")
+    got = {r.relative_path: r.ignored_by for r in ignore.verdicts(p, dynamic=["snap", "*.tmp"]).collect()}
+    assert got == {"a/snap/x.py": "runtime", "a/b.tmp": "runtime", "snap": "runtime", "asnap/x": None, "node_modules/b.tmp": "runtime"}
+
+
+def test_context_and_call_counts(spark):
+    near = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("a", "z", 3), ("b", "x", 1)], "seed_id string, chunk_id string, rank int")
+    got = search.with_context(spark.createDataFrame([("a",), ("c",)], "chunk_id string"), near).collect()
+    assert {r.chunk_id: r.context for r in got} == {"a": ["y", "x"], "c": []}
+    s = spark.createDataFrame([(x,) for x in "abc"], "chunk_id string")
+    e = spark.createDataFrame([("a", "b", "calls"), ("a", "b", "calls"), ("c", "b", "calls"), ("a", "gone", "calls"), ("a", "c", "contains")], E)
+    assert {(r.chunk_id, r.n_callers, r.n_callees) for r in graph.call_counts(e, s).collect()} == {("a", 0, 1), ("b", 2, 0), ("c", 0, 1)}
+
+
 def test_stats(spark):
     c = spark.createDataFrame([("1", "a", "class", "p", ["x", "test"]), ("2", "a", "function", "p", None), ("3", "b", "test_case", "p", [])], "chunk_id string, relative_path string, chunk_type string, project_name string, tags array<string>")
     assert stats.summary(c).first()["files_indexed"] == 2
