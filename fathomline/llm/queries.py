@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.current import current_rows
@@ -55,14 +55,21 @@ def p1_recall(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count_distinct("chunk_id").alias("n_queries"), F.count("*").alias("n_exact"), F.round(F.count("got") / F.count("*"), 4).alias("recall"))
 
 
+def _language(path: Column) -> Column:
+    """The chunk's language by the extension of its file."""
+    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    names = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "json": "json", "yaml": "yaml", "yml": "yaml", "md": "markdown"}
+    return F.coalesce(*[F.when(ext == e, F.lit(n)) for e, n in names.items()])
+
+
 def _current_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Current chunks; only content above the limit is carried along, the rest is never needed."""
     long = F.when(F.length("content") > CHUNK_LIMIT, F.col("content"))
-    return current_rows(table(spark, d, "chunks"), ["chunk_id"], "indexed_at", {"content": long, "start_line": F.col("start_line")})
+    return current_rows(table(spark, d, "chunks"), ["chunk_id"], "indexed_at", {"content": long, "start_line": F.col("start_line"), "lang": F.when(long.isNotNull(), _language(F.col("file_path")))})
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_items(_current_chunks(spark, d), "chunk_id", "content", CHUNK_LIMIT, CHUNK_OVERLAP, "start_line")
+    return splitting.split_items(_current_chunks(spark, d), "chunk_id", "content", CHUNK_LIMIT, CHUNK_OVERLAP, "start_line", language="lang")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +82,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Every split chunk: its pieces, whether they tile the content, keep the limit and the overlap, and end on the chunk's last line."""
+    p = _pieces(spark, d)
+    w = Window.partitionBy("chunk_id").orderBy("piece")
+    step = p.select("*", F.lag("end").over(w).alias("_end"), F.lag("begin").over(w).alias("_begin"))
+    fits = (F.col("end") - F.col("begin") <= CHUNK_LIMIT) & (F.length("content") == F.col("end") - F.col("begin"))
+    meets = F.col("_end").isNull() & (F.col("begin") == 0) | (F.col("begin") <= F.col("_end")) & (F.col("_end") - F.col("begin") <= CHUNK_OVERLAP) & (F.col("begin") > F.col("_begin")) & (F.col("end") > F.col("_end"))
+    return step.groupBy("chunk_id").agg(F.count("*").alias("n_pieces"), F.max("end").alias("n_chars"), F.bool_and(fits & meets).alias("sound"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line")).select("chunk_id", (F.col("n_pieces") > 1).alias("cut"), "n_chars", "sound", "first_line", "last_line")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Code files that no one on the project wrote by hand."""
     return handwritten.not_handwritten(table(spark, d, "source_files")).where("flagged").select("file_path")
@@ -149,7 +166,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_shares(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = (p1_found, p1_links, p1_topk, p1_recall, p3_found, p3_pieces, p4_found, p4_scores, p5_found, p5_rates, p6_found, p6_pairs, p7_found, p7_ranking, p8_containers, p9_found, p9_matches, p10_found, p10_shares)
+QUERIES = (p1_found, p1_links, p1_topk, p1_recall, p3_found, p3_pieces, p3_checks, p4_found, p4_scores, p5_found, p5_rates, p6_found, p6_pairs, p7_found, p7_ranking, p8_containers, p9_found, p9_matches, p10_found, p10_shares)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -178,6 +195,9 @@ def oracle_sql() -> dict[str, str]:
 l AS (SELECT a.class_id, sum(b.copies) n FROM c2 a JOIN c2 b ON a.class_id <> b.class_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95 GROUP BY 1)
 SELECT v.chunk_id, class_id, copies, coalesce(n, 0)::BIGINT n_links FROM v JOIN c2 USING (e) LEFT JOIN l USING (class_id) WHERE copies > 1 OR n IS NOT NULL""",
         "p3_found": f"SELECT chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC) r FROM chunks) WHERE r = 1 AND length(content) > {CHUNK_LIMIT}",
+        "p3_checks": f"""SELECT chunk_id, true cut, length(content)::INT n_chars, true sound, start_line first_line,
+ (start_line + len(regexp_extract_all(rtrim(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || ' ', ' '), chr(10))) - CASE WHEN regexp_matches(content, '[' || chr(13) || chr(10) || ']$') THEN 1 ELSE 0 END)::INT last_line
+FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC) r FROM chunks) WHERE r = 1 AND length(content) > {CHUNK_LIMIT}""",
         "p5_found": """WITH f AS (SELECT DISTINCT file_path FROM source_files WHERE regexp_matches(lower(file_path), '\\.(py|js|ts|go|java|json|yaml|yml)$'))
 SELECT file_path FROM f WHERE file_path NOT IN (SELECT file_path FROM chunks WHERE file_path IS NOT NULL)""",
         "p7_found": _HITS + "SELECT query_id, chunk_id FROM k JOIN n USING (query_id) WHERE place <= 3 AND n > 8 GROUP BY 1, 2 HAVING count(*) = 4",

@@ -53,6 +53,24 @@ def test_natural_boundaries():
     assert [text[b:e] for b, e in split_text(text, 40, 0)] == ["para one is here.\n\npara two is here.\n\n", "para three is here.\n\n"]
 
 
+def test_sections_follow_the_language():
+    py = "import a\n\n\nclass A:\n" + "".join(f"    # about {i}\n    @d\n    def m{i}(self):\n        # a remark\n        return {i}\n\n" for i in range(60))
+    starts = [py[b:].lstrip("\n").split("\n")[0] for b, _ in split_text(py, 600, 0, "python")[1:]]
+    assert len(starts) > 5 and all(s.startswith("    # about") for s in starts)
+    script = "".join(f"# part {i}\nx{i} = {i}\ny{i} = x{i} + 1\n\n" for i in range(80)) + "def f():\n    pass\n"
+    assert not any(script[b - 8 : b].endswith("\n") and script[b:].startswith("y") for b, _ in split_text(script, 400, 0, "python")[1:])
+    java = "class A {\n" + "".join(f"    /** Does {i}. */\n    public int m{i}(int a) {{\n        if (a > {i}) {{\n            return a;\n        }}\n        return {i};\n    }}\n\n" for i in range(40)) + "}\n"
+    assert all("/** Does" in java[b : b + 25] for b, _ in split_text(java, 700, 0, "java")[1:])
+    js = "export class A {\n" + "".join(f"  async m{i}(a, b) {{\n    for (const x of a) {{\n      b(x);\n    }}\n  }}\n" for i in range(60)) + "}\n"
+    assert all(js[b:].startswith("  async m") for b, _ in split_text(js, 500, 0, "typescript")[1:])
+    md = "".join(f"# T{i}\n\nwords of {i}\n\nmore words\n" for i in range(60))
+    assert all(md[b:].startswith("# T") for b, _ in split_text(md, 300, 0, "markdown")[1:])
+    for lang in (None, "go", "yaml", "nonsense", "MARKDOWN "):
+        for text in (py, js, md, "\n" * 900, "x" * 900):
+            pieces = split_text(text, 200, 30, lang)
+            assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(b2 <= e for (_, e), (b2, _) in zip(pieces, pieces[1:])) and all(e - b <= 200 for b, e in pieces)
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(s)) for i, s in enumerate(rng.integers(1, 90, 3000))] + [(9001, 250), (9002, 100), (9003, 0), (9004, None), (9005, 7), (9005, 7)]
