@@ -28,7 +28,8 @@ def resolve_forest(links: DataFrame, every: int = 3, paths: bool = False) -> Dat
 
     Inside, nodes are 64-bit hashes of (kind, node); names are joined back once at the end. A doubling round that
     finishes no node proves that the rest hangs on loops: were a node k steps from its end left, nodes at all smaller
-    distances would have been, too.
+    distances would have been, too. Trails that circle on a loop grow no longer than four times the deepest path, since the
+    rounds end with it.
     """
     name = links.where(F.col("node").isNotNull() & F.col("kind").isNotNull()).select("kind", "node", F.xxhash64("kind", "node").alias("n"), F.when(F.col("parent").isNotNull(), F.xxhash64("kind", "parent")).alias("p"))
     known = name.select(F.col("n").alias("p"), F.lit(True).alias("_known"))
@@ -106,6 +107,18 @@ def descendants(forest: DataFrame) -> DataFrame:
     return pairs.where(F.col("_at") < F.col("depth")).select("kind", "ancestor", "descendant", (F.col("depth") - F.col("_at")).alias("distance"))
 
 
+def descendant_counts(forest: DataFrame) -> DataFrame:
+    """(kind, node, n_descendants) of every node of a forest resolved with `paths` that has a descendant.
+
+    Every node counts once for each of its ancestors, as a 64-bit hash, and counts are summed on the map side: a root with a
+    third of all nodes below it is one row a task.
+    """
+    above = F.slice("path", 1, F.greatest(F.col("depth"), F.lit(0)))
+    marks = forest.where("NOT looped AND depth > 0").select(F.explode(F.transform(above, lambda x: F.xxhash64(F.col("kind"), x))).alias("n"))
+    counts = marks.groupBy("n").agg(F.count("*").alias("n_descendants"))
+    return forest.select("kind", "node", F.xxhash64("kind", "node").alias("n")).join(counts, "n").select("kind", "node", "n_descendants")
+
+
 def symbol_links(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """links(kind, node, parent) of the `contains` and `inherits` trees over `symbols`, one row per type and symbol.
 

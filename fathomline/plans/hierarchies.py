@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.operators.hierarchy import descendants, resolve_forest, symbol_links
-from fathomline.session import cut
+from fathomline.operators.hierarchy import descendant_counts, descendants, resolve_forest, symbol_links
+from fathomline.session import stored
 from fathomline.sources.tables import table
 
 
@@ -23,17 +23,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The forest with paths; symbols on or below a loop are set apart first, so that no trail circles."""
-    links = cut(_links(spark, d))
-    loops = resolve_forest(links).where("looped").select("kind", "node")
-    return resolve_forest(links.join(loops, ["kind", "node"], "left_anti"), paths=True)
+    return resolve_forest(_links(spark, d), paths=True).where("NOT looped")
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     """Path from the root of every symbol that has one, and the number of its descendants."""
-    f = cut(_with_paths(spark, d))
-    below = descendants(f).groupBy("kind", "ancestor").agg(F.count("*").alias("n_descendants"))
-    out = f.join(below.withColumnRenamed("ancestor", "node"), ["kind", "node"], "left")
+    f = stored(_with_paths(spark, d))
+    out = f.join(descendant_counts(f), ["kind", "node"], "left")
     return out.select(F.col("kind").alias("edge_type"), F.col("node").alias("chunk_id"), F.col("root").alias("root_chunk_id"), "depth", F.array_join("path", " > ").alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
 
 

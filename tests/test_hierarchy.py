@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from fathomline.operators.hierarchy import descendants, resolve_forest, symbol_links
+from fathomline.operators.hierarchy import descendant_counts, descendants, resolve_forest, symbol_links
 
 SCHEMA = "kind string, node string, parent string"
 
@@ -53,6 +53,8 @@ def test_empty_null_and_single(spark):
 def test_descendants(spark):
     f = resolve_forest(spark.createDataFrame([("k", "a", None), ("k", "b", "a"), ("k", "c", "b")], SCHEMA), paths=True)
     assert {(r.ancestor, r.descendant, r.distance) for r in descendants(f).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+    assert {(r.node, r.n_descendants) for r in descendant_counts(f).collect()} == {("a", 2), ("b", 1)}
+    assert descendant_counts(resolve_forest(spark.createDataFrame([("k", "x", "y"), ("k", "y", "x")], SCHEMA), paths=True)).count() == 0
 
 
 def test_symbol_links(spark):
