@@ -8,9 +8,11 @@ the items a shard holds.
 
 from __future__ import annotations
 
+import ast
 import base64
 import functools
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +27,40 @@ SHARD_ITEMS = 20_000
 
 
 @functools.cache
-def encoder(folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken"):
-    """The public byte-level BPE whose ranks lie in `folder`."""
-    import importlib.util
+def vocabulary(folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> tuple[str, dict[bytes, int]]:
+    """(pattern that cuts a text into words, ranks) of the public byte-level BPE in `folder`; its module is read, not run."""
+    with open(os.path.join(folder, "__init__.py")) as f:
+        tree = ast.parse(f.read())
+    pattern = next(ast.literal_eval(n.value) for n in tree.body if isinstance(n, ast.Assign) and any(getattr(t, "id", "") == "PATTERN" for t in n.targets))
+    with open(os.path.join(folder, name), "rb") as f:
+        return pattern, {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
+
+def make_encoder(pattern: str, ranks: dict[bytes, int]):
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("_public_tokenizers", os.path.join(folder, "__init__.py"))
-    public = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(public)
-    with open(os.path.join(folder, name), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoder(folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken"):
+    return make_encoder(*vocabulary(folder, name))
+
+
+_encoders: dict[str, object] = {}
 
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """(doc_id long, n_tokens long) of every row's whole text; a null or empty text has 0 tokens."""
+    """(doc_id long, n_tokens long) of every row's whole text; a null or empty text has 0 tokens.
+
+    The vocabulary (a public file of fixed size) is read on the driver and travels with the job.
+    """
+    shared, mark = docs.sparkSession.sparkContext.broadcast(vocabulary(folder, name)), uuid.uuid4().hex
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(folder, name)
+        enc = _encoders.get(mark)
+        if enc is None:  # one for each process
+            _encoders.clear()
+            _encoders[mark] = enc = make_encoder(*shared.value)
         for pdf in batches:
             texts = pdf["t"]
             yield pd.DataFrame({"doc_id": pdf["d"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in texts]})
@@ -107,3 +124,12 @@ def pack(items: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> Dat
     placed = mixed.groupBy("shard").applyInPandas(fill, "item long, part int, size long, container string")
     out = placed.unionByName(full.select("item", "part", "size", "container"))
     return out.withColumn("fill", F.sum("size").over(Window.partitionBy("container")).cast("long"))
+
+
+def fill_report(placed: DataFrame, capacity: int) -> DataFrame:
+    """One row: containers, placed tokens, share of the space used, containers above the capacity, items split though they would fit."""
+    boxes = placed.groupBy("container").agg(F.sum("size").alias("used"))
+    items = placed.groupBy("item").agg(F.sum("size").alias("total"), F.count("*").alias("parts"))
+    a = boxes.agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum((F.col("used") > capacity).cast("int")), F.lit(0)).alias("n_over"))
+    b = items.agg(F.count("*").alias("n_items"), F.coalesce(F.sum(((F.col("parts") > 1) & (F.col("total") <= capacity)).cast("int")), F.lit(0)).alias("n_torn"))
+    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").select("n_items", "n_containers", "n_tokens", F.round(F.coalesce(F.try_divide(F.col("n_tokens"), F.col("n_containers") * capacity), F.lit(0.0)), 4).alias("fill"), "n_over", "n_torn")

@@ -146,6 +146,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(counts.select(F.col("doc_id").alias("item"), F.col("n_tokens").alias("size")), WINDOW_TOKENS).withColumnRenamed("item", "doc_id")
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: how full the windows are, with the counts that must be zero. An id must be placed once."""
+    return packing.fill_report(p8_containers(spark, d).withColumnRenamed("doc_id", "item"), WINDOW_TOKENS)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with 15 or more consecutive words of an evaluation item."""
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text").select("doc_id", "item_id").distinct()
@@ -166,7 +171,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_shares(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = (p1_found, p1_links, p1_topk, p1_recall, p3_found, p3_pieces, p3_checks, p4_found, p4_scores, p5_found, p5_rates, p6_found, p6_pairs, p7_found, p7_ranking, p8_containers, p9_found, p9_matches, p10_found, p10_shares)
+QUERIES = (p1_found, p1_links, p1_topk, p1_recall, p3_found, p3_pieces, p3_checks, p4_found, p4_scores, p5_found, p5_rates, p6_found, p6_pairs, p7_found, p7_ranking, p8_containers, p8_fill, p9_found, p9_matches, p10_found, p10_shares)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

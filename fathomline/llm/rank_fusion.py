@@ -1,9 +1,10 @@
 """One ranking from several differently-scaled scores: Borda count over competition ranks.
 
 Only the order within each score matters, so no score dominates by its range. A group (a query) may hold any share of
-the rows: values are counted first (ties and copies collapse on the map side), groups beyond `hot_rows` distinct
-values are cut into value ranges at their own quantiles, and ranks are running counts within a range plus the counts of
-the ranges above. Where no group is hot, the same ranks come from windows within one shuffle by group.
+the rows: values are counted first (ties and copies collapse on the map side), groups beyond `hot_rows` rows
+are cut into value ranges at their own quantiles, and ranks are running counts within a range plus the counts of
+the ranges above. All other groups get the same ranks from windows within one shuffle by group. Both parts are in
+every plan, over one stored copy of the rows.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.session import stored
+
 HOT_ROWS = 50_000
-RANGES = 64
+RANGES = 1024
 
 
 def _ranged(values: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
@@ -69,11 +72,16 @@ def borda(hits: DataFrame, group: str, item: str, scores: list[str], weights: li
     weights = weights or [1.0] * len(scores)
     g, i = F.col(f"`{group}`").alias("_g"), F.col(f"`{item}`").alias("_i")
     sound = lambda s: F.when(~F.isnan(F.col(f"`{s}`").cast("double")), F.col(f"`{s}`").cast("double"))
-    base = hits.where(F.col(f"`{group}`").isNotNull() & F.col(f"`{item}`").isNotNull())
-    if base.groupBy(g).count().where(F.col("count") > hot_rows).isEmpty():
-        return _borda_by_group(base.select(g, i, *[sound(s).alias(f"_s{k}") for k, s in enumerate(scores)]), group, item, scores, weights)
-    sizes = base.groupBy(g).agg(F.count("*").alias("_size"))
-    long = base.select(g, i, F.explode(F.array(*[F.struct(F.lit(k).alias("s"), sound(s).alias("v")) for k, s in enumerate(scores)])).alias("x")).select("_g", "_i", "x.s", "x.v")
+    base = stored(hits.where(F.col(f"`{group}`").isNotNull() & F.col(f"`{item}`").isNotNull()).select(g, i, *[sound(s).alias(f"_s{k}") for k, s in enumerate(scores)]))
+    hot = base.groupBy("_g").agg(F.count("*").alias("_size")).where(F.col("_size") > hot_rows)
+    cold = base.join(hot.select("_g"), "_g", "left_anti")
+    small, large = _borda_by_group(cold, group, item, scores, weights), _borda_by_ranges(base.join(hot.select("_g"), "_g", "left_semi"), hot, group, item, scores, weights, hot_rows)
+    return small.unionByName(large)
+
+
+def _borda_by_ranges(base: DataFrame, sizes: DataFrame, group: str, item: str, scores: list[str], weights: list[float], hot_rows: int) -> DataFrame:
+    """borda for groups of any size, by value ranges; `sizes` is (_g, _size)."""
+    long = base.select("_g", "_i", F.explode(F.array(*[F.struct(F.lit(k).alias("s"), F.col(f"_s{k}").alias("v")) for k in range(len(scores))])).alias("x")).select("_g", "_i", "x.s", "x.v")
     ranks = value_ranks(long.where("v IS NOT NULL").select("_g", "s", "v"), ["_g", "s"], hot_rows)
     ranks = ranks.select("_g", "s", "v", (F.col("above") + 1).alias("place"), (1 - (F.col("above") + F.col("n") / 2) / F.col("total")).alias("share"))
     placed = long.join(ranks, ["_g", "s", "v"], "left")

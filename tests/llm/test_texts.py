@@ -83,6 +83,9 @@ def test_packing_is_whole_and_tight(spark):
         assert got["size"].sum() / 100 / got.container.nunique() > 0.93
         assert set(got.item) >= {i for i, s in rows if s}
     assert pack(df.where("false"), 100).count() == 0
+    report = packing.fill_report(pack(df.where("item <> 9005"), 100, shard_items=10**6), 100).first()
+    assert report.n_over == 0 and report.n_torn == 0 and report.fill > 0.93 and report.n_items == 3002
+    assert packing.fill_report(pack(df.where("false"), 100), 100).first().n_items == 0
 
 
 def test_levels_minimise_squares():
