@@ -203,12 +203,16 @@ class CodeIndex:
     def remove_project(self, project: str) -> dict:
         """Removes a project's rows from every table."""
         with self.store.lock():
-            for name in ("chunks", "symbols", "snapshot"):
+            mine = F.col("project_name") == project
+            gone = stored(self.store.read("symbols").where(mine).select(F.col("relative_path").alias("path")).distinct()) if self.store.read("symbols") is not None else None
+            for name, path in (("chunks", "relative_path"), ("symbols", "relative_path"), ("snapshot", "path"), ("files", "relative_path")):
                 have = self.store.read(name)
                 if have is not None:
-                    self.store.write(have.where(F.col("project_name") != project), name)
+                    self.store.update(name, have.where("false"), have.where(mine).select(F.col(path).alias("path")).distinct(), mine)
             symbols, edges = self.store.read("symbols"), self.store.read("edges")
-            if symbols is not None and edges is not None:
+            if gone is not None and edges is not None:
                 ids = symbols.select("chunk_id")
-                self.store.write(edges.join(ids.withColumnRenamed("chunk_id", "source_chunk_id"), "source_chunk_id", "left_semi").join(ids.withColumnRenamed("chunk_id", "target_chunk_id"), "target_chunk_id", "left_semi"), "edges")
+                lost = edges.join(ids.withColumnRenamed("chunk_id", "source_chunk_id"), "source_chunk_id", "left_anti").unionByName(edges.join(ids.withColumnRenamed("chunk_id", "target_chunk_id"), "target_chunk_id", "left_anti")).select(F.col("relative_path").alias("path")).distinct()
+                touched = stored(lost.unionByName(gone).distinct())
+                self.store.update("edges", graph.source_edges(symbols, touched.withColumnRenamed("path", "relative_path")), touched)
         return {"success": True, "project": project}

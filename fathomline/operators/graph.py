@@ -46,6 +46,17 @@ def delete_files(symbols: DataFrame, edges: DataFrame, paths: DataFrame) -> tupl
     return left, kept.select(*edges.columns)
 
 
+def source_edges(symbols: DataFrame, sources: DataFrame) -> DataFrame:
+    """All derived edges that leave the files of sources(relative_path), with that path: (source, target, type, relative_path).
+
+    A containing symbol lies in the file of what it contains; parents and called symbols may lie in any file.
+    """
+    own = symbols.join(sources.select("relative_path").distinct(), "relative_path", "left_semi")
+    at = own.select(F.col("chunk_id").alias("source_chunk_id"), "relative_path").dropDuplicates(["source_chunk_id"])
+    edges = contains_edges(own).unionByName(inherits_edges(symbols, own)).unionByName(call_edges(symbols, sources=own))
+    return edges.join(at, "source_chunk_id").select("source_chunk_id", "target_chunk_id", "edge_type", "relative_path")
+
+
 def contains_edges(symbols: DataFrame) -> DataFrame:
     """Parent to child within a file by parent_name; of several symbols of a name the last in the file is the parent."""
     names = symbols.where("name <> ''").groupBy("file_path", F.col("name").alias("parent_name")).agg(F.max(F.struct("start_line", "chunk_id")).alias("p")).select("file_path", "parent_name", F.col("p.chunk_id").alias("source_chunk_id"))
@@ -53,10 +64,10 @@ def contains_edges(symbols: DataFrame) -> DataFrame:
     return kids.join(names, ["file_path", "parent_name"]).where("source_chunk_id <> target_chunk_id").select("source_chunk_id", "target_chunk_id", F.lit("contains").alias("edge_type")).distinct()
 
 
-def inherits_edges(symbols: DataFrame) -> DataFrame:
-    """Symbol to the class-like symbols of its parent_name in other files."""
+def inherits_edges(symbols: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Symbol (of `sources`, if given) to the class-like symbols of its parent_name in other files."""
     tops = symbols.where(F.col("symbol_type").isin(*PARENT_TYPES)).select(F.col("name").alias("parent_name"), F.col("chunk_id").alias("target_chunk_id"), F.col("file_path").alias("_f"))
-    kids = symbols.where("parent_name <> ''").select("parent_name", F.col("chunk_id").alias("source_chunk_id"), "file_path")
+    kids = (symbols if sources is None else sources).where("parent_name <> ''").select("parent_name", F.col("chunk_id").alias("source_chunk_id"), "file_path")
     return kids.join(tops, "parent_name").where(F.col("file_path") != F.col("_f")).select("source_chunk_id", "target_chunk_id", F.lit("inherits").alias("edge_type")).distinct()
 
 
@@ -66,15 +77,15 @@ def call_names(symbols: DataFrame) -> DataFrame:
     return symbols.select("chunk_id", F.explode(calls).alias("callee")).where("callee <> ''").distinct()
 
 
-def call_edges(symbols: DataFrame, max_matches: int = MAX_CALL_MATCHES) -> DataFrame:
-    """Caller to every symbol of a called name, names with more than `max_matches` symbols left out.
+def call_edges(symbols: DataFrame, max_matches: int = MAX_CALL_MATCHES, sources: DataFrame | None = None) -> DataFrame:
+    """Caller (of `sources`, if given) to every symbol of a called name, names with more than `max_matches` symbols left out.
 
     The limit is applied to the name table before the join, so no name can blow it up.
     """
     ids = symbols.where("name <> ''").select("name", "chunk_id").distinct()
     few = ids.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") <= max_matches).select("name")
     targets = ids.join(few, "name", "left_semi").select(F.col("name").alias("callee"), F.col("chunk_id").alias("target_chunk_id"))
-    hits = call_names(symbols).withColumnRenamed("chunk_id", "source_chunk_id").join(targets, "callee")
+    hits = call_names(symbols if sources is None else sources).withColumnRenamed("chunk_id", "source_chunk_id").join(targets, "callee")
     return hits.where("source_chunk_id <> target_chunk_id").select("source_chunk_id", "target_chunk_id", F.lit("calls").alias("edge_type")).distinct()
 
 

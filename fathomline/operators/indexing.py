@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fathomline.functions.embedding import embed, hash_encoder
 from fathomline.operators import graph, snapshots, stats
 from fathomline.operators.store import IndexStore
+from fathomline.session import stored
 from fathomline.sources.chunking import MAX_CONFIG_BYTES, MAX_CONFIG_LINES, chunk_files, skipped
 
 
@@ -81,9 +82,10 @@ class IndexReport:
     skipped_truncated: bool = False
 
 
-def index_files(store: IndexStore, files: DataFrame, project: str, config: IndexConfig | None = None, encoder: Callable | None = None, incremental: bool = True, rules: dict[str, str | None] | None = None) -> IndexReport:
+def index_files(store: IndexStore, files: DataFrame, project: str, config: IndexConfig | None = None, encoder: Callable | None = None, incremental: bool = True, rules: dict[str, str | None] | None = None, partial: bool = False) -> IndexReport:
     """Brings the store up to date with `files` (file_path, relative_path, content); returns what changed.
 
+    Only the buckets of changed files are written. With `partial` the files given are not all of them: none counts as removed.
     Unchanged files keep their chunks; the new chunks, graph and snapshot become visible one pointer swap each, the snapshot
     last, so an interrupted run is repeated by the next one. A modified file that no longer yields any chunk keeps its old
     ones and is reported.
@@ -101,6 +103,8 @@ def index_files(store: IndexStore, files: DataFrame, project: str, config: Index
         base = now.where("false").select("path", "hash")
     else:
         base = mine.select("path", "hash")
+        if partial:
+            base = base.join(now.select("path"), "path", "left_semi")
     changes = snapshots.diff(base, now).where("change <> 'unchanged'").persist()
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
     report.files_added, report.files_removed, report.files_modified = (counts.get(k, 0) for k in ("added", "removed", "modified"))
@@ -116,23 +120,23 @@ def index_files(store: IndexStore, files: DataFrame, project: str, config: Index
         lost = changes.where("change = 'modified'").select(F.col("path").alias("relative_path")).join(chunks.select("relative_path").distinct(), "relative_path", "left_anti").join(have.where(F.col("project_name") == project).select("relative_path").distinct(), "relative_path", "left_semi")
         kept = [r[0] for r in lost.limit(DETAILS).collect()]
         report.errors = [f"{p}: no chunks; the old ones are kept" for p in kept]
-        replaced = changes.select(F.col("path").alias("relative_path")).join(lost, "relative_path", "left_anti")
+        replaced = changes.select("path").join(lost.select(F.col("relative_path").alias("path")), "path", "left_anti")
         same_project = F.col("project_name") == project
-        stays = have.where(~same_project) if report.full else have.where(~same_project).unionByName(have.where(same_project).join(replaced, "relative_path", "left_anti").select(*have.columns))
+        if report.full:
+            replaced = replaced.unionByName(have.where(same_project).select(F.col("relative_path").alias("path")).distinct())
+        replaced = stored(replaced.distinct())
+        report.chunks_removed = have.where(same_project).join(replaced.select(F.col("path").alias("relative_path")), "relative_path", "left_semi").count()
         vectors = embed(chunks, encode)
         fresh = chunks.join(vectors, "chunk_id").select(
             F.coalesce("content_preview", F.lit("")).alias("text"), "vector", "file_path", "relative_path", "chunk_type", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("parent_name", F.lit("")).alias("parent_name"), F.coalesce("docstring", F.lit("")).alias("docstring"),
             "start_line", "end_line", "tags", "folder_structure", F.array().cast("array<string>").alias("decorators"), F.array().cast("array<string>").alias("imports"), "content_preview", "chunk_id", "project_name", "content", "complexity_score",
         )
-        before = have.count()
         report.chunks_added = chunks.count()
-        report.chunks_removed = before - stays.count()
-        store.write(stays.unionByName(fresh), "chunks")
+        store.update("chunks", fresh, replaced, same_project)
         _write_graph(store, chunks, project, report.full, replaced)
         chunks.unpersist()
+    store.update("snapshot", now, now.select("path").unionByName(changes.select("path")) if counts or old is None else now.select("path"), F.col("project_name") == project)
     changes.unpersist()
-    rest = now.where("false") if old is None else old.where(F.col("project_name") != project).select(*now.columns)
-    store.write(rest.unionByName(now, allowMissingColumns=True), "snapshot")
     store.write(stats.summary(store.chunks()).withColumn("written", F.current_timestamp()), "stats")
     return report
 
@@ -149,18 +153,24 @@ def delete_snapshot(store: IndexStore, project: str) -> None:
     """Forgets a project's snapshot, so its next run indexes everything again."""
     have = store.read("snapshot")
     if have is not None:
-        store.write(have.where(F.col("project_name") != project), "snapshot")
+        mine = F.col("project_name") == project
+        store.update("snapshot", have.where("false"), have.where(mine).select("path"), mine)
 
 
 def _write_graph(store: IndexStore, chunks: DataFrame, project: str, full: bool, replaced: DataFrame) -> None:
-    """Symbols of the changed files replace their old ones; edges are derived anew from all symbols."""
-    meta = F.to_json(F.struct("calls"))
-    new = chunks.where("name <> ''").select("chunk_id", "name", F.col("chunk_type").alias("symbol_type"), "file_path", "relative_path", "start_line", "end_line", "parent_name", meta.alias("metadata_json"), "project_name").dropDuplicates(["chunk_id"])
+    """Symbols of the changed files replace their old ones; edges are derived again for these files and for those that name one of their symbols."""
+    mine = F.col("project_name") == project
+    new = stored(chunks.where("name <> ''").select("chunk_id", "name", F.col("chunk_type").alias("symbol_type"), "file_path", "relative_path", "start_line", "end_line", "parent_name", F.to_json(F.struct("calls")).alias("metadata_json"), "project_name").dropDuplicates(["chunk_id"]))
     old = store.read("symbols")
+    gone = replaced if not full or old is None else old.where(mine).select(F.col("relative_path").alias("path")).distinct().unionByName(new.select(F.col("relative_path").alias("path")).distinct())
+    gone = stored(gone.select("path").distinct())
+    names = new.select("name")
     if old is not None:
-        mine = F.col("project_name") == project
-        left = old.where(~mine) if full else old.where(~mine).unionByName(old.where(mine).join(replaced, "relative_path", "left_anti").select(*old.columns))
-        new = left.unionByName(new)
-    store.write(new, "symbols")
+        names = names.unionByName(old.where(mine).join(gone.select(F.col("path").alias("relative_path")), "relative_path", "left_semi").select("name"))
+    names = stored(names.distinct())
+    store.update("symbols", new, gone, mine)
     symbols = store.read("symbols")
-    store.write(graph.contains_edges(symbols).unionByName(graph.inherits_edges(symbols)).unionByName(graph.call_edges(symbols)), "edges")
+    by_parent = symbols.select("relative_path", F.col("parent_name").alias("name")).join(names, "name", "left_semi").select("relative_path")
+    by_call = graph.call_names(symbols).withColumnRenamed("callee", "name").join(names, "name", "left_semi").join(symbols.select("chunk_id", "relative_path"), "chunk_id").select("relative_path")
+    touched = stored(by_parent.unionByName(by_call).unionByName(gone.select(F.col("path").alias("relative_path"))).distinct())
+    store.update("edges", graph.source_edges(symbols, touched), touched.select(F.col("relative_path").alias("path")))

@@ -237,3 +237,28 @@ def test_models(spark):
     assert got[0] == 0.5 and 0 < got[1] < 0.2
     logits = lambda: lambda q, t: np.array([[2.0, 2.0]] * len(q))
     assert [r.reranker_score for r in score_pairs(df, logits, "causal_lm").collect()] == [0.5, 0.5]
+
+
+def test_a_change_rewrites_its_buckets_only(spark, tmp_path):
+    schema = "file_path string, relative_path string, content string"
+    store = IndexStore(spark, str(tmp_path / "ix"), buckets=16)
+    files = {f"m{i}.py": f"class C{i}(object):\n    def run{i}(self):\n        return later_defined()\n" for i in range(8)}
+    df = lambda x: spark.createDataFrame([("/r/" + p, p, t) for p, t in x.items()], schema)
+    index_files(store, df(files), "p")
+    before = store.version("chunks")["buckets"]
+    assert store.read("edges").where("edge_type = 'calls'").count() == 0
+    files["m3.py"] = "def later_defined():\n    return 1\n"
+    report = index_files(store, df(files), "p")
+    after = store.version("chunks")["buckets"]
+    assert (report.files_modified, report.chunks_removed, report.chunks_added) == (1, 2, 1) and sum(before[b] != after.get(b) for b in before) == 1
+    calls = store.read("edges").where("edge_type = 'calls'").collect()  # unchanged callers see the new name
+    assert len(calls) == 7 and {r.target_chunk_id for r in calls} == {"m3.py:1-2:function:later_defined"}
+    got = {(r.source_chunk_id, r.target_chunk_id, r.edge_type) for r in store.read("edges").collect()}
+    fresh = IndexStore(spark, str(tmp_path / "fresh"), buckets=16)
+    index_files(fresh, df(files), "p")
+    assert got == {(r.source_chunk_id, r.target_chunk_id, r.edge_type) for r in fresh.read("edges").collect()}
+    assert store.delete_files(spark.createDataFrame([("m1.py",), ("/r/m2.py",)], "path string"), "p") == 4 and store.chunks().count() == 11
+    (tmp_path / "ix" / "chunks.current.json").write_text("{bad")
+    assert store.version() is None and store.chunks().count() == 0
+    with store.lock(), pytest.raises(TimeoutError), store.lock():
+        pass
