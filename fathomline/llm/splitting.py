@@ -24,8 +24,8 @@ _WORDS = r"(?:export|default|public|protected|private|internal|static|abstract|f
 _PROSE = r"#{1,6}[ \t]|=====|-----"
 #: What begins a section: by language, before its modifiers; a member also begins with a name and its parameters.
 _DEFINE = {
-    "python": r"(?:class|def|async[ \t]+def)\b", "go": r"(?:func|type|var|const)\b", "java": r"(?:class|interface|enum|record|@interface)\b|(?:[\w<>\[\],.?]+[ \t]+)+\w+[ \t]*\([^;\n]*\{?[ \t]*$",
-    "javascript": r"(?:class|function|const|let|var|interface|enum|type|namespace)\b|(?:get[ \t]+|set[ \t]+|\*[ \t]*)?(?!if\b|for\b|while\b|switch\b|catch\b|return\b|else\b)[\w$#]+[ \t]*(?:<[^>\n]*>)?\([^;\n]*\)[^;\n]*\{[ \t]*$",
+    "python": r"(?:class|def|async[ \t]+def)\b", "go": r"(?:func|type|var|const)\b", "java": r"(?:class|interface|enum|record|@interface)\b|(?:[\w<>\[\],.?]{1,200}[ \t]+){1,8}\w+[ \t]*\([^;\n]{0,400}\{?[ \t]*$",
+    "javascript": r"(?:class|function|const|let|var|interface|enum|type|namespace)\b|(?:get[ \t]+|set[ \t]+|\*[ \t]*)?(?!if\b|for\b|while\b|switch\b|catch\b|return\b|else\b)[\w$#]+[ \t]*(?:<[^>\n]{0,200}>)?\([^;\n]{0,400}\)[^;\n]{0,200}\{[ \t]*$",
     "": r"(?:class|interface|enum|struct|trait|impl|func|function|fn|def|type|module|namespace)\b",
 }
 _ABOVE = {"python": r"(?:[ \t]*(?:@|#)[^\r\n]*" + _NEXT_LINE + "){0,30}", "": r"(?:[ \t]*(?:@|//|/\*|\*)[^\r\n]*" + _NEXT_LINE + "){0,30}"}
@@ -59,10 +59,11 @@ LINE_END = re.compile(r"\r\n|\n|\r")
 def _first_of_run(text: str, cuts: list[int]) -> list[int]:
     """Cuts without those that part a comment or decorator from what it stands above."""
     out: list[int] = []
+    last = None
     for c in cuts:
-        if out and _ONLY_ABOVE.fullmatch(text, out[-1], c):
-            continue
-        out.append(c)
+        if last is None or not _ONLY_ABOVE.fullmatch(text, last, c):
+            out.append(c)
+        last = c
     return out
 
 
@@ -72,6 +73,7 @@ _ONLY_ABOVE = re.compile(r"(?:[ \t]*(?:@|#|//|/\*|\*)[^\r\n]*(?:\r\n|\n|\r))+")
 def _parts(text: str, begin: int, end: int, limit: int, level: int, levels: tuple[re.Pattern, ...]) -> Iterator[tuple[int, int]]:
     """Slices of at most `limit` characters that tile text[begin:end]."""
     stack = [(begin, end, level)]
+    code = len(levels) > len(_FINE) + 1 or levels is hierarchy(None)
     while stack:
         b, e, lv = stack.pop()
         if e - b <= limit:
@@ -82,7 +84,7 @@ def _parts(text: str, begin: int, end: int, limit: int, level: int, levels: tupl
                 yield at, min(e, at + limit)
             continue
         cuts = [m.end() for m in levels[lv].finditer(text, b, e) if b < m.end() < e]
-        if lv < len(levels) - len(_FINE):
+        if code and lv < len(levels) - len(_FINE):
             cuts = _first_of_run(text, cuts)
         stack += [(x, y, lv + 1) for x, y in reversed(list(zip([b, *cuts], [*cuts, e])))]
 

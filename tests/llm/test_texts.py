@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -71,6 +72,15 @@ def test_sections_follow_the_language():
             assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(b2 <= e for (_, e), (b2, _) in zip(pieces, pieces[1:])) and all(e - b <= 200 for b, e in pieces)
 
 
+def test_long_lines_are_split_in_time():
+    began = time.time()
+    for lang in ("javascript", "java", "python", "markdown", None):
+        for text in ("\n" + "f(a)" * 200_000, "\na b" + " c d" * 150_000, "\n" + "# x\n" * 100_000, "\n@a(" * 60_000):
+            pieces = split_text(text, 4000, 200, lang)
+            assert pieces[-1][1] == len(text)
+    assert time.time() - began < 120
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(s)) for i, s in enumerate(rng.integers(1, 90, 3000))] + [(9001, 250), (9002, 100), (9003, 0), (9004, None), (9005, 7), (9005, 7)]
