@@ -29,9 +29,17 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), F.greatest(F.lit(0.0), dot(a, b) / norm))
 
 
-def bm25(tf: Column, length: Column, mean_length: Column, df: Column, total: Column) -> Column:
-    idf = F.log(1 + (total - df + 0.5) / (df + 0.5))
-    return idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean_length))
+def bm25_idf(df: Column, total: Column) -> Column:
+    return F.log(1 + (total - df + 0.5) / (df + 0.5))
+
+
+def bm25_norm(length: Column, mean_length: Column) -> Column:
+    return BM25_K1 * (1 - BM25_B + BM25_B * length / mean_length)
+
+
+def bm25(idf, tf, norm):
+    """Weight of a term in a text, of columns or of arrays."""
+    return idf * tf * (BM25_K1 + 1) / (tf + norm)
 
 
 def sigmoid(x: Column) -> Column:

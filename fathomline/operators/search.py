@@ -6,15 +6,21 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.ranking import RRF_K, bm25, cosine_similarity
+from fathomline.functions.ranking import RRF_K, bm25, bm25_idf, bm25_norm, cosine_similarity
 from fathomline.functions.text import expand_query, glob_match, index_tokens
 from fathomline.session import stored
 
 #: Rows of one side of a cell in which many seeds are held against many rows.
 CELL_ROWS = 20_000
+#: Chunks and queries of a cell of the keyword search, and cells it is dealt to where these would give fewer.
+KEYWORD_CHUNKS, KEYWORD_QUERIES, KEYWORD_CELLS = 250_000, 200_000, 8
+#: What a sum may lack and still tie once rounded to six digits.
+SLACK = 2e-6
 
 
 def chunk_filter(file_pattern: list[str] | str | None = None, chunk_type: str | None = None, folder_structure: list[str] | None = None, tags: list[str] | None = None, project_name: str | None = None, **_: object) -> Column:
@@ -52,20 +58,110 @@ def corpus_stats(chunks: DataFrame, text_col: str = "content_preview") -> DataFr
     return chunks.select(n.alias("n")).where("n > 0").agg(F.avg("n").alias("mean_length"), F.count("*").alias("total"))
 
 
-def bm25_topk(index: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _first(docs: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by rounded score, then by number."""
+    r = scores.round(6)
+    if len(r) > k:
+        best = r >= np.partition(r, -k)[-k]
+        docs, r = docs[best], r[best]
+    by = np.lexsort((docs, -r))[:k]
+    return docs[by], r[by]
+
+
+def _best_chunks(lists: list[tuple[np.ndarray, np.ndarray, float, float]], k: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k chunks of greatest sum over several lists (chunks ascending, weights, greatest weight, k-th greatest or 0). Exact.
+
+    Lists that together stay below what k chunks surely have can't bring in a chunk and are only looked up. `sums` is all zero,
+    before and after.
+    """
+    down = sorted(lists, key=lambda x: -x[2])  # all weights are above 0
+    floor = max(x[3] for x in lists) - SLACK
+    rest = 0.0
+    while len(down) > 1 and rest + down[-1][2] < floor:
+        rest += down.pop()[2]
+    for docs, w, *_ in down:
+        sums[docs] += w
+    docs, part = [], []
+    for d, *_ in down:
+        s = sums[d]
+        sums[d] = 0.0  # counted once
+        may = (s > 0) & (s >= floor - rest)
+        docs.append(d[may])
+        part.append(s[may])
+    d, s = np.concatenate(docs), np.concatenate(part)
+    if len(s) > k:
+        d = d[s >= max(floor, np.partition(s, -k)[-k] - SLACK) - rest]
+    total = np.zeros(len(d))
+    for docs, w, *_ in lists:  # in the order of the terms, whatever the cell
+        at = np.minimum(np.searchsorted(docs, d), len(docs) - 1)
+        total += np.where(docs[at] == d, w[at], 0.0)
+    return _first(d, total, k)
+
+
+def _keyword_cell(asked: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+    """The k best of `rows` (chunk_id, norm, terms, tfs) for each of `asked` (query_id, terms, idfs)."""
+    rows = rows.sort_by("chunk_id")
+    words = asked["terms"].combine_chunks()
+    coded, each = words.flatten().dictionary_encode(), np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy())]
+    wanted, idf = coded.indices.to_numpy(), np.zeros(len(coded.dictionary))
+    idf[wanted] = asked["idfs"].combine_chunks().flatten().to_numpy()
+    terms = rows["terms"].combine_chunks()
+    code = pc.fill_null(pc.index_in(terms.flatten(), value_set=coded.dictionary), -1).to_numpy()
+    here = np.flatnonzero(code >= 0)  # other blocks of queries ask for more
+    here = here[np.argsort(code[here], kind="stable")]
+    code, doc = code[here], np.repeat(np.arange(len(rows), dtype=np.int32), pc.list_value_length(terms).to_numpy())[here]
+    weight = bm25(idf[code], rows["tfs"].combine_chunks().flatten().to_numpy()[here], rows["norm"].to_numpy()[doc])
+    ends = np.searchsorted(code, np.arange(len(idf) + 1))
+    lists = []
+    for i, j in zip(ends[:-1], ends[1:], strict=True):
+        w = weight[i:j]
+        lists.append((doc[i:j], w, w.max(initial=0.0), np.partition(w, -k)[-k] if j - i >= k else 0.0))
+    sums, alone, of, docs, scores = np.zeros(len(rows)), {}, [], [], []
+    for q in range(len(asked)):
+        held = [t for t in wanted[each[q] : each[q + 1]] if len(lists[t][0])]
+        if len(held) > 1:
+            d, s = _best_chunks([lists[t] for t in held], k, sums)
+        elif held:
+            if held[0] not in alone:
+                alone[held[0]] = _first(*lists[held[0]][:2], k)
+            d, s = alone[held[0]]
+        else:
+            continue
+        of.append(np.full(len(d), q))
+        docs.append(d)
+        scores.append(s)
+    flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    return pa.table({"query_id": asked["query_id"].take(pa.array(flat(of, np.int64))), "chunk_id": rows["chunk_id"].take(pa.array(flat(docs, np.int64))), "score": flat(scores, np.float64)})
+
+
+def bm25_topk(index: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, cell: tuple[int, int, int] = (KEYWORD_CHUNKS, KEYWORD_QUERIES, KEYWORD_CELLS)) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the k best chunks per row of queries(query_id, query).
 
     Query terms are expanded and taken once each. The index (postings) is cut down to the terms asked for before anything
-    else and kept; document frequencies come from that part, and no chunk is seen that shares no term. `corpus` is a row
-    of corpus_stats.
+    else and kept, a row a chunk; document frequencies come from that part, and no chunk is seen that shares no term.
+    `corpus` is a row of corpus_stats.
+
+    Chunks and queries are dealt to a grid of cells; a cell sums weights in memory and gives k rows a query, so the pairs of
+    a query and a chunk that shares a term are never rows. `cell` is (chunks, queries) of one and the least number of cells.
+    Exact.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(index_tokens(expand_query(F.col("query"))))).alias("term"))
-    asked = stored(index.join(terms.select("term").distinct(), "term", "left_semi").select("term", "chunk_id", "length", "tf"))
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = asked.join(df, "term").select("term", "chunk_id", bm25(F.col("tf"), F.col("length"), corpus.select("mean_length").scalar(), F.col("df"), corpus.select("total").scalar()).alias("w"))
-    scored = terms.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    held = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "length").agg(F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf"))).alias("p"))
+    chunks = stored(held.select("chunk_id", bm25_norm(F.col("length"), corpus.select("mean_length").scalar()).alias("norm"), F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs")))
+    df = chunks.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weighed = terms.join(df, "term").select("query_id", F.struct("term", bm25_idf(F.col("df"), corpus.select("total").scalar()).alias("idf")).alias("p"))
+    asked = stored(weighed.groupBy("query_id").agg(F.sort_array(F.collect_list("p")).alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.idf").alias("idfs")))
+
+    n_chunks, n_asked = chunks.count(), asked.count()
+    n = max(1, -(-n_chunks // cell[0]))
+    m = max(1, -(-n_asked // cell[1]), min(-(-cell[2] // n), -(-n_asked // 500)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = chunks.select("*", block("chunk_id", n).alias("_r"), every(m).alias("_s"))
+    ask = asked.select("*", block("query_id", m).alias("_t"), every(n).alias("_u"))
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "chunk_id": index.schema["chunk_id"].dataType.simpleString(), "score": "double"}
+    best = ask.groupBy("_t", "_u").cogroup(rows.groupBy("_s", "_r")).applyInArrow(lambda a, b: _keyword_cell(a, b, k), ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    return ranked(best, "score", ["query_id"], k)
 
 
 def ranked(hits: DataFrame, score: str, keys: list[str], k: int) -> DataFrame:

@@ -1,4 +1,6 @@
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -52,6 +54,59 @@ def test_bm25_rrf_cap_and_dedup(spark):
     assert search.dedup_best(h.unionByName(h), ["q"], [F.desc("s")]).count() == 6
 
 
+def _keyword_tables(spark, n_chunks, n_queries, seed):
+    """Chunks of few lengths and skewed words, so many scores tie; queries of one to six words, some unknown."""
+    rnd = np.random.default_rng(seed)
+    word = lambda n: [f"w{x}" for x in np.minimum(rnd.zipf(1.4, n), 60)]
+    c = [(f"c{i:05}", " ".join(["all", *word(rnd.integers(0, 8))])) for i in rnd.permutation(n_chunks)]
+    q = [(i, " ".join(word(rnd.integers(1, 7))) + (" all" if i % 3 else " none")) for i in range(n_queries)] + [(n_queries, "all"), (n_queries + 1, "none"), (n_queries + 2, "")]
+    return c, q, spark.createDataFrame(c, "chunk_id string, content_preview string"), spark.createDataFrame(q, "query_id long, query string")
+
+
+def _bm25_by_hand(c, q, k):
+    texts = {i: Counter(t.split()) for i, t in c}
+    mean, df = sum(x.total() for x in texts.values()) / len(texts), Counter(w for x in texts.values() for w in x)
+    out = {}
+    for i, t in q:
+        scores = {}
+        for name, x in texts.items():
+            if held := [w for w in sorted(set(t.split())) if w in x]:
+                scores[name] = round(sum(math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * x[w] * 2.2 / (x[w] + 1.2 * (0.25 + 0.75 * x.total() / mean)) for w in held), 6)
+        out |= {(i, r + 1): (n, scores[n]) for r, n in enumerate(sorted(scores, key=lambda n: (-scores[n], n))[:k])}
+    return out
+
+
+def test_bm25_cells_against_brute_force(spark):
+    c, q, chunks, queries = _keyword_tables(spark, 400, 60, 3)
+    for k, cell in ((5, (500, 500, 1)), (5, (70, 13, 1)), (3, (9, 40, 8)), (500, (150, 25, 1))):
+        got = search.bm25_topk(search.postings(chunks), search.corpus_stats(chunks), queries, k, cell).collect()
+        assert {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in got} == _bm25_by_hand(c, q, k), (k, cell)
+
+
+def test_bm25_keeps_chunks_of_words_that_say_little(spark):
+    """Of a word that all chunks hold the weight is nearly 0."""
+    far = 400_000
+    corpus = spark.sql(f"SELECT 2.0D AS mean_length, {far}L AS total")
+    index = spark.createDataFrame([("all", f"c{i}", 2, 1) for i in range(3)] + [("both", f"c{i}", 2, 1) for i in range(3)], "term string, chunk_id string, length int, tf long")
+    index = index.unionByName(spark.range(far - 3).selectExpr("explode(array('all', 'both')) AS term", "concat('d', id) AS chunk_id", "2 AS length", "1L AS tf"))
+    got = search.bm25_topk(index, corpus, spark.createDataFrame([(1, "all both")], "query_id int, query string"), 4).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == ["c0", "c1", "c2", "d0"]
+
+
+def test_bm25_makes_no_row_of_each_query_and_chunk(spark):
+    def written():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    c, q, chunks, queries = _keyword_tables(spark, 3000, 300, 5)
+    before = written()
+    assert search.bm25_topk(search.postings(chunks), search.corpus_stats(chunks), queries, 5).count() > 1500
+    pairs = sum(bool(a & b) for a in (set(t.split()) for _, t in q) for b in (set(t.split()) for _, t in c))
+    assert pairs > 500_000 and written() - before < pairs / 10
+
+
 def test_min_score_precedes_topk(spark):
     h = spark.createDataFrame([(1, f"c{i}", i / 10, 1 - i / 10) for i in range(10)] + [(1, "n", 0.9, None), (1, "x", 0.9, float("nan"))], "q int, chunk_id string, similarity_score double, r double")
     assert [x.chunk_id for x in search.rerank(h, ["q"], "r", 50, 3, 0.85).orderBy("rank").collect()] == ["c0", "c1"]
